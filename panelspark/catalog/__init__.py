@@ -2,6 +2,6 @@
 
 from .registry import ORACLE, QUERIES
 
-from . import aggregates, asof, calendar, history  # noqa: F401
+from . import aggregates, asof, calendar, extraction, history, io, rules, scalars  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

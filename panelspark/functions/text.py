@@ -35,8 +35,12 @@ def collapse_whitespace(c: Column) -> Column:
 
 def limit_text(c: Column, limit: int) -> Column:
     """Text over ``limit`` characters keeps ``limit - 1``, stripped, plus an ellipsis."""
-    short = F.concat(F.rtrim(F.substring(c, 1, limit - 1)), F.lit("…"))
-    return F.when(F.length(c) > limit, short).otherwise(c)
+
+    def cut(t: Column) -> Column:
+        short = F.concat(F.rtrim(F.substring(t, 1, limit - 1)), F.lit("…"))
+        return F.when(F.length(t) > limit, short).otherwise(t)
+
+    return let(c, cut)
 
 
 def normalize_text(c: Column, limit: int) -> Column:
@@ -45,45 +49,79 @@ def normalize_text(c: Column, limit: int) -> Column:
 
 
 def empty_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` to a lambda variable, so that using it twice computes it once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _code_point(n: Column) -> Column:
     bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
-    safe = F.when(bad, F.lit(0xFFFD)).otherwise(n)
-    c1 = F.try_element_at(_table(_C1), safe.cast("string"))
-    return F.coalesce(c1, F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
+    return let(
+        F.when(bad, F.lit(0xFFFD)).otherwise(n),
+        lambda p: F.coalesce(
+            F.try_element_at(_table(_C1), p.cast("string")),
+            F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32"),
+        ),
+    )
 
 
-def _decode_entity(token: Column) -> Column:
-    """One matched reference, without its ampersand, to text."""
-    body = F.rtrim(token, F.lit(";"))
-    decimal = F.substring(body, 2, 8).try_cast("long")
-    # More digits than any code point has: out of range either way.
-    decimal = F.when(F.length(body) > 9, F.lit(0x110000).cast("long")).otherwise(decimal)
-    hexa = F.conv(F.regexp_replace(F.substring(body, 3, 100), "^0+(?=.)", ""), 16, 10)
+def _numeric_reference(token: Column) -> Column:
+    """``#233`` or ``#xe9`` to its character; too many digits are out of range."""
+    digits = F.regexp_replace(F.regexp_extract(token, "^#[xX]?0*([0-9a-fA-F]*)", 1), "^$", "0")
+    base16 = F.lower(F.substring(token, 2, 1)) == "x"
+    number = F.when(base16, F.conv(F.substring(digits, 1, 8), 16, 10)).otherwise(
+        F.substring(digits, 1, 8)
+    )
+    fits = F.length(digits) <= 7
+    return let(
+        F.when(fits, number.try_cast("long")).otherwise(F.lit(0x110000).cast("long")), _code_point
+    )
+
+
+def _named_reference(token: Column) -> Column:
+    """A name to its text; the longest older name that starts it; or unchanged."""
+    open_name = F.regexp_extract(token, "^(?:%s)" % "|".join(_OPEN_NAMES), 0)
     names = _table(html.entities.html5)
-    prefix = F.regexp_extract(token, "^(?:%s)" % "|".join(_OPEN_NAMES), 0)
-    rest = token.substr(F.length(prefix) + 1, F.length(token))
-    by_prefix = F.concat(F.try_element_at(names, prefix), rest)
-    return (
-        F.when(F.lower(F.substring(token, 1, 2)) == "#x", _code_point(hexa.try_cast("long")))
-        .when(F.substring(token, 1, 1) == "#", _code_point(decimal))
-        .otherwise(
-            F.coalesce(F.try_element_at(names, token), by_prefix, F.concat(F.lit("&"), token))
-        )
+    return let(
+        F.struct(names.alias("all"), open_name.alias("start")),
+        lambda x: F.coalesce(
+            F.try_element_at(x["all"], token),
+            F.concat(
+                F.try_element_at(x["all"], x["start"]),
+                token.substr(F.length(x["start"]) + 1, F.length(token)),
+            ),
+            F.concat(F.lit("&"), token),
+        ),
     )
 
 
+def _decode_entity(token: Column) -> Column:
+    """One matched reference, without its ampersand, to text."""
+    numeric = F.substring(token, 1, 1) == "#"
+    return F.when(numeric, _numeric_reference(token)).otherwise(_named_reference(token))
+
+
 def unescape_html(c: Column) -> Column:
     """Replace every character reference (named or numeric) by its text."""
-    pieces = F.split(c, _ENTITY, -1)
-    found = F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(1))
-    decoded = F.transform(found, _decode_entity)
-    joined = F.array_join(
-        F.zip_with(pieces, decoded, lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), ""
+    return let(
+        c,
+        lambda t: F.when(
+            t.contains("&"),
+            F.array_join(
+                F.zip_with(
+                    F.split(t, _ENTITY, -1),
+                    F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(1)),
+                    lambda piece, token: F.when(token.isNull(), piece).otherwise(
+                        F.concat(piece, _decode_entity(token))
+                    ),
+                ),
+                "",
+            ),
+        ).otherwise(t),
     )
-    return F.when(c.contains("&"), joined).otherwise(c)
 
 
 def drop_non_text(c: Column) -> Column:
@@ -93,7 +131,8 @@ def drop_non_text(c: Column) -> Column:
 
 def markup_to_text(fragment: Column) -> Column:
     """Text of an HTML fragment: tags separate words, whitespace collapses."""
-    return collapse_whitespace(unescape_html(F.regexp_replace(fragment, _TAG, " ")))
+    bare = F.when(fragment.contains("<"), F.regexp_replace(fragment, _TAG, " ")).otherwise(fragment)
+    return collapse_whitespace(unescape_html(bare))
 
 
 def url_format_valid(url: Column) -> Column:

@@ -19,10 +19,12 @@ def calendar_spine(
 ) -> DataFrame:
     """One row per key and day (or month end) between its first and last date."""
     bounds = df.groupBy(*key).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
-    return bounds.select(*key, F.explode(_steps(F.col("_lo"), F.col("_hi"), unit)).alias(date))
+    return bounds.select(*key, F.explode_outer(_steps(F.col("_lo"), F.col("_hi"), unit)).alias(date))
 
 
 def _steps(lo: Column, hi: Column, unit: str) -> Column:
+    """The calendar between two dates; never empty, so explode_outer is explode
+    without the optimizer's extra filter that would build the sequence again."""
     if unit == "day":
         return F.sequence(lo, hi, F.expr("interval 1 day"))
     if unit == "month_end":
@@ -47,7 +49,7 @@ def densify(
         end = F.add_months(F.trunc(nxt, "month"), -1)
     others = [c for c in df.columns if c not in (*key, date)]
     stretched = df.withColumn("_end", F.coalesce(end, F.col(date))).select(
-        *df.columns, F.posexplode(_steps(F.col(date), F.col("_end"), unit)).alias("_i", "_d")
+        *df.columns, F.posexplode_outer(_steps(F.col(date), F.col("_end"), unit)).alias("_i", "_d")
     )
     return stretched.select(
         *[

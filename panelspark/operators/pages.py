@@ -15,6 +15,7 @@ from ..functions.text import (
     collapse_whitespace,
     drop_non_text,
     empty_to_null,
+    let,
     limit_text,
     markup_to_text,
     source_url_valid,
@@ -50,69 +51,72 @@ def page_headings(pages: DataFrame, *, html: str = "html", cap: int = K.MAX_HEAD
     return pages.withColumn("headings", headings_of(F.col(html), cap))
 
 
-def _cells(row: Column) -> Column:
-    return F.regexp_extract_all(row, F.lit(_CELL), F.lit(1))
-
-
-def _header_names(first: Column, count: Column) -> Column:
+def _header_names(header: Column, count: Column) -> Column:
     """Column names: header text or ``column_n``; repeats get ``_2``, ``_3``, ..."""
     base = F.transform(
         F.sequence(F.lit(1), count),
         lambda i: F.coalesce(
-            empty_to_null(F.try_element_at(first, i)),
+            empty_to_null(F.try_element_at(header, i)),
             F.concat(F.lit("column_"), i.cast("string")),
         ),
     )
 
-    def numbered(name: Column, i: Column) -> Column:
-        seen = F.size(F.filter(F.slice(base, 1, i + 1), lambda x: x == name))
-        return F.when(seen > 1, F.concat_ws("_", name, seen.cast("string"))).otherwise(name)
+    def number(names: Column) -> Column:
+        def numbered(name: Column, i: Column) -> Column:
+            seen = F.size(F.filter(F.slice(names, 1, i + 1), lambda x: x == name))
+            return F.when(seen > 1, F.concat_ws("_", name, seen.cast("string"))).otherwise(name)
 
-    return F.transform(base, numbered)
+        return F.transform(names, numbered)
 
+    return let(base, number)
 
-def _preview(table: Column) -> Column:
-    """``array<map<header, text>>`` of one table; empty if it has no cells."""
-    rows = F.slice(F.regexp_extract_all(table, F.lit(_ROW), F.lit(1)), 1, K.MAX_TABLE_ROWS + 1)
-    first = F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit(""))
-    has_header = first.rlike(r"(?i)<th\b")
-    data = F.slice(
-        F.when(has_header, F.slice(rows, 2, K.MAX_TABLE_ROWS)).otherwise(rows),
-        1,
-        K.MAX_TABLE_ROWS,
-    )
-    texts = F.transform(
-        data,
-        lambda r: F.transform(
-            _cells(r), lambda c: limit_text(markup_to_text(c), K.MAX_CELL_CHARS)
-        ),
-    )
-    header = F.when(
-        has_header,
-        F.transform(_cells(first), lambda c: limit_text(markup_to_text(c), K.MAX_HEADING_CHARS)),
-    ).otherwise(F.array().cast("array<string>"))
-    widest = F.greatest(
-        F.size(header), F.coalesce(F.array_max(F.transform(texts, F.size)), F.lit(0))
+
+def _record(names: Column, cells: Column) -> Column:
+    """One row as a map; short rows give NULLs.
+
+    A suffixed name may equal another header text; the last column wins.
+    """
+
+    def value(name: Column) -> Column:
+        at = F.size(names) - F.array_position(F.reverse(names), name) + 1
+        text = F.try_element_at(cells, at.cast("int"))
+        return empty_to_null(limit_text(text, K.MAX_CELL_CHARS))
+
+    return let(F.array_distinct(names), lambda u: F.map_from_arrays(u, F.transform(u, value)))
+
+
+def _preview(rows: Column) -> Column:
+    """Records of one table given as ``array<struct<th, cells>>``; may be empty."""
+    has_header = F.coalesce(F.try_element_at(rows, F.lit(1))["th"], F.lit(False))
+    no_cells = F.array().cast("array<string>")
+    parts = F.struct(
+        F.when(
+            has_header,
+            F.transform(
+                F.element_at(rows, 1)["cells"], lambda c: limit_text(c, K.MAX_HEADING_CHARS)
+            ),
+        )
+        .otherwise(no_cells)
+        .alias("header"),
+        F.slice(rows, F.when(has_header, 2).otherwise(1), K.MAX_TABLE_ROWS).alias("data"),
     )
-    count = F.least(widest, F.lit(K.MAX_TABLE_COLUMNS))
-    empty = F.array().cast("array<map<string,string>>")
 
-    def record(cells: Column) -> Column:
-        values = F.transform(
-            F.sequence(F.lit(1), count), lambda i: empty_to_null(F.try_element_at(cells, i))
+    def named(p: Column) -> Column:
+        widest = F.aggregate(
+            p["data"], F.size(p["header"]), lambda n, r: F.greatest(n, F.size(r["cells"]))
         )
-        names = _header_names(header, count)
-        # A suffixed name may equal another header text; the last column wins.
-        unique = F.array_distinct(names)
-        last = F.transform(
-            unique,
-            lambda n: F.try_element_at(
-                values, (F.size(names) - F.array_position(F.reverse(names), n) + 1).cast("int")
-            ),
+        count = F.least(widest, F.lit(K.MAX_TABLE_COLUMNS))
+        names = let(
+            count, lambda n: F.when(n > 0, _header_names(p["header"], n)).otherwise(no_cells)
         )
-        return F.map_from_arrays(unique, last)
+        return F.struct(names.alias("names"), p["data"].alias("data"))
 
-    return F.when(count > 0, F.transform(texts, record)).otherwise(empty)
+    def build(p: Column) -> Column:
+        empty = F.array().cast("array<map<string,string>>")
+        records = F.transform(p["data"], lambda r: _record(p["names"], r["cells"]))
+        return F.when(F.size(p["names"]) > 0, records).otherwise(empty)
+
+    return let(let(parts, named), build)
 
 
 def page_table_preview(pages: DataFrame, *, html: str = "html") -> DataFrame:
@@ -126,8 +130,19 @@ def page_table_preview(pages: DataFrame, *, html: str = "html") -> DataFrame:
         1,
         K.MAX_TABLES,
     )
-    previews = F.filter(F.transform(tables, _preview), lambda p: F.size(p) > 0)
-    return pages.withColumn("table_previews", previews)
+
+    def row(r: Column) -> Column:
+        cells = F.regexp_extract_all(r, F.lit(_CELL), F.lit(1))
+        return F.struct(
+            r.rlike(r"(?i)<th\b").alias("th"), F.transform(cells, markup_to_text).alias("cells")
+        )
+
+    def rows(table: Column) -> Column:
+        found = F.regexp_extract_all(table, F.lit(_ROW), F.lit(1))
+        return F.transform(F.slice(found, 1, K.MAX_TABLE_ROWS + 1), row)
+
+    previews = F.transform(tables, lambda t: let(rows(t), _preview))
+    return pages.withColumn("table_previews", F.filter(previews, lambda p: F.size(p) > 0))
 
 
 def validate_source(
@@ -274,23 +289,54 @@ def _inner_of_class(html: Column, name: str) -> Column:
     return F.when(html.rlike(pattern), markup_to_text(F.regexp_extract(html, pattern, 2)))
 
 
-def _year_panels(pages: DataFrame) -> DataFrame:
-    panel_open = (
-        r"(?is)<div\b(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?panel(?:\s[^\"']*)?[\"'])"
-        r"(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?panel-default(?:\s[^\"']*)?[\"'])[^>]*>"
+_PANEL_OPEN = (
+    r"(?is)<div\b(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?panel(?:\s[^\"']*)?[\"'])"
+    r"(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?panel-default(?:\s[^\"']*)?[\"'])[^>]*>"
+)
+_H4 = r"(?is)<h4\b[^>]*>(.*?)</h4\s*>"
+
+
+def _year_panels(pages: DataFrame, body) -> DataFrame:
+    """``(source_url, year, body)`` per yearly panel.
+
+    All markup is read inside one array expression and exploded afterwards, so
+    that later filters work on plain columns.  The outer form of explode is used
+    because for the inner one the optimizer adds a filter on the array, which
+    would read the markup again.
+    """
+
+    def panel(tail: Column) -> Column:
+        def read(inner: Column) -> Column:
+            heading = markup_to_text(F.regexp_extract(inner, _H4, 1))
+            return F.struct(
+                F.regexp_extract(heading, K.PANEL_TITLE, 1).alias("year"), body(inner).alias("body")
+            )
+
+        return let(_balanced_div(tail), read)
+
+    panels = F.transform(_after_each(drop_non_text(F.col("html")), _PANEL_OPEN), panel)
+    return (
+        pages.select(F.col("url").alias("source_url"), F.explode_outer(panels).alias("_p"))
+        .where(F.col("_p").isNotNull() & (F.col("_p.year") != ""))
+        .select("source_url", F.col("_p.year").cast("int").alias("year"), F.col("_p.body").alias("body"))
     )
-    panels = pages.select(
-        F.col("url").alias("source_url"),
-        F.explode(_after_each(drop_non_text(F.col("html")), panel_open)).alias("_tail"),
-    ).withColumn("_panel", _balanced_div(F.col("_tail")))
-    heading = markup_to_text(F.regexp_extract("_panel", r"(?is)<h4\b[^>]*>(.*?)</h4\s*>", 1))
-    year = F.regexp_extract(heading, K.PANEL_TITLE, 1)
-    return panels.where(year != "").select("source_url", year.cast("int").alias("year"), "_panel")
 
 
 def recent_years(pages: DataFrame) -> DataFrame:
     """Years that have a panel, also when the panel lists no event."""
-    return _year_panels(pages).select("year").distinct()
+    return _year_panels(pages, lambda inner: F.lit(None).cast("string")).select("year").distinct()
+
+
+def _meeting_rows(panel: Column) -> Column:
+    def row(inner: Column) -> Column:
+        return F.struct(
+            _inner_of_class(inner, "fomc-meeting__month").alias("month"),
+            _inner_of_class(inner, "fomc-meeting__date").alias("date"),
+            F.lower(markup_to_text(inner)).alias("text"),
+        )
+
+    tails = _after_each(panel, _class_div("fomc-meeting"))
+    return F.transform(tails, lambda t: let(_balanced_div(t), row))
 
 
 def events_from_recent_pages(
@@ -301,31 +347,20 @@ def events_from_recent_pages(
     Rows that are notation votes are skipped.  ``event_date`` is NULL where the
     date cannot be read (check it with ``unreadable_events``).
     """
-    panels = _year_panels(pages)
+    panels = _year_panels(pages, _meeting_rows)
     if start_year is not None:
         panels = panels.where(F.col("year") >= start_year)
     if end_year is not None:
         panels = panels.where(F.col("year") <= end_year)
-    rows = panels.select(
-        "source_url",
-        "year",
-        F.explode(_after_each(F.col("_panel"), _class_div("fomc-meeting"))).alias("_tail"),
-    ).withColumn("_row", _balanced_div(F.col("_tail")))
-    rows = rows.select(
-        "source_url",
-        "year",
-        _inner_of_class(F.col("_row"), "fomc-meeting__month").alias("_month"),
-        _inner_of_class(F.col("_row"), "fomc-meeting__date").alias("_date"),
-        F.lower(markup_to_text(F.col("_row"))).alias("_text"),
-    ).where(
-        F.col("_month").isNotNull()
-        & F.col("_date").isNotNull()
-        & ~F.col("_text").contains("notation vote")
+    rows = panels.select("source_url", "year", F.explode_outer("body").alias("_r")).where(
+        F.col("_r.month").isNotNull()
+        & F.col("_r.date").isNotNull()
+        & ~F.col("_r.text").contains("notation vote")
     )
-    days = F.trim(F.regexp_replace("_date", r"\([^)]*\)|\*", ""))
+    days = F.trim(F.regexp_replace("_r.date", r"\([^)]*\)|\*", ""))
     return rows.select(
-        parse_decision_date(F.col("year"), F.col("_month"), days).alias("event_date"),
-        (~F.col("_text").contains("unscheduled")).alias("is_scheduled"),
+        parse_decision_date(F.col("year"), F.col("_r.month"), days).alias("event_date"),
+        (~F.col("_r.text").contains("unscheduled")).alias("is_scheduled"),
         "source_url",
     )
 
@@ -337,27 +372,29 @@ def events_from_archive_pages(pages: DataFrame) -> DataFrame:
     A call counts only if a link named "Statement" follows before the next
     heading.  ``event_date`` is NULL where a heading cannot be read.
     """
-    sections = pages.select(
-        F.col("url").alias("source_url"),
-        "year",
-        F.explode(_after_each(drop_non_text(F.col("html")), r"(?i)<h5\b[^>]*>")).alias("_section"),
-    )
-    parts = sections.select(
-        "source_url",
-        "year",
-        "_section",
-        markup_to_text(F.regexp_extract("_section", r"(?is)^(.*?)</h5\s*>", 1)).alias("_heading"),
+    anchor = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
+
+    def section(part: Column) -> Column:
+        links = F.regexp_extract_all(part, F.lit(anchor), F.lit(1))
+        return F.struct(
+            markup_to_text(F.regexp_extract(part, r"(?is)^(.*?)</h5\s*>", 1)).alias("heading"),
+            F.exists(links, lambda a: F.lower(markup_to_text(a)) == "statement").alias("statement"),
+        )
+
+    sections = F.transform(
+        _after_each(drop_non_text(F.col("html")), r"(?i)<h5\b[^>]*>"), section
     )
-    group = lambda i: F.regexp_extract("_heading", K.ARCHIVE_HEADING, i)
-    links = F.regexp_extract_all("_section", F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1))
-    has_statement = F.exists(links, lambda a: F.lower(markup_to_text(a)) == "statement")
+    parts = pages.select(
+        F.col("url").alias("source_url"), "year", F.explode_outer(sections).alias("_s")
+    ).where(F.col("_s").isNotNull())
+    group = lambda i: F.regexp_extract("_s.heading", K.ARCHIVE_HEADING, i)
     read = parts.select(
         "source_url",
         "year",
         group(1).alias("_raw"),
         F.lower(group(2)).alias("_kind"),
         group(3).alias("_year"),
-        has_statement.alias("_statement"),
+        F.col("_s.statement").alias("_statement"),
     ).where(
         (F.col("_year") == F.col("year").cast("string"))
         & ((F.col("_kind") == "meeting") | F.col("_statement"))

@@ -58,13 +58,16 @@ def read_series_csv(
 _OBSERVATIONS = "observations array<struct<date:string,value:string>>"
 
 
-def read_series_json(spark: SparkSession, path: str, *, on_violation: str = "raise") -> DataFrame:
+def read_series_json(
+    spark: SparkSession, path: str, *, multi_line: bool = True, on_violation: str = "raise"
+) -> DataFrame:
     """Landed API documents ``{"observations": [{"date", "value"}, ...]}`` to rows.
 
     ``.`` (and any other non-number) is a missing value.  A document without the
     list or without its fields is an error, and so are duplicate dates.
+    ``multi_line`` reads one document per file, otherwise one per line.
     """
-    docs = spark.read.schema(_OBSERVATIONS).option("multiLine", True).json(path)
+    docs = spark.read.schema(_OBSERVATIONS).option("multiLine", multi_line).json(path)
     return parse_series_json(docs, on_violation=on_violation)
 
 
@@ -92,10 +95,16 @@ def series_catalog(spark: SparkSession) -> DataFrame:
     )
 
 
+_FILE_NAME = r"/(?:logical_name=)?([^/=]+?)(?:\.csv)?(?:/part-[^/]*)?$"
+
+
 def read_series_catalog(
     spark: SparkSession, folder: str, catalog: DataFrame | None = None
 ) -> DataFrame:
-    """All ``<logical_name>.csv`` files of a folder as one long, tagged table.
+    """All declared series files below a folder as one long, tagged table.
+
+    A series is a file or folder ``<logical_name>.csv``, or a partition folder
+    ``logical_name=<logical_name>``.
 
     The catalog is a fixed, small table and is broadcast.  Files that are not
     declared are left out; ``missing_series`` lists declared ones without rows.
@@ -105,10 +114,7 @@ def read_series_catalog(
         spark.read.option("header", True)
         .schema("date string, value string")
         .csv(folder, recursiveFileLookup=True, pathGlobFilter="*.csv")
-        .withColumn(
-            "logical_name",
-            F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)\.csv(?:/[^/]*)?$", 1),
-        )
+        .withColumn("logical_name", F.regexp_extract(F.col("_metadata.file_path"), _FILE_NAME, 1))
     )
     tagged = text.join(F.broadcast(catalog), "logical_name")
     return _typed_series(tagged, ["logical_name", "series_id", "frequency", "role"])
