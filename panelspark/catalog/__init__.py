@@ -2,6 +2,17 @@
 
 from .registry import ORACLE, QUERIES
 
-from . import aggregates, asof, calendar, extraction, history, io, rules, scalars  # noqa: F401
+from . import (  # noqa: F401,E402
+    aggregates,
+    asof,
+    calendar,
+    composites,
+    extraction,
+    history,
+    io,
+    model,
+    rules,
+    scalars,
+)
 
 __all__ = ["ORACLE", "QUERIES"]

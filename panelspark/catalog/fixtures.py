@@ -107,7 +107,7 @@ def decision_features(spark, sf_dir) -> DataFrame:
 
 def measures(spark, sf_dir) -> DataFrame:
     """Per nation and day: the measures behind the composite pipelines."""
-    scaled = lambda f, c: f(F.col(c).cast("decimal(9,2)")).cast("double") * 100
+    scaled = lambda f, c: (f(F.col(c).cast("decimal(9,2)")) * 100).cast("double")
     return (
         _shipped(spark, sf_dir)
         .groupBy(F.col("s_nationkey").alias("k"), F.col("l_shipdate").cast("date").alias("date"))

@@ -79,10 +79,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT s_nationkey AS k, CAST(l_shipdate AS DATE) AS date,
            min(l_quantity) / 4 AS qlo, max(l_quantity) / 4 AS qhi,
            CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price,
-           CAST(max(CAST(l_tax AS DECIMAL(9,2))) AS DOUBLE) * 100 AS tax_hi,
-           CAST(min(CAST(l_tax AS DECIMAL(9,2))) AS DOUBLE) * 100 AS tax_lo,
-           CAST(max(CAST(l_discount AS DECIMAL(9,2))) AS DOUBLE) * 100 AS disc_hi,
-           CAST(min(CAST(l_discount AS DECIMAL(9,2))) AS DOUBLE) * 100 AS disc_lo
+           CAST(max(CAST(l_tax AS DECIMAL(9,2))) * 100 AS DOUBLE) AS tax_hi,
+           CAST(min(CAST(l_tax AS DECIMAL(9,2))) * 100 AS DOUBLE) AS tax_lo,
+           CAST(max(CAST(l_discount AS DECIMAL(9,2))) * 100 AS DOUBLE) AS disc_hi,
+           CAST(min(CAST(l_discount AS DECIMAL(9,2))) * 100 AS DOUBLE) AS disc_lo
            FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""",
     ),
     # One event per key and day: the largest order.

@@ -178,11 +178,16 @@ def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
     """Split into rows that keep every rule and rows that break one or more.
 
     Rejected rows carry ``broken_rules``, the names of the rules they break.
+
+    The names leave the rule expressions through a one-element explode.  A filter
+    on a plain column would be pushed down and copied into the optimizer's
+    constraints with every rule inside, which grows exponentially with the
+    aliases of a wide panel.
     """
     names = F.array_compact(
         F.array(*[F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in rules])
     )
-    marked = df.withColumn("broken_rules", names)
+    marked = df.select("*", F.explode_outer(F.array(names)).alias("broken_rules"))
     good = marked.where(F.size("broken_rules") == 0).drop("broken_rules")
     return good, marked.where(F.size("broken_rules") > 0)
 
