@@ -88,8 +88,9 @@ def event_alignment(spark, sf):
 
 
 def clean_of(spark, sf):
-    """Measures, daily policy and the good rows of the clean panel."""
+    """Inputs with the daily policy as a written table, good and rejected events."""
     x = inputs(spark, sf)
+    x["policy"] = fx.materialise(policy_of(x), "policy")
     panel = pm.build_clean_panel(
         point=x["point"],
         lower=x["lower"],
@@ -99,6 +100,7 @@ def clean_of(spark, sf):
         natural=x["natural"],
         events=fx.daily_events(spark, sf),
         key=_KEY,
+        policy=x["policy"],
         on_violation="quarantine",
     )
     return x, *panel
@@ -139,7 +141,7 @@ _RATE = """(SELECT c.*, c.policy_rate_before AS rate_level, c.policy_rate_before
 
 def _clean_and_policy(spark, sf):
     x, good, _ = clean_of(spark, sf)
-    return x, fx.materialise(policy_of(x), "policy"), fx.materialise(good, "clean_panel")
+    return x, x["policy"], fx.materialise(good, "clean_panel")
 
 
 @query(

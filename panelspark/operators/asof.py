@@ -198,23 +198,30 @@ def asof_multi(
     max_age_days: int | None = None,
     left_unique: bool = False,
 ) -> DataFrame:
-    """Several series of one long table onto one calendar, in one shuffle.
+    """Several series of one long table onto one calendar, in one window pass.
 
-    Adds ``<id>`` and ``<id>_reference_date`` per series.  NULL values are not
+    ``series`` is unique on ``(key, date, series_id)``.  Adds ``<id>`` and ``<id>_reference_date`` per series.  NULL values are not
     available and are skipped.
     """
+    # One row per key and date first (combined map-side), so that the window
+    # sorts as many rows as there are dates, not dates times series.
+    wide = (
+        series.where(F.col(series_id).isin(*series_ids))
+        .groupBy(*key, series_date)
+        .agg(*[F.max(F.when(F.col(series_id) == s, F.col(value))).alias(s) for s in series_ids])
+    )
     picks = [
         Pick(
-            {value: sid},
-            reference_col=f"{sid}_reference_date",
-            where=(F.col(series_id) == sid) & F.col(value).isNotNull(),
+            {s: s},
+            reference_col=f"{s}_reference_date",
+            where=F.col(s).isNotNull(),
             tolerance_days=max_age_days,
         )
-        for sid in series_ids
+        for s in series_ids
     ]
     return asof_many(
         events,
-        [Source(series, series_date, picks, allow_exact)],
+        [Source(wide, series_date, picks, allow_exact)],
         key=key,
         left_date=event_date,
         left_unique=left_unique,

@@ -15,15 +15,18 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as T
 
 SLICE = "_slice"
+#: Slice number of rows whose key was not cut.
+WHOLE = -1
 
 #: Rows one window task may hold before its key is cut.
 MAX_ROWS = 5_000_000
-#: A key is only cut when it also exceeds this fraction of all rows, which bounds
-#: the number of hot keys, and of slices per key, by ``SPREAD``.
-SPREAD = 1000
+#: A key is only cut when it also exceeds this fraction of all rows.  At most
+#: ``SPREAD`` keys can do so, and all their slices together number at most twice
+#: that, which bounds every table broadcast below.
+SPREAD = 10_000
+_STRIDE = 64
 
 
 @dataclass(frozen=True)
@@ -45,11 +48,11 @@ def slice_hot_keys(
 ) -> Sliced:
     """Cut keys with more than ``max_rows`` rows at quantiles of ``order``.
 
-    One aggregation with map-side combine decides; only if it finds a hot key do
-    two more small jobs run.  The cut points come to the driver, at most
-    ``spread`` keys with ``spread`` points each, so that every use of the result
-    sees the same slices.  Rows with equal ``order`` stay in one slice.
-    ``max_rows=None`` states that the key is bounded already.
+    One aggregation with map-side combine decides; only if it finds a hot key
+    does a second job fetch the cut points, one per ``max_rows`` rows of a hot
+    key.  They come to the driver so that every use of the result sees the same
+    slices.  Rows with equal ``order`` stay in one slice.  ``max_rows=None``
+    states that the key is bounded already.
     """
     key = list(key)
     if max_rows is None:
@@ -61,31 +64,47 @@ def slice_hot_keys(
         return Sliced(df, key, False)
 
     limit = max(max_rows, top.total // spread)
-    pieces = min(spread, -(-top.top // limit))
-    if pieces < 2:
+    finest = -(-top.top // limit)
+    if finest < 2:
         return Sliced(df, key, False)
-    hot_keys = counts.where(F.col("_n") > limit).select(*key)
+    hot_keys = counts.where(F.col("_n") > limit)
+    quantiles = [i / finest for i in range(1, finest)]
+    # Each hot key keeps as many of the evenly spaced points as its size asks for.
+    pieces = F.ceil(F.col("_n") / limit)
+    keep = lambda c, i: F.floor((i + 1) * pieces / finest) > F.floor(i * pieces / finest)
     cuts = (
         df.select(*key, order)
-        .join(F.broadcast(hot_keys), key, "left_semi")
+        .join(F.broadcast(hot_keys), key)
         .groupBy(*key)
         .agg(
-            F.percentile_approx(order, [i / pieces for i in range(1, pieces)]).alias("_cuts")
+            F.percentile_approx(order, quantiles, max(10_000, 10 * finest)).alias("_all"),
+            F.first("_n").alias("_n"),
         )
+        .select(*key, F.array_distinct(F.filter("_all", keep)).alias("_cuts"))
     )
-    schema = T.StructType([*df.select(*key).schema.fields, cuts.schema["_cuts"]])
-    fixed = df.sparkSession.createDataFrame(cuts.collect(), schema)
-    sliced = df.join(F.broadcast(fixed), key, "left").withColumn(
-        SLICE,
-        F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order))), F.lit(0)),
+    fixed = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+    every = F.filter("_cuts", lambda c, i: (i + 1) % _STRIDE == 0)
+    fixed = fixed.withColumn("_coarse", every)
+    # Count the cut points at or before the row: whole strides first, then the rest.
+    at_or_before = lambda c: c <= F.col(order)
+    strides = F.size(F.filter("_coarse", at_or_before)) * _STRIDE
+    rest = F.size(F.filter(F.slice("_cuts", F.col("_skip") + 1, _STRIDE), at_or_before))
+    cold = F.col("_cuts").isNull()
+    sliced = (
+        df.join(F.broadcast(fixed), key, "left")
+        .withColumn("_skip", F.when(cold, 0).otherwise(strides))
+        .withColumn(SLICE, F.when(cold, WHOLE).otherwise(F.col("_skip") + rest))
     )
-    # size() of a NULL array is -1 under the legacy setting and NULL otherwise.
-    sliced = sliced.withColumn(SLICE, F.greatest(SLICE, F.lit(0)))
-    return Sliced(sliced.drop("_cuts"), [*key, SLICE], True)
+    return Sliced(sliced.drop("_cuts", "_coarse", "_skip"), [*key, SLICE], True)
+
+
+def _cut_rows(cut: Sliced) -> DataFrame:
+    """Rows of the keys that were cut; only they have state to hand over."""
+    return cut.df.where(F.col(SLICE) > WHOLE)
 
 
 def _add_carry(df: DataFrame, carry: DataFrame, partition: Sequence[str]) -> DataFrame:
-    """Attach slice state.  One row per slice, bounded by SPREAD * SPREAD."""
+    """Attach slice state: one row per slice of a cut key, at most 2 * SPREAD."""
     return df.join(F.broadcast(carry), list(partition), "left")
 
 
@@ -118,7 +137,7 @@ def running_last(
         return local
 
     pick = F.min_by if reverse else F.max_by
-    ends = cut.df.groupBy(*cut.partition).agg(
+    ends = _cut_rows(cut).groupBy(*cut.partition).agg(
         *[
             # NULL ordering values are ignored by max_by / min_by.
             pick(values[n], F.when(values[n].isNotNull(), F.col(order[0]))).alias(n)
@@ -177,7 +196,8 @@ def prior_rows(
 
     whole = Window.partitionBy(*cut.partition)
     ends = (
-        numbered.withColumn("_size", F.count(F.lit(1)).over(whole))
+        numbered.where(F.col(SLICE) > WHOLE)
+        .withColumn("_size", F.count(F.lit(1)).over(whole))
         .groupBy(*cut.partition)
         .agg(
             F.max("_pos").alias("_size"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 import datetime as dt
-import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -234,6 +233,11 @@ def topk_chart_rows(df: DataFrame, *, value: str, name: str, k: int) -> DataFram
 # --- chronological split and folds -------------------------------------------
 
 
+def _all_days():
+    """The whole table of calendar days; see ``_date_counts``."""
+    return Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _date_counts(df: DataFrame, *, date: str, label: str | None, classes: Sequence) -> DataFrame:
     """Rows per calendar day with running totals.
 
@@ -272,14 +276,19 @@ def chronological_split(
     """
     if not 0 < test_fraction < 1:
         raise ValueError("test_fraction must be between zero and one")
+    # One job: one row per calendar day, folded to the three scalars needed.
     days = _date_counts(df, date=date, label=None, classes=())
-    n = days.agg(F.max("upto")).first()[0] or 0
-    keep = n - math.ceil(n * test_fraction)
-    cut = days.where(F.col("upto") - F.col("rows") <= keep).agg(F.max("day")).first()[0]
+    n = F.max("upto").over(_all_days())
+    keep = n - F.ceil(n * test_fraction)
+    found = (
+        days.withColumn("_fits", F.col("upto") - F.col("rows") <= keep)
+        .agg(F.max(F.when(F.col("_fits"), F.col("day"))).alias("cut"), F.min("day").alias("oldest"))
+        .first()
+    )
+    cut = found.cut
     if cut is None:
         raise ValueError("nothing to split")
-    first = days.agg(F.min("day")).first()[0]
-    if cut == first:
+    if cut == found.oldest:
         raise ValueError("chronological split is invalid: no whole day is left for training")
     at = F.lit(cut).cast(df.schema[date].dataType)
     return Split(cut, df.where(F.col(date) < at), df.where(F.col(date) >= at))
@@ -305,32 +314,37 @@ def forward_cv_folds(
     ``start``, validate on days from ``start`` up to but excluding ``end``
     (``None`` for the last).  Sizes follow the row counts; days stay whole.
     """
-    days = _date_counts(df, date=date, label=label, classes=classes).cache()
-    try:
-        n = days.agg(F.max("upto")).first()[0] or 0
-        done = days
-        for i in range(len(classes)):
-            done = done.where(F.col(f"_seen{i}") > 0)
-        complete = done.agg(F.min("upto")).first()[0]
-        if complete is None:
-            raise ValueError("no chronological prefix contains every class")
-        largest = (n - complete) // k
-        if largest < 1:
-            raise ValueError("not enough rows for class-complete forward folds")
-        size = min(n // (k + 1), largest)
-        # First day whose rows all lie at or after each start position.
-        wanted = [n - (k - i) * size for i in range(k)]
-        row = days.agg(
-            *[
-                F.min(F.when(F.col("upto") - F.col("rows") >= p, F.col("day"))).alias(f"s{i}")
-                for i, p in enumerate(wanted)
-            ]
-        ).first()
-        starts = [row[f"s{i}"] for i in range(k)]
-        if None in starts or len(set(starts)) < k:
-            raise ValueError("too few distinct days for the requested folds")
-    finally:
-        days.unpersist()
+    # One job: the fold starts follow from the row totals of each calendar day.
+    days = _date_counts(df, date=date, label=label, classes=classes)
+    seen_all = F.lit(True)
+    for i in range(len(classes)):
+        seen_all = seen_all & (F.col(f"_seen{i}") > 0)
+    sized = days.select(
+        "day",
+        (F.col("upto") - F.col("rows")).alias("before"),
+        F.max("upto").over(_all_days()).alias("n"),
+        F.min(F.when(seen_all, F.col("upto"))).over(_all_days()).alias("complete"),
+    )
+    largest = F.floor((F.col("n") - F.col("complete")) / k)
+    sized = sized.withColumn("largest", largest).withColumn(
+        "size", F.least(F.floor(F.col("n") / (k + 1)), F.col("largest"))
+    )
+    # First day whose rows all lie at or after each start position.
+    start = lambda i: F.min(
+        F.when(F.col("before") >= F.col("n") - (k - i) * F.col("size"), F.col("day"))
+    )
+    row = sized.agg(
+        F.max("complete").alias("complete"),
+        F.max("largest").alias("largest"),
+        *[start(i).alias(f"s{i}") for i in range(k)],
+    ).first()
+    if row.complete is None:
+        raise ValueError("no chronological prefix contains every class")
+    if row.largest < 1:
+        raise ValueError("not enough rows for class-complete forward folds")
+    starts = [row[f"s{i}"] for i in range(k)]
+    if None in starts or len(set(starts)) < k:
+        raise ValueError("too few distinct days for the requested folds")
     return [
         {"fold": i + 1, "start": s, "end": starts[i + 1] if i + 1 < k else None}
         for i, s in enumerate(starts)

@@ -204,14 +204,18 @@ def build_clean_panel(
     natural: DataFrame,
     events: DataFrame,
     key: Sequence[str],
+    policy: DataFrame | None = None,
     on_violation: str = "raise",
 ):
     """Raw keyed series and events to the labelled event panel.
 
-    ``raise`` checks every rule in one job and returns the panel; ``quarantine``
+    ``policy`` is the daily splice if it is at hand as a written table; it is
+    used by the monthly panel, the alignment and later the rate features, so at
+    scale it should be computed once.  ``raise`` checks every rule in one job and returns the panel; ``quarantine``
     returns good and rejected events lazily; ``none`` returns it unchecked.
     """
-    policy = splice_series(point, lower, upper, key=key)
+    if policy is None:
+        policy = splice_series(point, lower, upper, key=key)
     monthly = monthly_panel(
         policy,
         inflation_monthly(index, key=key),

@@ -82,7 +82,7 @@ def session():
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel(os.environ.get("LOG", "ERROR"))
     return spark
 
 

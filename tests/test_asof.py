@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from panelspark.operators.asof import Pick, Source, asof_calendar_offset, asof_join, asof_many
-from panelspark.operators.hotkeys import SLICE, slice_hot_keys
+from panelspark.operators.hotkeys import SLICE, WHOLE, slice_hot_keys
 
 D = dt.date
 
@@ -132,12 +132,14 @@ def test_hot_timestamp_keys_are_sliced(spark, direction, exact, unique):
 
 
 def test_slices_are_bounded_and_ordered(spark):
-    rows = [("hot", i) for i in range(1000)] + [(f"c{i}", i) for i in range(100)]
-    cut = slice_hot_keys(frame(spark, rows, "k string, o int"), key=["k"], order="o", max_rows=50)
+    rows = [("hot", i) for i in range(4000)] + [("warm", i) for i in range(90)] + [(f"c{i}", i) for i in range(100)]
+    cut = slice_hot_keys(frame(spark, rows, "k string, o int"), key=["k"], order="o", max_rows=40)
     assert cut.hot
     sizes = cut.df.groupBy("k", SLICE).count().collect()
-    assert max(r["count"] for r in sizes) <= 120
+    assert max(r["count"] for r in sizes) <= 100
+    assert len([r for r in sizes if r.k == "hot"]) > 80
+    assert 2 <= len([r for r in sizes if r.k == "warm"]) <= 4
     hot = sorted((r[SLICE], r.o) for r in cut.df.where("k = 'hot'").collect())
-    assert [o for _, o in hot] == list(range(1000))
-    assert {r[SLICE] for r in cut.df.where("k <> 'hot'").collect()} == {0}
+    assert [o for _, o in hot] == list(range(4000))
+    assert {r[SLICE] for r in cut.df.where("k NOT IN ('hot', 'warm')").collect()} == {WHOLE}
     assert cut.df.count() == len(rows)
