@@ -8,31 +8,27 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session (``spark.checkpoint.dir``).
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Without that setting the checkpoint folder of the context is used; only a
+    local session that has none either gets a temporary folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = _configured(spark)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="panelspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/panelspark/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df):
-    """Materialise ``df`` reliably in the shared checkpoint folder."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
