@@ -7,8 +7,12 @@ import json
 
 from pyspark.sql import Column, functions as F
 
-# Python's str.split() whitespace: Unicode white space plus the four separators.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# White space as Python's str.split() has it: Unicode's, plus the four separators.
+_SPACE = r"[\s\x1c-\x1f]"
+# Runs to replace by one space: white space that is not a plain space, or is
+# followed by more.  Single spaces between words match nothing.
+_RUN = rf"(?U){_SPACE}(?:(?<! )|{_SPACE}){_SPACE}*"
+_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
 
 # Comments, scripts and styles hold no page text.
 _NOT_TEXT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -30,7 +34,12 @@ def _table(mapping: dict[str, str]) -> Column:
 
 
 def collapse_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, WHITESPACE, " "))
+    return F.trim(F.regexp_replace(c, _RUN, " "))
+
+
+def strip_whitespace(c: Column) -> Column:
+    """Strip white space of any kind from both ends."""
+    return F.regexp_replace(c, _EDGES, "")
 
 
 def limit_text(c: Column, limit: int) -> Column:

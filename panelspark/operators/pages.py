@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import constants as K
 from ..functions.dates import parse_decision_date
 from ..functions.text import (
-    collapse_whitespace,
     drop_non_text,
     empty_to_null,
     let,
     limit_text,
     markup_to_text,
     source_url_valid,
+    strip_whitespace,
 )
 
 # Fixed patterns of the elements read.
@@ -149,7 +149,7 @@ def validate_source(
     df: DataFrame, *, source_id: str = "source_id", category: str = "category", url: str = "url"
 ) -> DataFrame:
     """Trim the three fields and add ``source_error`` (NULL if the source is valid)."""
-    trimmed = df.withColumns({c: collapse_edges(F.col(c)) for c in (source_id, category, url)})
+    trimmed = df.withColumns({c: strip_whitespace(F.col(c)) for c in (source_id, category, url)})
     error = F.lit(None).cast("string")
     error = F.when(~source_url_valid(F.col(url)), "invalid url").otherwise(error)
     for c in (url, category, source_id):
@@ -157,11 +157,6 @@ def validate_source(
     return trimmed.withColumn("source_error", error)
 
 
-def collapse_edges(c: Column) -> Column:
-    """Strip white space of any kind from both ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-
-
 def duplicate_source_ids(df: DataFrame, *, source_id: str = "source_id") -> DataFrame:
     """Source ids that occur more than once."""
     return df.groupBy(source_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
