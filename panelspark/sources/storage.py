@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def _configured(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``).
+    """The folder that the driver and all executors share.
 
-    Without that setting the checkpoint folder of the context is used; only a
-    local session that has none either gets a temporary folder of its own.
+    ``spark.checkpoint.dir`` of the session, else the checkpoint folder of the
+    context, else a folder in the warehouse.  Never a machine-local temporary
+    folder, whatever the master is.
     """
-    configured = _configured(spark)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-"))
-    return context.getCheckpointDir()
+        return configured.rstrip("/")
+    checkpoint = spark.sparkContext.getCheckpointDir()
+    if checkpoint:
+        return checkpoint.rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
