@@ -20,8 +20,12 @@ from panelspark.sources.storage import scratch_path
 
 from .common import apply_copies, lower_ascii, stage, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings of the streaming query: state on disk, without preallocated files,
+#: which many small state partitions would pay for with megabytes each.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Files of digests that one micro-batch reads.
 FILES_PER_BATCH = 1000
 
@@ -41,8 +45,9 @@ def digest_state(digests: DataFrame, checkpoint: str, files_per_batch: int = FIL
     folded = digests.groupBy("digest").agg(
         F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n")
     )
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         run = (
             folded.writeStream.format("noop")
@@ -53,7 +58,11 @@ def digest_state(digests: DataFrame, checkpoint: str, files_per_batch: int = FIL
         )
         run.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return (
         spark.read.format("statestore")
         .load(checkpoint)
