@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact, mixing, neardup, packing, secrets, sharding, toxicity, urls
+from . import ann, exact, lm, mixing, neardup, packing, secrets, sharding, toxicity, urls
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -49,6 +49,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES = {
         op4_toxicity,
         op5_exact_dedup,
         op6_secrets,
+        op7_lm_score,
         op8_nearest,
         op9_packing,
         op10_url_filter,
