@@ -301,8 +301,11 @@ def nearest(
                         }
                     )
 
-    queries = rows.where(F.col("vec_id") % every == 0).mapInPandas(
-        blocks, "q_shard int, q_rows binary, q_ids binary, q_vectors binary"
+    queries = stage(
+        rows.where(F.col("vec_id") % every == 0).mapInPandas(
+            blocks, "q_shard int, q_rows binary, q_ids binary, q_vectors binary"
+        ),
+        "query-blocks",
     )
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
