@@ -53,21 +53,22 @@ def apply_copies(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id") ->
     before they are multiplied; which of their other columns stay is not fixed.
     The columns of ``docs`` are returned unchanged.
     """
-    columns = docs.columns
-    keyed = docs.select("*", F.xxhash64(text_or_empty()).alias("_text_key"))
-    wanted = copies.where("n_out > 0")
-    on = lambda c: keyed[id_col].eqNullSafe(c["_id"]) & (keyed["_text_key"] == c["_ck"])
-    single = wanted.where("n_rows = 1").select("_id", F.col("_text_key").alias("_ck"), "n_out")
-    many = wanted.where("n_rows > 1").select("_id", F.col("_text_key").alias("_ck"), "n_out")
-    alone = keyed.join(single, on(single)).select(*columns, "n_out")
-    merged = (
-        keyed.join(many, on(many))
-        .select(*columns, "n_out", F.col("_ck"))
-        .dropDuplicates([id_col, "_ck"])
-        .select(*columns, "n_out")
+    # A row travels as one struct, so that its columns may have any name.
+    keyed = docs.select(
+        F.struct("*").alias("_row"),
+        F.col(id_col).alias("_doc"),
+        F.xxhash64(text_or_empty()).alias("_key"),
     )
+
+    def chosen(times: Column) -> DataFrame:
+        wanted = copies.where((F.col("n_out") > 0) & times).select("_id", "_text_key", "n_out")
+        same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key"))
+        return keyed.join(wanted, same)
+
+    alone = chosen(F.col("n_rows") == 1).select("_row", "n_out")
+    merged = chosen(F.col("n_rows") > 1).dropDuplicates(["_doc", "_key"]).select("_row", "n_out")
     return (
         alone.unionByName(merged)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_out").cast("int"))))
-        .select(*columns)
+        .select("_row", F.explode(F.sequence(F.lit(1), F.col("n_out").cast("int"))))
+        .select("_row.*")
     )
