@@ -24,7 +24,8 @@ WEIGHTS = (5, 2, 1)
 #: A document is taken so many times at most.
 MAX_REPEATS = 3
 #: Patterns and sources that the flow network may have: it is solved on the
-#: driver, so a column of unbounded names is refused, not cut.
+#: driver, so a column of unbounded names is refused, not cut.  Tables of one row
+#: per pattern are therefore small enough to broadcast.
 MAX_NODES = 20_000
 #: Documents of fitting size that complete a pattern.
 FILL = 3
@@ -246,7 +247,7 @@ def mix(
         ),
         "mix-cut1",
     )
-    second = rows.join(cut1, (F.col("pattern") == F.col("_p")) & (F.col("high") == F.col("cut1")))
+    second = rows.join(F.broadcast(cut1), (F.col("pattern") == F.col("_p")) & (F.col("high") == F.col("cut1")))
     second = second.groupBy("pattern", "need1", "low").agg(F.sum("size").alias("size"))
     cut2 = stage(
         _cut(second, "need1", ["low"]).select(
@@ -258,7 +259,7 @@ def mix(
     # Rows of that bucket one by one: repeats share a key, so they are numbered
     # within their input partition and counted across partitions.
     last = (
-        rows.join(cuts, (F.col("pattern") == F.col("_p")) & (F.col("high") == F.col("cut1")) & (F.col("low") == F.col("cut2")))
+        rows.join(F.broadcast(cuts), (F.col("pattern") == F.col("_p")) & (F.col("high") == F.col("cut1")) & (F.col("low") == F.col("cut2")))
         .withColumn("part", F.shiftright("row", 33))
         .select("pattern", "need2", "key", "part", "row", "size")
     )
@@ -282,7 +283,7 @@ def mix(
         "_p", "cut1", "cut2", (F.col("need2") - F.coalesce("got", F.lit(0))).alias("left_over")
     )
     state = (
-        rows.join(rest, F.col("pattern") == F.col("_p"), "left")
+        rows.join(F.broadcast(rest), F.col("pattern") == F.col("_p"), "left")
         .join(chosen.select("chosen_row"), F.col("row") == F.col("chosen_row"), "left")
         .drop("_p")
         .withColumn(
@@ -306,7 +307,7 @@ def mix(
     copies = F.when(F.col("size") > 0, F.col("rounds") + extra.cast("long")).otherwise(0).cast("long")
     return (
         state.join(top, F.col("row") == F.col("top_row"), "left")
-        .join(plan, F.col("pattern") == F.col("_p"))
+        .join(F.broadcast(plan), F.col("pattern") == F.col("_p"))
         .withColumn("copies", copies)
         .select(
             "doc_id", "size", "source_size", "target",
@@ -324,7 +325,7 @@ def _fill(spare: DataFrame, lack: DataFrame) -> DataFrame:
     picks = None
     for _ in range(FILL):
         open_ = lack.where("left_over > 0").select(F.col("pattern").alias("_l"), "left_over")
-        near = spare.join(open_, F.col("pattern") == F.col("_l"))
+        near = spare.join(F.broadcast(open_), F.col("pattern") == F.col("_l"))
         if picks is not None:
             taken = picks.select(F.col("top_row").alias("_taken"))
             near = near.join(taken, F.col("row") == F.col("_taken"), "left_anti")
