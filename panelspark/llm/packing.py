@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -62,7 +63,8 @@ class SegmentTree:
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit decreasing over ``counts`` (pieces of each length).
+    """Best-fit decreasing over ``counts`` (pieces of each length); of equally
+    tight bins the one opened first is filled.
 
     Rows ``(length, first_rank, last_rank, first_bin, per_bin, offset)``: rank
     ``r`` of a length goes to bin ``first_bin + (r - first_rank) // per_bin``, at
@@ -77,7 +79,7 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
         if n and remaining:
             if not open_bins.setdefault(remaining, []):
                 tree.set(remaining, True)
-            open_bins[remaining].append((first, n))
+            heappush(open_bins[remaining], (first, n))
 
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
@@ -88,7 +90,7 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
                 first, n = bins, -(-left // (capacity // length))
                 bins += n
             else:
-                first, n = open_bins[remaining].pop()
+                first, n = heappop(open_bins[remaining])
                 if not open_bins[remaining]:
                     tree.set(remaining, False)
             per_bin = remaining // length
