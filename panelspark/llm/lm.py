@@ -37,11 +37,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def _packed(values: np.ndarray) -> bytes:
     """Numbers as compressed bytes, equal places of all numbers together."""
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
-    return values.dtype.str.encode() + b"|" + zlib.compress(raw.T.tobytes(), 1)
+    return values.dtype.str.encode() + b":" + zlib.compress(raw.T.tobytes(), 1)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    kind, _, data = bytes(blob).partition(b"|")
+    kind, _, data = bytes(blob).partition(b":")
     dtype = np.dtype(kind.decode())
     raw = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
     return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
