@@ -39,7 +39,7 @@ class Graph:
     """A directed graph over the rows of ``points`` (squared distances)."""
 
     def __init__(self, points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA):
-        self.x = np.ascontiguousarray(points, dtype=np.float32)
+        self.x = np.ascontiguousarray(points, dtype=np.float64)
         self.norm = np.einsum("ij,ij->i", self.x, self.x)
         self.degree, self.alpha2 = degree, alpha * alpha
         self.edges = np.full((len(self.x), degree), -1, dtype=np.int32)
@@ -48,7 +48,7 @@ class Graph:
     def distances(self, queries: np.ndarray, norms: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """From each query to its row of ``ids`` (negative: infinite)."""
         dots = np.matmul(self.x[ids], queries[:, :, None])[:, :, 0]
-        return np.where(ids < 0, np.float32(np.inf), np.maximum(norms[:, None] + self.norm[ids] - 2 * dots, 0))
+        return np.where(ids < 0, np.inf, np.maximum(norms[:, None] + self.norm[ids] - 2 * dots, 0))
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam of each query at the end: ids and distances, nearest first."""
@@ -81,7 +81,7 @@ class Graph:
             near = np.where(twice | (sorted_ < 0) | seen[at, sorted_], -1, sorted_)
             new_rows, new_cols = np.nonzero(near >= 0)
             seen[live[new_rows], near[new_rows, new_cols]] = True
-            d = np.full(near.shape, np.inf, dtype=np.float32)
+            d = np.full(near.shape, np.inf)
             hit = near[new_rows, new_cols]
             dots = np.einsum("ij,ij->i", self.x[hit], queries[live[new_rows]])
             d[new_rows, new_cols] = np.maximum(norms[live[new_rows]] + self.norm[hit] - 2 * dots, 0)
@@ -215,7 +215,7 @@ def _searched(batches: Iterator[pd.DataFrame], k: int, beam: int) -> Iterator[pd
             first = np.searchsorted(vertex[members], np.arange(len(x) + 1))
             q = np.frombuffer(r.q_vectors).reshape(-1, r.dim)
             q_rows, q_ids = np.frombuffer(r.q_rows, dtype=np.int64), np.frombuffer(r.q_ids, dtype=np.int64)
-            flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+            flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
             out = []
             for lo in range(0, len(q), BATCH):
                 found, _ = graph.search(flat[lo : lo + BATCH], beam)
