@@ -28,7 +28,6 @@ PER_SKETCH = 2
 #: Least similarity: 1 - (word edits) / (words of the longer text).
 SIMILARITY = 0.8
 #: Bits that hold the place of a k-mer beside its hash.
-_PLACE_BITS = np.uint64(28)
 _PLACE = np.uint64((1 << 28) - 1)
 #: K-mers that are hashed at once.
 _CHUNK = 1 << 16
@@ -186,10 +185,12 @@ def _sketched(tokens: DataFrame) -> DataFrame:
                     to += 1
                 rows.extend(order_min_hash(texts[at:to]))
                 at = to
-            yield pd.DataFrame({"digest": batch["digest"], "row": batch["row"], "sketches": rows})
+            yield pd.DataFrame(
+                {"digest": batch["digest"], "row": batch["row"], "n": [len(t) for t in texts], "sketches": rows}
+            )
 
     some = tokens.where(F.size("words") > 0).select("digest", "row", "words")
-    return some.mapInPandas(run, "digest binary, row long, sketches array<long>")
+    return some.mapInPandas(run, "digest binary, row long, n int, sketches array<long>")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
@@ -248,28 +249,70 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs that are not yet in one component."""
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """``node, root`` of a forest given as ``node, parent`` (one row a node).
+
+    Every step doubles the distance that pointers skip.
+    """
+    at = stage(parents.select("node", F.col("parent").alias("root")), "forest")
+    while True:
+        up = at.select(F.col("node").alias("via"), F.col("root").alias("higher"))
+        joined = at.join(up, F.col("root") == F.col("via"), "left")
+        at = stage(
+            joined.select(
+                "node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")
+            ),
+            "forest",
+        )
+        moved = at.where("moved").take(1)
+        at = at.drop("moved")
+        if not moved:
+            break
+    return at.unionByName(at.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _lifted(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``pairs`` with ``xa`` and ``xb``, the roots of their nodes, where those differ."""
     if roots is None:
-        return pairs
+        return pairs.withColumns({"xa": F.col("a"), "xb": F.col("b")})
     ra = roots.select(F.col("node").alias("na"), F.col("root").alias("xa"))
     rb = roots.select(F.col("node").alias("nb"), F.col("root").alias("xb"))
-    joined = pairs.join(ra, F.col("a") == F.col("na"), "left").join(rb, F.col("b") == F.col("nb"), "left")
-    return joined.where(F.coalesce("xa", "a") != F.coalesce("xb", "b")).select(*pairs.columns)
+    joined = pairs.join(rb, F.col("b") == F.col("nb"), "left").join(ra, F.col("a") == F.col("na"), "left")
+    return (
+        joined.withColumns({"xa": F.coalesce("xa", "a"), "xb": F.coalesce("xb", "b")})
+        .where("xa <> xb")
+        .select(*pairs.columns, "xa", "xb")
+    )
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``roots`` after the classes at both ends of each link are one."""
+    new = stage(_lifted(links, roots).select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct(), "new-links")
+    if not new.take(1):
+        return roots
+    found = components(new)
+    if roots is None:
+        return stage(found, "roots")
+    found = stage(found, "merged")
+    up = found.select(F.col("node").alias("via"), F.col("root").alias("higher"))
+    known = roots.join(up, F.col("root") == F.col("via"), "left").select(
+        "node", F.coalesce("higher", "root").alias("root")
+    )
+    fresh = found.join(roots.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
+    return stage(known.unionByName(fresh), "roots")
 
 
 def linked(nodes: DataFrame, tokens: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``node, root`` of all nodes that have a link.
 
-    ``nodes`` has ``node`` and its ``sketches``; ``tokens`` its words.
+    ``nodes`` has ``node``, its ``sketches`` and its number of words ``n``;
+    ``tokens`` its words.
     """
     members = nodes.select("node", F.posexplode("sketches").alias("sketch", "h")).select(
         F.xxhash64("sketch", "h").alias("key"), "sketch", "node"
     )
-    links: DataFrame | None = None
     roots: DataFrame | None = None
-    depth = 0
-    while True:
+    for depth in range(1, SKETCHES + 1):
         leaders = stage(
             members.groupBy(F.col("key").alias("lk"))
             .agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
@@ -281,42 +324,46 @@ def linked(nodes: DataFrame, tokens: DataFrame, least: float = SIMILARITY) -> Da
             members.join(leaders, F.col("key") == F.col("lk")).select("key", "sketch", "a", F.col("node").alias("b")),
             "met",
         )
-        pairs = met.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-        pairs = stage(_apart(pairs, roots), "pairs")
-        if not pairs.take(1):
-            break
+        shared = met.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        pairs = stage(_lifted(shared, roots).drop("xa", "xb"), "pairs")
         # The leader that shares most sketches comes first; most others then are
         # already in one class with their member.
         best = pairs.groupBy(F.col("b").alias("bb")).agg(F.max(F.struct("shared", "a")).alias("m"))
-        best = best.select(F.col("m.a").alias("a"), F.col("bb").alias("b"))
-        tried = stage(_verified(best, tokens, least), "verified")
-        for wave in (0, 1):
-            found = tried.where("link").select("a", "b")
-            links = found if links is None else links.unionByName(found)
-            roots = stage(components(links), "roots")
-            if wave == 0:
-                left = pairs.join(
-                    tried.select(F.col("a").alias("ta"), F.col("b").alias("tb")),
-                    (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")),
-                    "left_anti",
-                )
-                tried = stage(_verified(_apart(left, roots).select("a", "b"), tokens, least), "verified")
-        # Buckets with members that are not in their leader's class are split.
-        depth += 1
-        if depth >= SKETCHES:
+        tried = stage(_verified(best.select(F.col("m.a").alias("a"), F.col("bb").alias("b")), tokens, least), "verified")
+        found = tried.where("link")
+        if roots is None:  # each member has one leader, smaller than itself
+            roots = stage(forest_roots(found.select(F.col("b").alias("node"), F.col("a").alias("parent"))), "roots")
+        else:
+            roots = _merged(roots, found.select("a", "b"))
+        done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+        left = pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+        left = stage(_lifted(left.select("a", "b"), roots).select("a", "b"), "pairs-left")
+        if left.take(1):
+            more = stage(_verified(left, tokens, least), "verified")
+            roots = _merged(roots, more.where("link").select("a", "b"))
+        # Buckets with members that are not in their leader's class are split by
+        # another sketch, and by length: texts alike differ in length by a factor
+        # of ``1 / least`` at most, so they share one of two neighbouring steps.
+        apart = stage(_lifted(pairs.select("a", "b"), roots).select("a", "b"), "apart")
+        if depth == SKETCHES or not apart.take(1):
             break
-        open_keys = _apart(met, roots).select(F.col("key").alias("ok")).distinct()
+        open_keys = (
+            met.join(apart.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")))
+            .select(F.col("key").alias("ok"))
+            .distinct()
+        )
+        step = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(least)) + 1e-9)
         members = stage(
-            met.join(open_keys, F.col("key") == F.col("ok"), "left_semi")
+            met.join(stage(open_keys, "open"), F.col("key") == F.col("ok"), "left_semi")
             .join(nodes.withColumnRenamed("node", "sn"), F.col("b") == F.col("sn"))
             .select(
-                F.xxhash64("key", F.col("sketches")[(F.col("sketch") + depth) % SKETCHES]).alias("key"),
-                "sketch",
-                F.col("b").alias("node"),
-            ),
+                "key", "sketch", "b", F.col("sketches")[(F.col("sketch") + depth) % SKETCHES].alias("h"),
+                F.explode(F.array(step, step + 1) if depth == 1 else F.array(F.lit(0).cast("long"))).alias("step"),
+            )
+            .select(F.xxhash64("key", "h", "step").alias("key"), "sketch", F.col("b").alias("node")),
             "members",
         )
-    return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
+    return roots
 
 
 def near_classes(
@@ -352,9 +399,12 @@ def near_classes(
     tokens = stage(tokens, "tokens")
     sketched = _sketched(tokens)
     nodes = stage(
-        sketched.groupBy("digest").agg(F.min("row").alias("node"), F.first("sketches").alias("sketches")), "nodes"
+        sketched.groupBy("digest").agg(
+            F.min("row").alias("node"), F.first("sketches").alias("sketches"), F.max("n").alias("n")
+        ),
+        "nodes",
     )
-    roots = linked(nodes.select("node", "sketches"), tokens.select("row", "words"), least)
+    roots = linked(nodes.select("node", "sketches", "n"), tokens.select("row", "words"), least)
     by_digest = stage(
         tokens.groupBy(F.col("digest").alias("d")).agg(F.min("row").alias("first"))
         .join(roots, F.col("first") == F.col("node"), "left")
