@@ -28,8 +28,8 @@ from .neardup import words_of
 #: Longest n-gram, factor of each step back.
 ORDER, BACKOFF = 2, 0.4
 #: Words of a chunk, about; words of the corpus for each partition of a table.
-CHUNK_WORDS = 1 << 21
-TABLE_ROWS = 1 << 22
+CHUNK_WORDS = 3 << 19
+TABLE_ROWS = 1 << 21
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
