@@ -40,8 +40,8 @@ _PREV_DAYS = f"CAST(coalesce(datediff('day', CAST(lag(ts) OVER ({_W}) AS DATE),
 )
 def lag_filled(spark, sf):
     out = fx.decisions(spark, sf)
-    out = w.lag_filled(out, key=_K, order="ts", value="is_change", n=1, out="prior_change")
-    out = w.lag_filled(out, key=_K, order="ts", value="is_change", n=2, out="prior2_change")
+    out = w.lag_filled(out, key=_K, order="ts", ties=["event_id"], value="is_change", n=1, out="prior_change")
+    out = w.lag_filled(out, key=_K, order="ts", ties=["event_id"], value="is_change", n=2, out="prior2_change")
     return out.select("event_id", "prior_change", "prior2_change")
 
 
@@ -54,8 +54,8 @@ def lag_filled(spark, sf):
 )
 def prior_rolling_sum(spark, sf):
     out = fx.decisions(spark, sf)
-    out = w.prior_rolling_sum(out, key=_K, order="ts", value="is_change", out="changes")
-    out = w.prior_rolling_sum(out, key=_K, order="ts", value="dir", out="direction")
+    out = w.prior_rolling_sum(out, key=_K, order="ts", ties=["event_id"], value="is_change", out="changes")
+    out = w.prior_rolling_sum(out, key=_K, order="ts", ties=["event_id"], value="dir", out="direction")
     return out.select("event_id", "changes", "direction")
 
 
@@ -68,7 +68,7 @@ def prior_rolling_sum(spark, sf):
 )
 def prior_streak(spark, sf):
     coded = fx.decisions(spark, sf).withColumn("dir", encode_direction(F.col("decision")))
-    out = w.prior_streak(coded, key=_K, order="ts", direction="dir", out="streak")
+    out = w.prior_streak(coded, key=_K, order="ts", ties=["event_id"], direction="dir", out="streak")
     return out.select("event_id", "streak")
 
 
@@ -83,7 +83,7 @@ def prior_streak(spark, sf):
 def days_since_prior_event(spark, sf):
     # One event per customer and day: bounded by the calendar.
     out = w.days_since_prior_event(
-        fx.customer_history(spark, sf), key=_K, date="d", out="days", max_rows=None
+        fx.customer_history(spark, sf), key=_K, date="d", out="days", slices=None
     )
     return out.select("k", F.col("d").cast("string").alias("d"), "days")
 
@@ -94,7 +94,7 @@ def days_since_prior_event(spark, sf):
 )
 def days_since_prior_change(spark, sf):
     out = w.days_since_prior_change(
-        fx.decisions(spark, sf), key=_K, date="ts", flag="is_change", out="days"
+        fx.decisions(spark, sf), key=_K, date="ts", ties=["event_id"], flag="is_change", out="days"
     )
     return out.select("event_id", "days")
 
@@ -125,7 +125,7 @@ def no_lookahead_recheck(spark, sf):
     data = fx.decisions(spark, sf)
     cutoff = F.lit(dt.datetime(2024, 1, 16)).cast("timestamp_ntz")
     changed = w.no_lookahead_recheck(
-        data, key=_K, date="ts", cutoff=cutoff, size="value", scheduled=None
+        data, key=_K, date="ts", ties=["event_id"], cutoff=cutoff, size="value", scheduled=None
     )
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(name).alias("check_name"), "n"

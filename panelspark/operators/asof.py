@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import close
-from .hotkeys import MAX_ROWS, running_last
+from .hotkeys import AUTO, running_last
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def asof_many(
     key: Sequence[str],
     left_date: str,
     left_unique: bool = False,
-    max_rows: int | None = MAX_ROWS,
+    slices: str | int | None = AUTO,
 ) -> DataFrame:
     """Resolve every pick of every source for each row of ``left``.
 
@@ -110,8 +110,8 @@ def asof_many(
             usable = usable & F.col(f"{slot}.w{j}")
         return F.when(usable, got)
 
-    # A date-grained key is bounded by the calendar; see the module docstring.
-    limit = None if is_date else max_rows
+    # A date-grained key is bounded by the calendar unless the caller says otherwise.
+    limit = None if is_date and slices == AUTO else slices
     for direction in ("backward", "forward"):
         values = {
             name: value_of(slot, name, p)
@@ -125,7 +125,7 @@ def asof_many(
                 order=["_t", "_tie"],
                 values=values,
                 reverse=direction == "forward",
-                max_rows=limit,
+                slices=limit,
             )
 
     out: list[Column] = []
@@ -158,7 +158,7 @@ def asof_join(
     tolerance_days: int | None = None,
     reference_col: str | None = None,
     left_unique: bool = False,
-    max_rows: int | None = MAX_ROWS,
+    slices: str | int | None = AUTO,
 ) -> DataFrame:
     """Join each left row to the nearest right row in time.
 
@@ -180,7 +180,7 @@ def asof_join(
         key=key,
         left_date=left_date,
         left_unique=left_unique,
-        max_rows=max_rows,
+        slices=slices,
     )
 
 
@@ -291,7 +291,7 @@ def asof_calendar_offset(
         key=key,
         order=["_t", "_tie"],
         values={"_then": F.col("_v")},
-        max_rows=None,
+        slices=None,
     ).where(F.col("_left").isNotNull())
     folded = found.groupBy(*key, F.col(f"_left.{event_date}").alias(event_date)).agg(
         *[

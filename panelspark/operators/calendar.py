@@ -98,11 +98,11 @@ def forward_fill(
     key: Sequence[str],
     order: str,
     values: Sequence[str],
-    max_rows: int | None = None,
+    slices: str | int | None = None,
 ) -> DataFrame:
     """Carry the last known value forward, never backward.
 
-    ``max_rows=None`` is for rows unique per key and day; pass a number for
+    ``slices=None`` is for rows unique per key and day; pass a number for
     unbounded keys (see ``hotkeys``).
     """
     filled = running_last(
@@ -110,7 +110,7 @@ def forward_fill(
         key=key,
         order=[order],
         values={f"_f_{v}": F.col(v) for v in values},
-        max_rows=max_rows,
+        slices=slices,
     )
     return filled.select(
         *[F.col(f"_f_{c}").alias(c) if c in values else F.col(c) for c in df.columns]
@@ -141,7 +141,16 @@ def splice_regime_flag(date: Column, range_start: Column) -> Column:
 def splice_inputs(
     point: DataFrame, lower: DataFrame, upper: DataFrame, *, key: Sequence[str], date: str, value: str
 ) -> DataFrame:
-    """Stack the three inputs: one row per key and date with the three values."""
+    """Stack the three inputs: one row per key and date with the three values.
+
+    Two values of one input for a key and date are refused when the result is
+    computed; neither would be more right than the other.
+    """
+
+    def only(c: str) -> Column:
+        twice = F.raise_error(F.lit(f"{c}: more than one value for a key and date")).cast("double")
+        return F.when(F.count(c) > 1, twice).otherwise(F.max(c)).alias(c)
+
     stacked = None
     for name, df in (("point", point), ("lower", lower), ("upper", upper)):
         part = df.select(
@@ -153,9 +162,7 @@ def splice_inputs(
             ],
         )
         stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked.groupBy(*key, "date").agg(
-        F.max("point").alias("point"), F.max("lower").alias("lower"), F.max("upper").alias("upper")
-    )
+    return stacked.groupBy(*key, "date").agg(only("point"), only("lower"), only("upper"))
 
 
 def splice_wide(rows: DataFrame, *, key: Sequence[str]) -> DataFrame:
@@ -179,8 +186,8 @@ def splice_wide(rows: DataFrame, *, key: Sequence[str]) -> DataFrame:
     usable = bounded.where(
         F.col("_first").isNotNull() & F.col("_lo").isNotNull() & F.col("_up").isNotNull()
     ).withColumn("_range_start", F.greatest("_lo", "_up"))
-    # The calendar runs from the first point value to the last bound; the ends
-    # are added as rows so that it is complete even when they carry no row.
+    # The calendar runs from the first point value to the last bound, both of
+    # which are rows of this table.
     inside = usable.where(F.col("date").between(F.col("_first"), F.col("_last")))
     daily = densify(
         inside.select(*key, "date", "point", "lower", "upper", "_range_start"),

@@ -1,111 +1,67 @@
 """Ordered windows that survive hot keys.
 
-A window partitioned by an entity puts all rows of that entity in one task.
-Where a key has at most one row per calendar day that is bounded by the calendar
-and plain windows are used.  Where it is not (timestamps), one entity may hold a
-large share of all rows, and Spark cannot split a window partition at run time.
-The helpers here cut such an entity into consecutive slices of its own order,
-run the window inside each slice, and hand the state at the end of one slice to
-the next through a small table (one row per slice).
+A window partitioned by an entity puts all rows of that entity in one task, and
+Spark cannot split a window partition at run time.  Where a key has at most one
+row per calendar day that is bounded by the calendar and plain windows are used
+(``slices=None``).  Everywhere else there is one plan for every size: rows are
+cut into slices of ``(key, period of the order column)``, the window runs inside
+each slice, every slice is reduced to one end row (combined in the map tasks),
+and the state of the end rows before a slice is joined back to it.  The largest
+unit of work is one period of one key, or one key's end rows.  Nothing is counted
+or collected while the plan is built, and keys may be NULL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SLICE = "_slice"
-#: Slice number of rows whose key was not cut.
-WHOLE = -1
+#: Periods by which rows are cut unless the caller names another one.
+AUTO = "auto"
+DATE_PERIOD = "quarter"
+TIME_PERIOD = "hour"
+NUMBER_PERIOD = 1_000_000
 
-#: Rows one window task may hold before its key is cut.
-MAX_ROWS = 5_000_000
-#: A key is only cut when it also exceeds this fraction of all rows.  At most
-#: ``SPREAD`` keys can do so, and all their slices together number at most twice
-#: that, which bounds every table broadcast below.
-SPREAD = 10_000
-_STRIDE = 64
 
+def slice_of(df: DataFrame, order: str, slices: str | int) -> Column:
+    """The slice of each row: an ordered period of the ``order`` column.
 
-@dataclass(frozen=True)
-class Sliced:
-    """``df`` with its window partition columns, and whether any key was cut."""
-
-    df: DataFrame
-    partition: list[str]
-    hot: bool
-
-
-def slice_hot_keys(
-    df: DataFrame,
-    *,
-    key: Sequence[str],
-    order: str,
-    max_rows: int | None = MAX_ROWS,
-    spread: int = SPREAD,
-) -> Sliced:
-    """Cut keys with more than ``max_rows`` rows at quantiles of ``order``.
-
-    One aggregation with map-side combine decides; only if it finds a hot key
-    does a second job fetch the cut points, one per ``max_rows`` rows of a hot
-    key.  They come to the driver so that every use of the result sees the same
-    slices.  Rows with equal ``order`` stay in one slice.  ``max_rows=None``
-    states that the key is bounded already.
+    ``slices`` is a unit of ``date_trunc`` for dates and timestamps, a width for
+    numbers, or ``AUTO``.
     """
-    key = list(key)
-    if max_rows is None:
-        return Sliced(df, key, False)
-
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.agg(F.max("_n").alias("top"), F.sum("_n").alias("total")).first()
-    if top.top is None or top.top <= max_rows:
-        return Sliced(df, key, False)
-
-    limit = max(max_rows, top.total // spread)
-    finest = -(-top.top // limit)
-    if finest < 2:
-        return Sliced(df, key, False)
-    hot_keys = counts.where(F.col("_n") > limit)
-    quantiles = [i / finest for i in range(1, finest)]
-    # Each hot key keeps as many of the evenly spaced points as its size asks for.
-    pieces = F.ceil(F.col("_n") / limit)
-    keep = lambda c, i: F.floor((i + 1) * pieces / finest) > F.floor(i * pieces / finest)
-    cuts = (
-        df.select(*key, order)
-        .join(F.broadcast(hot_keys), key)
-        .groupBy(*key)
-        .agg(
-            F.percentile_approx(order, quantiles, max(10_000, 10 * finest)).alias("_all"),
-            F.first("_n").alias("_n"),
-        )
-        .select(*key, F.array_distinct(F.filter("_all", keep)).alias("_cuts"))
-    )
-    fixed = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    every = F.filter("_cuts", lambda c, i: (i + 1) % _STRIDE == 0)
-    fixed = fixed.withColumn("_coarse", every)
-    # Count the cut points at or before the row: whole strides first, then the rest.
-    at_or_before = lambda c: c <= F.col(order)
-    strides = F.size(F.filter("_coarse", at_or_before)) * _STRIDE
-    rest = F.size(F.filter(F.slice("_cuts", F.col("_skip") + 1, _STRIDE), at_or_before))
-    cold = F.col("_cuts").isNull()
-    sliced = (
-        df.join(F.broadcast(fixed), key, "left")
-        .withColumn("_skip", F.when(cold, 0).otherwise(strides))
-        .withColumn(SLICE, F.when(cold, WHOLE).otherwise(F.col("_skip") + rest))
-    )
-    return Sliced(sliced.drop("_cuts", "_coarse", "_skip"), [*key, SLICE], True)
+    kind = df.schema[order].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        unit = slices
+        if slices == AUTO:
+            unit = DATE_PERIOD if isinstance(kind, T.DateType) else TIME_PERIOD
+        if not isinstance(unit, str):
+            raise ValueError(f"{order} is cut by a period of time, not {slices!r}")
+        return F.date_trunc(unit, F.col(order))
+    width = NUMBER_PERIOD if slices == AUTO else slices
+    if isinstance(width, str):
+        raise ValueError(f"{order} is cut by a width, not {slices!r}")
+    return F.floor(F.col(order) / F.lit(width))
 
 
-def _cut_rows(cut: Sliced) -> DataFrame:
-    """Rows of the keys that were cut; only they have state to hand over."""
-    return cut.df.where(F.col(SLICE) > WHOLE)
+def _same(names: Sequence[str], others: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(names, others, strict=True)])
 
 
 def _add_carry(df: DataFrame, carry: DataFrame, partition: Sequence[str]) -> DataFrame:
-    """Attach slice state: one row per slice of a cut key, at most 2 * SPREAD."""
-    return df.join(F.broadcast(carry), list(partition), "left")
+    """Attach slice state: one row per slice, NULL keys included.
+
+    The state side is unique, so Spark may split a large slice at run time.
+    """
+    own = [f"_on{i}" for i in range(len(partition))]
+    carry = carry.select(
+        *[F.col(c).alias(n) for c, n in zip(partition, own, strict=True)],
+        *[c for c in carry.columns if c not in partition],
+    )
+    return df.join(carry, _same(partition, own), "left").drop(*own)
 
 
 def running_last(
@@ -116,7 +72,7 @@ def running_last(
     values: Mapping[str, Column],
     strict: bool = False,
     reverse: bool = False,
-    max_rows: int | None = MAX_ROWS,
+    slices: str | int | None = AUTO,
 ) -> DataFrame:
     """Add, per output name, the last non-null value seen so far in ``order``.
 
@@ -124,34 +80,37 @@ def running_last(
     column downwards, giving the next value instead of the previous one; further
     order columns break ties and always ascend.
     """
-    cut = slice_hot_keys(df, key=key, order=order[0], max_rows=max_rows)
+    key, names = list(key), list(values)
+    partition = key if slices is None else [*key, SLICE]
+    rows = df if slices is None else df.withColumn(SLICE, slice_of(df, order[0], slices))
     first = F.desc(order[0]) if reverse else F.asc(order[0])
-    w = Window.partitionBy(*cut.partition).orderBy(first, *order[1:]).rowsBetween(
+    w = Window.partitionBy(*partition).orderBy(first, *order[1:]).rowsBetween(
         Window.unboundedPreceding, -1 if strict else 0
     )
-    names = list(values)
-    local = cut.df.select(
+    local = rows.select(
         "*", *[F.last(values[n], ignorenulls=True).over(w).alias(n) for n in names]
     )
-    if not cut.hot:
+    if slices is None:
         return local
 
-    pick = F.min_by if reverse else F.max_by
-    ends = _cut_rows(cut).groupBy(*cut.partition).agg(
-        *[
-            # NULL ordering values are ignored by max_by / min_by.
-            pick(values[n], F.when(values[n].isNotNull(), F.col(order[0]))).alias(n)
-            for n in names
-        ]
+    # The last value of a slice in walking order: further columns always ascend,
+    # so of equal first columns the one with the largest rest is last.
+    rest = order[1:]
+    pick, place = (F.min_by, F.struct(order[0], *[-F.col(c) for c in rest])) if reverse else (
+        F.max_by, F.struct(*order)
+    )
+    ends = rows.groupBy(*partition).agg(
+        # NULL ordering values are ignored by max_by / min_by.
+        *[pick(values[n], F.when(values[n].isNotNull(), place)).alias(n) for n in names]
     )
     between = Window.partitionBy(*key).orderBy(
         F.desc(SLICE) if reverse else F.asc(SLICE)
     ).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
-        *cut.partition,
+        *partition,
         *[F.last(n, ignorenulls=True).over(between).alias(f"_carry_{n}") for n in names],
     )
-    joined = _add_carry(local, carry, cut.partition)
+    joined = _add_carry(local, carry, partition)
     joined = joined.withColumns({n: F.coalesce(n, f"_carry_{n}") for n in names})
     return joined.drop(SLICE, *[f"_carry_{n}" for n in names])
 
@@ -165,7 +124,8 @@ def prior_rows(
     depth: int = 3,
     last: Mapping[str, Column] | None = None,
     last_position: Mapping[str, Column] | None = None,
-    max_rows: int | None = MAX_ROWS,
+    ties: Sequence[str] = (),
+    slices: str | int | None = AUTO,
 ) -> DataFrame:
     """State known strictly before each row of an ordered history.
 
@@ -173,15 +133,18 @@ def prior_rows(
     ``payload`` of the n-th earlier row, NULL if there is none), each ``last``
     name (last non-null value of its expression before the row) and each
     ``last_position`` name (position of the last earlier row satisfying its
-    condition, 0 if none).  ``(key, order)`` must be unique.  One window pass.
+    condition, 0 if none).  Rows are ordered by ``order``, then ``ties``; both
+    with ``key`` must be unique, else the order of equal rows is not fixed.
     """
+    key = list(key)
     last = dict(last or {})
     last_position = dict(last_position or {})
-    cut = slice_hot_keys(df, key=key, order=order, max_rows=max_rows)
-    w = Window.partitionBy(*cut.partition).orderBy(order)
+    partition = key if slices is None else [*key, SLICE]
+    rows = df if slices is None else df.withColumn(SLICE, slice_of(df, order, slices))
+    w = Window.partitionBy(*partition).orderBy(order, *ties)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     row = F.struct(*payload)
-    numbered = cut.df.withColumn("_pos", F.row_number().over(w).cast("long"))
+    numbered = rows.withColumn("_pos", F.row_number().over(w).cast("long"))
     local = numbered.select(
         "*",
         *[F.lag(row, n).over(w).alias(f"_prev{n}") for n in range(1, depth + 1)],
@@ -191,14 +154,14 @@ def prior_rows(
             for n, c in last_position.items()
         ],
     )
-    if not cut.hot:
+    if slices is None:
         return local
 
-    whole = Window.partitionBy(*cut.partition)
+    whole = Window.partitionBy(*partition)
+    place = F.struct(order, *ties)
     ends = (
-        numbered.where(F.col(SLICE) > WHOLE)
-        .withColumn("_size", F.count(F.lit(1)).over(whole))
-        .groupBy(*cut.partition)
+        numbered.withColumn("_size", F.count(F.lit(1)).over(whole))
+        .groupBy(*partition)
         .agg(
             F.max("_pos").alias("_size"),
             # At most ``depth`` rows of each slice.
@@ -211,7 +174,7 @@ def prior_rows(
                 )
             ).alias("_tail"),
             *[
-                F.max_by(e, F.when(e.isNotNull(), F.col(order))).alias(n)
+                F.max_by(e, F.when(e.isNotNull(), place)).alias(n)
                 for n, e in last.items()
             ],
             *[F.max(F.when(c, F.col("_pos"))).alias(n) for n, c in last_position.items()],
@@ -221,7 +184,7 @@ def prior_rows(
     earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     carry = ends.select(
-        *cut.partition,
+        *partition,
         "_start",
         # Each of the ``depth`` slices before has at least one row: enough.
         F.flatten(
@@ -233,7 +196,7 @@ def prior_rows(
             for n in last_position
         ],
     )
-    out = _add_carry(local, carry, cut.partition)
+    out = _add_carry(local, carry, partition)
     fill: dict[str, Column] = {"_start": F.coalesce("_start", F.lit(0))}
     for n in range(1, depth + 1):
         from_carry = F.try_element_at(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import NO_PRIOR_CHANGE_DAYS
 from ..functions.values import encode_bool_text, encode_direction
-from .hotkeys import MAX_ROWS, prior_rows
+from .hotkeys import AUTO, prior_rows
 
 
 def _grid(key: Sequence[str], order: str):
@@ -61,10 +61,11 @@ def lag_filled(
     n: int = 1,
     fill=0,
     out: str | None = None,
-    max_rows: int | None = MAX_ROWS,
+    ties: Sequence[str] = (),
+    slices: str | int | None = AUTO,
 ) -> DataFrame:
     """Value ``n`` event rows earlier, ``fill`` where there is none."""
-    state = prior_rows(df, key=key, order=order, payload=[value], depth=n, max_rows=max_rows)
+    state = prior_rows(df, key=key, order=order, payload=[value], depth=n, ties=ties, slices=slices)
     return state.select(
         *df.columns,
         F.coalesce(F.col(f"_prev{n}")[value], F.lit(fill)).alias(out or f"prior{n}_{value}"),
@@ -87,10 +88,11 @@ def prior_rolling_sum(
     value: str,
     n: int = 3,
     out: str | None = None,
-    max_rows: int | None = MAX_ROWS,
+    ties: Sequence[str] = (),
+    slices: str | int | None = AUTO,
 ) -> DataFrame:
     """Sum over the ``n`` event rows before this one; fewer rows are allowed."""
-    state = prior_rows(df, key=key, order=order, payload=[value], depth=n, max_rows=max_rows)
+    state = prior_rows(df, key=key, order=order, payload=[value], depth=n, ties=ties, slices=slices)
     return state.select(*df.columns, _prior_sum(value, n).alias(out or f"prior{n}_sum_{value}"))
 
 
@@ -120,7 +122,8 @@ def prior_streak(
     order: str,
     direction: str,
     out: str = "same_direction_streak",
-    max_rows: int | None = MAX_ROWS,
+    ties: Sequence[str] = (),
+    slices: str | int | None = AUTO,
 ) -> DataFrame:
     """Length of the same-direction, non-zero run that ended just before the row."""
     state = prior_rows(
@@ -130,7 +133,7 @@ def prior_streak(
         payload=[direction],
         depth=1,
         last_position=_streak_positions(direction),
-        max_rows=max_rows,
+        ties=ties, slices=slices,
     )
     return state.select(*df.columns, _streak(direction).alias(out))
 
@@ -141,9 +144,10 @@ def days_since_prior_event(
     key: Sequence[str],
     date: str,
     out: str = "days_since_prior_event",
-    max_rows: int | None = MAX_ROWS,
+    ties: Sequence[str] = (),
+    slices: str | int | None = AUTO,
 ) -> DataFrame:
-    state = prior_rows(df, key=key, order=date, payload=[date], depth=1, max_rows=max_rows)
+    state = prior_rows(df, key=key, order=date, payload=[date], depth=1, ties=ties, slices=slices)
     return state.select(*df.columns, _days_between(F.col("_prev1")[date], date, 0).alias(out))
 
 
@@ -163,7 +167,8 @@ def days_since_prior_change(
     flag: str,
     cap: int = NO_PRIOR_CHANGE_DAYS,
     out: str = "days_since_prior_change",
-    max_rows: int | None = MAX_ROWS,
+    ties: Sequence[str] = (),
+    slices: str | int | None = AUTO,
 ) -> DataFrame:
     """Days since the last earlier row with ``flag`` = 1; ``cap`` if there is none."""
     state = prior_rows(
@@ -173,7 +178,7 @@ def days_since_prior_change(
         payload=[date],
         depth=1,
         last={"_changed_at": F.when(F.col(flag) == 1, F.col(date))},
-        max_rows=max_rows,
+        ties=ties, slices=slices,
     )
     return state.select(*df.columns, _days_since_change(F.col("_changed_at"), date, cap).alias(out))
 
@@ -188,7 +193,8 @@ def history_features(
     size: str | None = "rate_change_bps",
     scheduled: str | None = "is_scheduled",
     cap: int = NO_PRIOR_CHANGE_DAYS,
-    max_rows: int | None = MAX_ROWS,
+    ties: Sequence[str] = (),
+    slices: str | int | None = AUTO,
 ) -> DataFrame:
     """All event-history features from strictly earlier rows, in one window pass.
 
@@ -205,7 +211,7 @@ def history_features(
         depth=3,
         last={"_changed_at": F.when(F.col(change) == 1, F.col(date))},
         last_position=_streak_positions("_dir"),
-        max_rows=max_rows,
+        ties=ties, slices=slices,
     )
     out = {
         "prior_decision": F.coalesce(F.col("_prev1")["_dir"], F.lit(0)),
@@ -244,7 +250,8 @@ def no_lookahead_recheck(
     key: Sequence[str],
     date: str,
     cutoff: Column,
-    max_rows: int | None = MAX_ROWS,
+    ties: Sequence[str] = (),
+    slices: str | int | None = AUTO,
     **columns,
 ) -> DataFrame:
     """Rows up to ``cutoff`` whose history changes when later rows are removed.
@@ -254,9 +261,9 @@ def no_lookahead_recheck(
     """
     size = columns.get("size", "rate_change_bps")
     names = [c for c in HISTORY_COLUMNS if size or c != "prior_rate_change_bps"]
-    full = history_features(df, key=key, date=date, max_rows=max_rows, **columns)
+    full = history_features(df, key=key, date=date, ties=ties, slices=slices, **columns)
     cut = history_features(
-        df.where(F.col(date) <= cutoff), key=key, date=date, max_rows=max_rows, **columns
+        df.where(F.col(date) <= cutoff), key=key, date=date, ties=ties, slices=slices, **columns
     )
     cols = [*key, date, *names]
     return full.where(F.col(date) <= cutoff).select(*cols).exceptAll(cut.select(*cols))

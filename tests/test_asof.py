@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from panelspark.operators.asof import Pick, Source, asof_calendar_offset, asof_join, asof_many
-from panelspark.operators.hotkeys import SLICE, WHOLE, slice_hot_keys
+from panelspark.operators.hotkeys import SLICE, slice_of
 
 D = dt.date
 
@@ -125,21 +125,32 @@ def test_hot_timestamp_keys_are_sliced(spark, direction, exact, unique):
     l = frame(spark, left, "k string, t timestamp_ntz")
     r = frame(spark, right, "k string, rt timestamp_ntz, v double")
     kw = dict(key=["k"], left_date="t", right_date="rt", values=["v"], direction=direction, allow_exact=exact, tolerance_days=3, left_unique=unique)
-    sliced = asof_join(l, r, max_rows=40, **kw)
+    sliced = asof_join(l, r, slices="week", **kw)
     assert SLICE in sliced._jdf.queryExecution().optimizedPlan().toString()
     got = sorted([tuple(x) for x in sliced.select("k", "t", "v").collect()], key=repr)
     assert got == brute(left, right, direction, exact, 3)
 
 
+def test_null_keys_meet_nothing_but_are_kept(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    left = [(None, t0 + dt.timedelta(hours=h)) for h in range(50)] + [("a", t0 + dt.timedelta(days=3))]
+    right = [("a", t0, 1.0), ("a", t0 + dt.timedelta(days=9), 2.0)]
+    out = asof_join(
+        frame(spark, left, "k string, t timestamp_ntz"),
+        frame(spark, right, "k string, rt timestamp_ntz, v double"),
+        key=["k"], left_date="t", right_date="rt", values=["v"], slices="day",
+    ).collect()
+    assert len(out) == 51
+    assert {r.v for r in out if r.k is None} == {None} and [r.v for r in out if r.k] == [1.0]
+
+
 def test_slices_are_bounded_and_ordered(spark):
-    rows = [("hot", i) for i in range(4000)] + [("warm", i) for i in range(90)] + [(f"c{i}", i) for i in range(100)]
-    cut = slice_hot_keys(frame(spark, rows, "k string, o int"), key=["k"], order="o", max_rows=40)
-    assert cut.hot
-    sizes = cut.df.groupBy("k", SLICE).count().collect()
-    assert max(r["count"] for r in sizes) <= 100
-    assert len([r for r in sizes if r.k == "hot"]) > 80
-    assert 2 <= len([r for r in sizes if r.k == "warm"]) <= 4
-    hot = sorted((r[SLICE], r.o) for r in cut.df.where("k = 'hot'").collect())
-    assert [o for _, o in hot] == list(range(4000))
-    assert {r[SLICE] for r in cut.df.where("k NOT IN ('hot', 'warm')").collect()} == {WHOLE}
-    assert cut.df.count() == len(rows)
+    df = frame(spark, [(i,) for i in range(4000)], "o int")
+    got = df.select("o", slice_of(df, "o", 40).alias(SLICE)).collect()
+    assert all(r[SLICE] == r.o // 40 for r in got)
+    days = frame(spark, [(D(2020, m, 2),) for m in range(1, 13)], "d date")
+    assert days.select(slice_of(days, "d", "quarter").alias("s")).distinct().count() == 4
+    with pytest.raises(ValueError):
+        slice_of(days, "d", 40)
+    with pytest.raises(ValueError):
+        slice_of(df, "o", "day")

@@ -26,10 +26,11 @@ def test_no_pairing_single_task_or_python(spark, name):
         assert node not in text, node
 
 
-def test_history_is_one_window_over_one_shuffle(spark):
+def test_history_is_sliced_and_its_state_handed_on(spark):
     text = plan(QUERIES["history_features"](spark, SF))
-    assert text.count("Exchange") == 1
-    assert text.count("Window ") + text.count("Window[") <= 3
+    # Slices, their end rows by slice and by key, and the join back.
+    assert text.count("Exchange hashpartitioning") == 4
+    assert "BroadcastExchange" not in text and "_slice" in text
 
 
 def test_only_needed_columns_and_filters_reach_the_scan(spark):

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.operators import calendar as cal
 from panelspark.operators import windows as w
@@ -40,7 +41,7 @@ def test_forward_fill_never_backwards_and_sliced(spark):
         last[k] = v if v is not None else last.get(k)
         want[(k, o)] = last[k]
     for limit in (None, 30):
-        out = cal.forward_fill(df, key=["k"], order="o", values=["v"], max_rows=limit)
+        out = cal.forward_fill(df, key=["k"], order="o", values=["v"], slices=limit)
         assert {(r.k, r.o): r.v for r in out.collect()} == want
 
 
@@ -123,11 +124,11 @@ def reference_history(rows):
     return out
 
 
-@pytest.mark.parametrize("seed, max_rows", [(1, None), (1, 7), (2, 25), (3, 3), (4, 1)])
-def test_history_against_a_loop_and_sliced(spark, seed, max_rows):
+@pytest.mark.parametrize("seed, slices", [(1, None), (1, "week"), (2, "month"), (3, "auto"), (4, "day")])
+def test_history_against_a_loop_and_sliced(spark, seed, slices):
     rnd = random.Random(seed)
     data, want = [], []
-    for k, n in (("hot", 150), ("warm", 40), ("cold", 2)):
+    for k, n in (("hot", 150), (None, 40), ("cold", 2)):
         times = sorted(T0 + dt.timedelta(hours=h) for h in rnd.sample(range(20000), n))
         # Long runs, so that streaks and carried changes cross slices.
         labels, cur = [], "hold"
@@ -140,9 +141,33 @@ def test_history_against_a_loop_and_sliced(spark, seed, max_rows):
         want += [(k, *r) for r in reference_history(rows)]
     rnd.shuffle(data)
     df = spark.createDataFrame(data, "k string, ts timestamp_ntz, decision string, is_change int, rate_change_bps double")
-    out = w.history_features(df, key=["k"], date="ts", scheduled=None, max_rows=max_rows)
+    out = w.history_features(df, key=["k"], date="ts", scheduled=None, slices=slices)
     got = [tuple(r) for r in out.select("k", "ts", *w.HISTORY_COLUMNS).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_equal_instants_are_ordered_by_the_tie_column(spark):
+    rows = [(None, T0, i, i % 3) for i in range(9)] + [(None, T0 + dt.timedelta(hours=5), 9, 0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int, v int").repartition(4)
+    for slices in (None, "hour"):
+        got = {
+            r.id: r.x
+            for r in w.prior_rolling_sum(
+                df, key=["k"], order="ts", value="v", n=3, out="x", ties=["id"], slices=slices
+            ).collect()
+        }
+        assert got == {i: sum(r[3] for r in rows[max(0, i - 3) : i]) for i in range(10)}
+
+
+def test_no_job_runs_while_a_plan_is_built(spark):
+    df = spark.range(100).select(F.lit("a").alias("k"), F.col("id").alias("o"), F.col("id").alias("v"))
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        w.prior_rolling_sum(df, key=["k"], order="o", value="v", out="x", slices=10)
+        cal.forward_fill(df, key=["k"], order="o", values=["v"], slices=10)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_truncation_changes_nothing(spark):
@@ -158,7 +183,7 @@ def test_single_history_operators_sliced(spark):
     rows = [("a", i, (i * 7) % 5) for i in range(60)]
     df = spark.createDataFrame(rows, "k string, o int, v int")
     for limit in (None, 6):
-        kw = dict(key=["k"], order="o", value="v", max_rows=limit)
+        kw = dict(key=["k"], order="o", value="v", slices=limit)
         lag = {r.o: r.x for r in w.lag_filled(df, n=2, fill=-1, out="x", **kw).collect()}
         assert all(lag[i] == (rows[i - 2][2] if i >= 2 else -1) for i in range(60))
         tot = {r.o: r.x for r in w.prior_rolling_sum(df, n=3, out="x", **kw).collect()}
