@@ -315,44 +315,128 @@ def feature_panel_of(spark, sf):
     with_views(
         "clean pol inf mon market",
         f"""SELECT k, CAST(meeting_date AS VARCHAR) AS meeting_date, {_ROUNDED}, is_change, decision FROM {_FULL}
-        WHERE market_date IS NOT NULL AND datediff('day', market_date, meeting_date) <= 10 AND {_NOT_NULL}""",
+        WHERE market_date IS NOT NULL AND datediff('day', market_date, meeting_date) <= 10 AND {_NOT_NULL}
+        AND {' AND '.join(f"{c} BETWEEN 0 AND 100" for c in ("rate_level", "unemployment", "natural_unemployment"))}
+        AND {' AND '.join(f"{c} BETWEEN -20 AND 30" for c in (*K.MARKET_COLUMNS, *_SPREAD_NAMES))}""",
     ),
 )
 def feature_panel(spark, sf):
     return plain(feature_panel_of(spark, sf)[0], digits=6)
 
 
+# Events without a complete, fresh set of features, or outside the ranges.
+_FRESH = "market_date IS NOT NULL AND datediff('day', market_date, meeting_date) <= 10"
+_BOUNDS = " AND ".join(
+    [f"{c} BETWEEN 0 AND 100" for c in ("rate_level", "unemployment", "natural_unemployment")]
+    + [f"{c} BETWEEN -20 AND 30" for c in (*K.MARKET_COLUMNS, *_SPREAD_NAMES)]
+)
+
+
+@query(
+    "feature_panel_rejects",
+    with_views(
+        "clean pol inf mon market",
+        f"""SELECT k, CAST(meeting_date AS VARCHAR) AS meeting_date, market_date IS NULL AS no_market,
+        NOT ({_NOT_NULL}) AS incomplete FROM {_FULL}
+        WHERE NOT coalesce({_FRESH} AND {_NOT_NULL} AND {_BOUNDS}, false)""",
+    ),
+)
+def feature_panel_rejects(spark, sf):
+    """Every event of the clean panel that is not in the model table."""
+    bad = feature_panel_of(spark, sf)[1]
+    broken = lambda names: F.arrays_overlap("broken_rules", F.array(*map(F.lit, names)))
+    return plain(
+        bad.select(
+            "k",
+            "meeting_date",
+            broken([f"missing_match:{c}" for c in K.MARKET_COLUMNS]).alias("no_market"),
+            broken([f"finite:{c}" for c in K.FEATURE_COLUMNS]).alias("incomplete"),
+        )
+    )
+
+
 @query(
     "rule_reconcile",
     with_views(
         "clean market",
-        """SELECT 'reconcile:inflation' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'reconcile:labour', 0""",
+        """SELECT 'reconcile:inflation' AS rule, count(*) FILTER (WHERE k % 5 = 0) AS violations FROM clean UNION ALL
+        SELECT 'reconcile:labour', count(*) FILTER (WHERE k % 4 = 1) FROM clean""",
     ),
 )
 def rule_reconcile(spark, sf):
+    """Panel values that differ from the raw history for some entities."""
     x, good, _ = clean_of(spark, sf)
+    faulty = good.withColumns(
+        {
+            "pce_index": F.when(F.col("k") % 5 == 0, F.col("pce_index") * 1.01).otherwise(F.col("pce_index")),
+            "unemployment": F.when(F.col("k") % 4 == 1, F.col("unemployment") + 1).otherwise(F.col("unemployment")),
+        }
+    )
     panel = pf.labour_features(
-        pf.inflation_features(good, x["index"], key=_KEY), x["unemployment"], key=_KEY
+        pf.inflation_features(faulty, x["index"], key=_KEY), x["unemployment"], key=_KEY
     )
     return q.violations(panel, pf.reconciliation_rules())
 
 
+def _full_features(spark, sf):
+    x, policy, panel = _clean_and_policy(spark, sf)
+    return pf.all_features(
+        panel, policy=policy, index=x["index"], unemployment=x["unemployment"], market=x["market"], key=_KEY
+    )
+
+
+# All features with faults of every kind, each in an entity of its own.
+_FAULTY = f"""(SELECT * REPLACE (CASE WHEN k = 5 THEN rate_level + 1 ELSE rate_level END AS rate_level,
+  CASE WHEN k = 7 THEN 'unknown' ELSE decision END AS decision, CASE WHEN k = 8 THEN 2 ELSE is_scheduled END AS is_scheduled,
+  CASE WHEN k = 9 THEN -1 ELSE days_since_prior_change END AS days_since_prior_change,
+  CASE WHEN k = 10 THEN abs_inflation_gap + 1 ELSE abs_inflation_gap END AS abs_inflation_gap,
+  CASE WHEN k = 11 THEN 101 ELSE unemployment END AS unemployment, CASE WHEN k = 12 THEN 1 - is_change ELSE is_change END AS is_change)
+  FROM (SELECT * FROM {_FULL} UNION ALL SELECT * FROM {_FULL} WHERE k = 3))"""
+
+
+def _fault_counts() -> str:
+    count = {"not_null:meeting_date": "meeting_date IS NULL"}
+    count |= {f"finite:{c}": f"{c} IS NULL" for c in K.FEATURE_COLUMNS}
+    count |= {f"range:{c}": f"{c} < 0 OR {c} > 100" for c in ("rate_level", "unemployment", "natural_unemployment")}
+    count |= {f"range:{c}": f"{c} < -20 OR {c} > 30" for c in (*K.MARKET_COLUMNS, *_SPREAD_NAMES)}
+    count |= {f"range:{c}": f"{c} < 0" for c in ("abs_inflation_gap", "same_direction_streak", "days_since_prior_change")}
+    count["domain:decision"] = "decision NOT IN ('cut', 'hold', 'hike')"
+    count["domain:is_change"] = "is_change NOT IN (0, 1)"
+    count["label:is_change"] = "is_change <> CAST(decision <> 'hold' AS INTEGER)"
+    count["domain:is_scheduled"] = "is_scheduled NOT IN (0, 1)"
+    count["identity:abs_inflation_gap"] = "pce_yoy IS NULL OR k = 10"
+    count |= {f"identity:{s}": f"{v} IS NULL OR rate_level IS NULL OR k = 5" for v, s in K.SPREAD_PAIRS}
+    parts = [f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE {broken}) AS violations FROM f" for rule, broken in count.items()]
+    repeated = "SELECT 'unique:meeting_date', CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM f GROUP BY k, meeting_date)"
+    return f"SELECT * FROM (WITH f AS (SELECT * FROM {_FAULTY}) {' UNION ALL '.join([*parts, repeated])})"
+
+
+@query("feature_panel_rules", with_views("clean pol inf mon market", _fault_counts()))
+def feature_panel_rules(spark, sf):
+    """Every rule of the final table over all features, with faults of every kind."""
+    full = fx.materialise(_full_features(spark, sf), "features")
+    k = F.col("k")
+    faulty = full.unionByName(full.where(k == 3)).withColumns(
+        {
+            "rate_level": F.when(k == 5, F.col("rate_level") + 1).otherwise(F.col("rate_level")),
+            "decision": F.when(k == 7, "unknown").otherwise(F.col("decision")),
+            "is_scheduled": F.when(k == 8, 2).otherwise(F.col("is_scheduled")),
+            "days_since_prior_change": F.when(k == 9, -1).otherwise(F.col("days_since_prior_change")),
+            "abs_inflation_gap": F.when(k == 10, F.col("abs_inflation_gap") + 1).otherwise(F.col("abs_inflation_gap")),
+            "unemployment": F.when(k == 11, 101.0).otherwise(F.col("unemployment")),
+            "is_change": F.when(k == 12, 1 - F.col("is_change")).otherwise(F.col("is_change")),
+        }
+    )
+    return q.violations(faulty, pf.feature_panel_rules(_KEY))
+
+
 @query(
-    "feature_panel_rules",
+    "project_panel",
     with_views(
         "clean pol inf mon market",
-        f"""SELECT 'unique:meeting_date' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL
-        SELECT 'label:is_change', 0 UNION ALL SELECT 'range:rate_level', count(*) FILTER (WHERE rate_level > 100) FROM {_FULL} UNION ALL
-        SELECT 'range:treasury_10y_minus_funds_pct', 0 UNION ALL SELECT 'identity:abs_inflation_gap', 0""",
+        f"SELECT k, CAST(meeting_date AS VARCHAR) AS meeting_date, {_ROUNDED}, is_change, decision FROM {_FULL}",
     ),
 )
-def feature_panel_rules(spark, sf):
-    model = feature_panel_of(spark, sf)[0]
-    shown = [
-        "unique:meeting_date",
-        "label:is_change",
-        "range:rate_level",
-        "range:treasury_10y_minus_funds_pct",
-        "identity:abs_inflation_gap",
-    ]
-    return q.violations(model, [r for r in pf.feature_panel_rules(_KEY) if r.name in shown])
+def project_panel(spark, sf):
+    """The configured columns of every event, incomplete ones included."""
+    return plain(pf.project_panel(_full_features(spark, sf), key=_KEY), digits=6)

@@ -87,6 +87,38 @@ def read_series_catalog(spark, sf):
     return plain(rd.read_series_catalog(spark, _catalog_folder(spark, sf)))
 
 
+# The declared series and one that is not, with unreadable dates and values and repeats.
+_FAULTY_SERIES = f"""(SELECT CASE logical_name WHEN 'treasury_1y_pct' THEN 'not_declared' ELSE logical_name END AS logical_name,
+  CASE WHEN day(date) = 13 THEN 'not-a-date' ELSE CAST(date AS VARCHAR) END AS date,
+  CASE WHEN day(date) = 14 THEN 'abc' END AS bad_value, day(date) AS dom FROM ({_SERIES_UNION}))"""
+
+
+@query(
+    "read_series_catalog_rejects",
+    f"""WITH f AS (SELECT * FROM {_FAULTY_SERIES} UNION ALL SELECT * FROM {_FAULTY_SERIES} WHERE dom = 28)
+    SELECT 'valid_date:date' AS rule, count(*) FILTER (WHERE dom = 13) AS violations FROM f UNION ALL
+    SELECT 'numeric:value', count(bad_value) FROM f UNION ALL
+    SELECT 'declared:logical_name', count(*) FILTER (WHERE logical_name = 'not_declared') FROM f UNION ALL
+    SELECT 'unique:date', CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) FROM
+      (SELECT count(*) AS n FROM f GROUP BY logical_name, date)""",
+)
+def read_series_catalog_rejects(spark, sf):
+    """Rejected rows of a folder of series files with faults, counted by broken rule."""
+    dom = F.dayofmonth("date")
+    long = rd.read_series_catalog(spark, _catalog_folder(spark, sf)).select("logical_name", "date", "value")
+    faulty = long.unionByName(long.where(dom == 28)).select(
+        F.when(F.col("logical_name") == "treasury_1y_pct", "not_declared")
+        .otherwise(F.col("logical_name"))
+        .alias("logical_name"),
+        F.when(dom == 13, "not-a-date").otherwise(F.col("date").cast("string")).alias("date"),
+        F.when(dom == 14, "abc").otherwise(F.col("value").cast("string")).alias("value"),
+    )
+    path = scratch_path(spark, "faulty_series")
+    wr.write_panel(faulty, path, partition_by=["logical_name"])
+    _, bad = rd.read_series_catalog(spark, path, on_violation="quarantine")
+    return _by_rule(bad)
+
+
 @query(
     "verify_outputs_exist",
     f"""SELECT count(*) AS series, count(*) FILTER (WHERE rows = 0) AS missing, CAST(sum(rows) AS BIGINT) AS rows,
@@ -115,9 +147,49 @@ def verify_outputs_exist(spark, sf):
 def read_event_calendar(spark, sf):
     path = scratch_path(spark, "calendar")
     wr.write_panel(
-        fx.daily_events(spark, sf).select("meeting_date", "is_scheduled", "source_url"), path
+        fx.daily_events(spark, sf).select("k", "meeting_date", "is_scheduled", "source_url"), path
+    )
+    return plain(rd.read_event_calendar(spark, path, key=["k"]).drop("k"))
+
+
+# The same calendar with unreadable dates, unknown flags, blank urls and repeats.
+_FAULTY_EVENTS = """(SELECT k, CASE WHEN day(meeting_date) = 13 THEN 'nope' ELSE CAST(meeting_date AS VARCHAR) END AS meeting_date,
+  CASE WHEN day(meeting_date) = 14 THEN 'maybe' END AS is_scheduled,
+  CASE WHEN day(meeting_date) = 15 THEN ' ' ELSE source_url END AS source_url, day(meeting_date) AS dom FROM ev)"""
+
+
+@query(
+    "read_event_calendar_rejects",
+    with_views(
+        "ev",
+        f"""SELECT * FROM (WITH f AS (SELECT * FROM {_FAULTY_EVENTS} UNION ALL SELECT * FROM {_FAULTY_EVENTS} WHERE dom = 28)
+        SELECT 'valid_date:meeting_date' AS rule, count(*) FILTER (WHERE dom = 13) AS violations FROM f UNION ALL
+        SELECT 'domain:is_scheduled', count(*) FILTER (WHERE dom = 14) FROM f UNION ALL
+        SELECT 'not_blank:source_url', count(*) FILTER (WHERE trim(source_url) = '') FROM f UNION ALL
+        SELECT 'unique:meeting_date', CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) FROM
+          (SELECT count(*) AS n FROM f GROUP BY k, meeting_date))""",
+    ),
+)
+def read_event_calendar_rejects(spark, sf):
+    """Rejected rows of a calendar file with faults, counted by broken rule."""
+    dom = F.dayofmonth("meeting_date")
+    events = fx.daily_events(spark, sf).select("k", "meeting_date", "is_scheduled", "source_url")
+    faulty = events.unionByName(events.where(dom == 28)).select(
+        "k",
+        F.when(dom == 13, "nope").otherwise(F.col("meeting_date").cast("string")).alias("meeting_date"),
+        F.when(dom == 14, "maybe").otherwise(F.col("is_scheduled").cast("string")).alias("is_scheduled"),
+        F.when(dom == 15, " ").otherwise(F.col("source_url")).alias("source_url"),
+    )
+    path = scratch_path(spark, "faulty_calendar")
+    wr.write_panel(faulty, path)
+    _, bad = rd.read_event_calendar(spark, path, key=["k"], on_violation="quarantine")
+    return _by_rule(bad)
+
+
+def _by_rule(bad):
+    return (
+        bad.select(F.explode("broken_rules").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
     )
-    return plain(rd.read_event_calendar(spark, path))
 
 
 @query(

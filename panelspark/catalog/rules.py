@@ -161,28 +161,41 @@ def rule_identity(spark, sf):
     with_views(
         "dec",
         """SELECT 'label:decision' AS rule, (SELECT count(*) FROM dec WHERE dir <> 0 AND value > 50) AS violations UNION ALL
-        SELECT 'label:is_change', CAST(0 AS BIGINT)""",
+        SELECT 'label:is_change', (SELECT count(*) FROM dec WHERE value > 90)""",
     ),
 )
 def rule_label_consistent(spark, sf):
-    bps = F.when(F.col("value") > 50, 0.0).otherwise(F.col("dir") * 25.0)
-    return q.violations(
-        fx.decisions(spark, sf).withColumn("rate_change_bps", bps), q.label_consistent()
+    """Large values get a zero change, the largest a flipped flag."""
+    large = F.col("value")
+    faulty = fx.decisions(spark, sf).withColumns(
+        {
+            "rate_change_bps": F.when(large > 50, 0.0).otherwise(F.col("dir") * 25.0),
+            "is_change": F.when(large > 90, 1 - F.col("is_change")).otherwise(F.col("is_change")),
+        }
     )
+    return q.violations(faulty, q.label_consistent())
+
+
+# Events with the dates of the series around them, some of them moved.
+_MOVED = """(SELECT e.d, CASE WHEN event_id % 7 = 0 THEN e.d + CAST(event_id % 3 AS INTEGER) ELSE a.d END AS bef,
+  CASE WHEN event_id % 11 = 0 THEN e.d - CAST(event_id % 2 AS INTEGER) ELSE b.d END AS aft
+  FROM e ASOF LEFT JOIN s a ON e.k = a.k AND e.d > a.d ASOF LEFT JOIN s b ON e.k = b.k AND e.d < b.d)"""
 
 
 @query(
     "rule_chronology",
     with_views(
         "s e",
-        """SELECT 'chronology:before<d' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL
-        SELECT 'chronology:d<after', CAST(0 AS BIGINT) UNION ALL
-        SELECT 'chronology:before<=d', CAST(0 AS BIGINT) UNION ALL
-        SELECT 'age:before', (SELECT count(*) FROM e ASOF JOIN s ON e.k = s.k AND e.d > s.d WHERE datediff('day', s.d, e.d) > 7) UNION ALL
-        SELECT 'age:after', (SELECT count(*) FROM e ASOF JOIN s ON e.k = s.k AND e.d < s.d WHERE datediff('day', e.d, s.d) > 7)""",
+        f"""SELECT * FROM (WITH m AS (SELECT * FROM {_MOVED})
+        SELECT 'chronology:before<d' AS rule, count(*) FILTER (WHERE bef >= d) AS violations FROM m UNION ALL
+        SELECT 'chronology:d<after', count(*) FILTER (WHERE d >= aft) FROM m UNION ALL
+        SELECT 'chronology:before<=d', count(*) FILTER (WHERE bef > d) FROM m UNION ALL
+        SELECT 'age:before', count(*) FILTER (WHERE abs(datediff('day', bef, d)) > 7) FROM m UNION ALL
+        SELECT 'age:after', count(*) FILTER (WHERE abs(datediff('day', d, aft)) > 7) FROM m)""",
     ),
 )
 def rule_chronology(spark, sf):
+    """Dates around each event, moved to or past it for some."""
     around = Source(
         fx.series(spark, sf),
         "d",
@@ -193,6 +206,13 @@ def rule_chronology(spark, sf):
         allow_exact=False,
     )
     panel = asof_many(fx.order_events(spark, sf), [around], key=["k"], left_date="d")
+    n = F.col("event_id")
+    moved = panel.withColumns(
+        {
+            "before": F.when(n % 7 == 0, F.date_add("d", (n % 3).cast("int"))).otherwise(F.col("before")),
+            "after": F.when(n % 11 == 0, F.date_sub("d", (n % 2).cast("int"))).otherwise(F.col("after")),
+        }
+    )
     rules = [
         q.strictly_before("before", "d"),
         q.strictly_before("d", "after"),
@@ -200,7 +220,7 @@ def rule_chronology(spark, sf):
         q.max_age("before", "d", 7),
         q.max_age("after", "d", 7),
     ]
-    return q.violations(panel, rules)
+    return q.violations(moved, rules)
 
 
 @query(

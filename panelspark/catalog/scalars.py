@@ -14,10 +14,10 @@ from .registry import query, with_views
 
 
 @query(
-    "project_panel",
+    "project_columns",
     with_views("dec", "SELECT event_id, is_change, decision, value FROM dec"),
 )
-def project_panel(spark, sf):
+def project_columns(spark, sf):
     panel = fx.decision_features(spark, sf)
     return panel.select("event_id", "value", "is_change", "decision")
 

@@ -32,21 +32,27 @@ def class_counts_zero_filled(
 
 
 def confusion_cells(
-    df: DataFrame, *, actual: str, predicted: str, labels: Sequence
+    df: DataFrame, *, actual: str, predicted: str, labels: Sequence, total: str | None = None
 ) -> DataFrame:
-    """Long matrix ``(actual, predicted, n)``, every cell of ``labels`` present."""
+    """Long matrix ``(actual, predicted, n)``, every cell of ``labels`` present.
+
+    Rows with a NULL or unlisted class are in no cell; ``total`` names a column
+    with the number of all rows, so that they can be accounted for.
+    """
     pairs = [(a, p) for a in labels for p in labels]
     one = df.agg(
+        F.count(F.lit(1)).alias("_total"),
         *[
             F.count_if((F.col(actual) == a) & (F.col(predicted) == p)).alias(f"_c{i}")
             for i, (a, p) in enumerate(pairs)
-        ]
+        ],
     )
     cells = [
         F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.col(f"_c{i}").alias("n"))
         for i, (a, p) in enumerate(pairs)
     ]
-    return one.select(F.explode(F.array(*cells)).alias("_x")).select("_x.*")
+    extra = [F.col("_total").alias(total)] if total else []
+    return one.select(F.explode(F.array(*cells)).alias("_x"), *extra).select("_x.*", *([total] if total else []))
 
 
 def confusion_matrix(
@@ -65,6 +71,7 @@ def confusion_matrix(
 def per_class_prf(cells: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support per label of a long matrix; 0/0 is 0."""
     n = F.col("n")
+    total = [c for c in cells.columns if c == "total"]
     sides = cells.select(
         F.explode(
             F.array(
@@ -81,10 +88,14 @@ def per_class_prf(cells: DataFrame) -> DataFrame:
                     F.lit(0).cast("long").alias("hits"),
                 ),
             )
-        ).alias("_s")
-    ).select("_s.*")
+        ).alias("_s"),
+        *total,
+    ).select("_s.*", *total)
     per = sides.groupBy("label").agg(
-        F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hits").alias("hits")
+        F.sum("support").alias("support"),
+        F.sum("called").alias("called"),
+        F.sum("hits").alias("hits"),
+        *[F.max(c).alias(c) for c in total],
     )
 
     def ratio(a: Column, b: Column) -> Column:
@@ -98,6 +109,7 @@ def per_class_prf(cells: DataFrame) -> DataFrame:
         "support",
         "called",
         "hits",
+        *total,
     )
 
 
@@ -111,35 +123,41 @@ def classification_report(
 ) -> DataFrame:
     """One row: accuracy, balanced accuracy, macro F1 and the row count.
 
+    ``n`` and ``accuracy`` count every row: one with a NULL or unlisted class on
+    either side is wrong.  ``unlisted`` is the number of such rows.
     ``macro="present"`` averages F1 over labels that occur on either side,
     ``"fixed"`` over the whole label list with absent labels counting 0.
     """
     if macro not in ("present", "fixed"):
         raise ValueError(f"unknown macro {macro!r}")
-    per = per_class_prf(confusion_cells(df, actual=actual, predicted=predicted, labels=labels))
+    cells = confusion_cells(df, actual=actual, predicted=predicted, labels=labels, total="total")
+    per = per_class_prf(cells)
     occurs = (F.col("support") + F.col("called")) > 0
     f1 = F.when(occurs, F.col("f1")) if macro == "present" else F.col("f1")
     return per.agg(
-        F.sum("support").alias("n"),
-        F.try_divide(F.sum("hits"), F.sum("support")).alias("accuracy"),
+        F.max("total").alias("n"),
+        F.try_divide(F.sum("hits"), F.max("total")).alias("accuracy"),
         F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
         F.avg(f1).alias("macro_f1"),
+        (F.max("total") - F.sum("support")).alias("unlisted"),
     )
 
 
 def predict_correct_flag(
     df: DataFrame, *, actual: str, predicted: str, out: str = "correct"
 ) -> DataFrame:
-    return df.withColumn(out, F.col(actual) == F.col(predicted))
+    """A NULL on either side is not correct."""
+    return df.withColumn(out, F.coalesce(F.col(actual) == F.col(predicted), F.lit(False)))
 
 
 def accuracy(df: DataFrame, *, actual: str, predicted: str) -> DataFrame:
-    hit = (F.col(actual) == F.col(predicted)).cast("int")
+    """Share of correct rows among all rows; a NULL on either side is wrong."""
+    hit = F.coalesce((F.col(actual) == F.col(predicted)).cast("int"), F.lit(0))
     return df.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
 def class_recall_table(df: DataFrame, *, actual: str, predicted: str) -> DataFrame:
-    hit = F.col(actual) == F.col(predicted)
+    hit = F.coalesce(F.col(actual) == F.col(predicted), F.lit(False))
     return df.groupBy(F.col(actual).alias("label")).agg(
         F.count(F.lit(1)).alias("actual_rows"),
         F.count_if(hit).alias("correct"),
@@ -242,9 +260,12 @@ def _date_counts(df: DataFrame, *, date: str, label: str | None, classes: Sequen
     """Rows per calendar day with running totals.
 
     The window has no partition key, but its input is one row per calendar day
-    (a few ten thousand at most), aggregated map-side before it moves.
+    (a few ten thousand at most), aggregated map-side before it moves.  A row
+    without a date belongs to no part of a split, so it is refused.
     """
-    day = F.to_date(date).alias("day")
+    dated = F.to_date(date)
+    no_date = F.raise_error(F.lit(f"a row has no {date}")).cast("date")
+    day = F.when(dated.isNull(), no_date).otherwise(dated).alias("day")
     firsts = [
         F.count_if(F.col(label) == c).alias(f"_c{i}") for i, c in enumerate(classes)
     ] if label else []

@@ -20,6 +20,7 @@ from ..functions.text import (
     source_url_valid,
     strip_whitespace,
 )
+from .quality import Rule, Unique, expect
 
 # Fixed patterns of the elements read.
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
@@ -340,7 +341,7 @@ def events_from_recent_pages(
     """Events from pages with one panel per year; columns ``url, html``.
 
     Rows that are notation votes are skipped.  ``event_date`` is NULL where the
-    date cannot be read (check it with ``unreadable_events``).
+    date cannot be read (check it with ``event_date_rules``).
     """
     panels = _year_panels(pages, _meeting_rows)
     if start_year is not None:
@@ -407,8 +408,12 @@ def events_from_archive_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def unreadable_events(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_date").isNull())
+def event_date_rules() -> list:
+    """Every event has a date that could be read, and no date stands twice."""
+    return [
+        Rule("readable:event_date", F.col("event_date").isNull()),
+        Unique("unique:event_date", ["event_date"]),
+    ]
 
 
 def event_calendar_merge(
@@ -418,13 +423,21 @@ def event_calendar_merge(
     *,
     start_year: int,
     end_year: int,
-) -> DataFrame:
+    on_violation: str = "none",
+):
     """Both layouts as one calendar; archive pages of years seen are not read.
 
-    Uniqueness of ``event_date`` is a rule (``Unique``), not silently enforced.
+    Events with a date outside the years are left out; events whose date could
+    not be read stay, with a NULL date.  ``on_violation`` checks
+    ``event_date_rules``: ``raise`` stops, ``quarantine`` returns good and
+    rejected events, ``report`` the counts, ``none`` returns all events unchecked.
     """
     unseen = archive_pages.where(F.col("year").between(start_year, end_year)).join(
         years_seen.select("year"), "year", "left_anti"
     )
     merged = recent.unionByName(events_from_archive_pages(unseen))
-    return merged.where(F.year("event_date").between(start_year, end_year))
+    year = F.year("event_date")
+    inside = merged.where(year.isNull() | year.between(start_year, end_year))
+    if on_violation == "none":
+        return inside
+    return expect(inside, event_date_rules(), on_violation=on_violation)

@@ -174,20 +174,36 @@ def first_n_bad_rows(df: DataFrame, broken: Column, n: int = 5) -> DataFrame:
     return df.where(F.coalesce(broken, F.lit(False))).limit(n)
 
 
-def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+def quarantine(
+    df: DataFrame, rules: Sequence[Rule | Unique]
+) -> tuple[DataFrame, DataFrame]:
     """Split into rows that keep every rule and rows that break one or more.
 
-    Rejected rows carry ``broken_rules``, the names of the rules they break.
+    Rejected rows carry ``broken_rules``, the names of the rules they break.  A
+    ``Unique`` rule rejects every row of a repeated key (NULL keys are equal to
+    each other), so good and rejected rows together are always the input.
 
     The names leave the rule expressions through a one-element explode.  A filter
     on a plain column would be pushed down and copied into the optimizer's
     constraints with every rule inside, which grows exponentially with the
     aliases of a wide panel.
     """
-    names = F.array_compact(
-        F.array(*[F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in rules])
-    )
-    marked = df.select("*", F.explode_outer(F.array(names)).alias("broken_rules"))
+    checks = [F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in rules if isinstance(r, Rule)]
+    marked = df
+    for i, r in enumerate(r for r in rules if isinstance(r, Unique)):
+        flag = f"_repeated{i}"
+        names = [f"_key{i}_{j}" for j in range(len(r.key))]
+        repeated = (
+            df.groupBy(*[F.col(c).alias(n) for c, n in zip(r.key, names, strict=True)])
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .where("_n > 1")
+            .select(*names, F.lit(True).alias(flag))
+        )
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(r.key, names, strict=True)])
+        marked = marked.join(repeated, same, "left").drop(*names)
+        checks.append(F.when(F.col(flag), F.lit(r.name)))
+    names = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+    marked = marked.select(*df.columns, F.explode_outer(F.array(names)).alias("broken_rules"))
     good = marked.where(F.size("broken_rules") == 0).drop("broken_rules")
     return good, marked.where(F.size("broken_rules") > 0)
 
@@ -201,7 +217,7 @@ def expect(df: DataFrame, rules: Sequence[Rule | Unique], *, on_violation: str =
     if on_violation == "report":
         return violations(df, rules)
     if on_violation == "quarantine":
-        return quarantine(df, [r for r in rules if isinstance(r, Rule)])
+        return quarantine(df, rules)
     if on_violation != "raise":
         raise ValueError(f"unknown on_violation {on_violation!r}")
     broken = {r.rule: r.violations for r in violations(df, rules).collect() if r.violations}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -209,7 +210,7 @@ def all_features(
     out = policy_context_features(out)
     out = market_features(out, market, key=key)
     # Events are unique per entity and day, so a key is bounded by the calendar.
-    return history_features(out, key=key, date="meeting_date", max_rows=None)
+    return history_features(out, key=key, date="meeting_date", slices=None)
 
 
 def build_feature_panel(
@@ -225,19 +226,27 @@ def build_feature_panel(
     """Clean panel to the model table in its exact column order.
 
     ``raise`` stops on a missing or stale market value, a reconciliation failure
-    or any rule of the final table.  ``quarantine`` sets aside the events that
-    break a source rule and returns ``(model table, rejected events)``.
+    or any rule of the final table; events that lack a feature are left out with a
+    warning that counts what is missing.  ``quarantine`` returns ``(model table,
+    rejected events)``: every event that breaks a source rule or a rule of the
+    final table, incomplete ones included, is in the second with the names of the
+    rules, so both together are the input.  ``report`` returns the rule counts.
     """
     full = all_features(
         panel, policy=policy, index=index, unemployment=unemployment, market=market, key=key
     )
     source_rules = [*market_rules(), *reconciliation_rules()]
+    every_rule = [*source_rules, *feature_panel_rules(key)]
+    if on_violation == "report":
+        return q.violations(full, every_rule)
     if on_violation == "quarantine":
-        good, bad = q.quarantine(full, source_rules)
-        model, _ = select_model_columns(good, key=key)
-        return model, bad
+        good, bad = q.quarantine(full, every_rule)
+        return project_panel(good, key=key), bad
     q.expect(full, source_rules)
-    model, _ = select_model_columns(full, key=key)
+    model, report = select_model_columns(full, key=key)
+    lacking = {r.column_name: r.null_count for r in report.where("null_count > 0").collect()}
+    if lacking:
+        warnings.warn(f"incomplete events left out; missing values: {lacking}", stacklevel=2)
     q.require_schema(
         model, [*key, "meeting_date", *K.FEATURE_COLUMNS, *K.TARGET_COLUMNS], mode="ordered"
     )

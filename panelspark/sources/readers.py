@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.constants import SERIES_CATALOG
 from ..functions.values import encode_bool_text, to_number
-from ..operators.quality import RuleViolation, Unique, expect, numeric, require_schema, valid_date
+from ..operators.quality import (
+    Rule,
+    RuleViolation,
+    Unique,
+    expect,
+    not_blank,
+    numeric,
+    require_schema,
+    valid_date,
+)
 
 _DATE = "yyyy-MM-dd"
 
@@ -73,19 +82,28 @@ def read_series_json(
 
 def parse_series_json(
     docs: DataFrame, *, key: Sequence[str] = (), on_violation: str = "raise"
-) -> DataFrame:
-    """Rows of an ``observations`` array column, typed and checked."""
-    if on_violation == "raise":
-        absent = docs.where(F.col("observations").isNull()).limit(1).count()
-        if absent:
-            raise RuleViolation("a document holds no observations list")
-    rows = docs.select(*key, F.explode("observations").alias("_o")).select(*key, "_o.*")
-    rules = [valid_date("date", fmt=_DATE), Unique("unique:date", [*key, "date"])]
+):
+    """Rows of an ``observations`` array column, typed and checked.
+
+    A document without the list breaks the rule ``observations``; it stands as
+    one row without date and value.  ``quarantine`` returns typed good rows and
+    rejected text rows, ``report`` the rule counts.
+    """
+    rows = docs.select(
+        *key, F.col("observations").isNull().alias("_absent"), F.explode_outer("observations").alias("_o")
+    ).where("_absent OR _o IS NOT NULL").select(*key, "_absent", "_o.*")
+    rules = [
+        Rule("observations", F.col("_absent")),
+        valid_date("date", fmt=_DATE),
+        Unique("unique:date", [*key, "date"]),
+    ]
+    checked = expect(rows, rules, on_violation=on_violation)
     if on_violation == "report":
-        return expect(rows, rules, on_violation="report")
-    if on_violation == "raise":
-        expect(rows, rules)
-    return _typed_series(rows, key)
+        return checked
+    if on_violation == "quarantine":
+        good, bad = checked
+        return _typed_series(good, key), bad.drop("_absent")
+    return _typed_series(checked, key)
 
 
 def series_catalog(spark: SparkSession) -> DataFrame:
@@ -99,25 +117,39 @@ _FILE_NAME = r"/(?:logical_name=)?([^/=]+?)(?:\.csv)?(?:/part-[^/]*)?$"
 
 
 def read_series_catalog(
-    spark: SparkSession, folder: str, catalog: DataFrame | None = None
-) -> DataFrame:
-    """All declared series files below a folder as one long, tagged table.
+    spark: SparkSession,
+    folder: str,
+    catalog: DataFrame | None = None,
+    *,
+    on_violation: str = "raise",
+):
+    """All series files below a folder as one long, tagged table.
 
     A series is a file or folder ``<logical_name>.csv``, or a partition folder
-    ``logical_name=<logical_name>``.
-
-    The catalog is a fixed, small table and is broadcast.  Files that are not
-    declared are left out; ``missing_series`` lists declared ones without rows.
+    ``logical_name=<logical_name>``.  The header of every file must name the
+    columns ``date,value``; dates must be valid and unique per series, values
+    numeric, and every series declared in ``catalog``.  ``quarantine`` returns
+    typed good rows and rejected text rows, ``report`` the rule counts.
+    ``verify_outputs_exist`` lists declared series without rows.
     """
     catalog = series_catalog(spark) if catalog is None else catalog
     text = (
         spark.read.option("header", True)
+        .option("enforceSchema", False)  # the header's names are compared, not skipped
         .schema("date string, value string")
         .csv(folder, recursiveFileLookup=True, pathGlobFilter="*.csv")
         .withColumn("logical_name", F.regexp_extract(F.col("_metadata.file_path"), _FILE_NAME, 1))
     )
-    tagged = text.join(F.broadcast(catalog), "logical_name")
-    return _typed_series(tagged, ["logical_name", "series_id", "frequency", "role"])
+    tagged = text.join(catalog, "logical_name", "left")
+    rules = [*series_rules(["logical_name"]), Rule("declared:logical_name", F.col("series_id").isNull())]
+    tags = ["logical_name", "series_id", "frequency", "role"]
+    checked = expect(tagged, rules, on_violation=on_violation)
+    if on_violation == "report":
+        return checked
+    if on_violation == "quarantine":
+        good, bad = checked
+        return _typed_series(good, tags), bad
+    return _typed_series(checked, tags)
 
 
 def verify_outputs_exist(long: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -144,18 +176,47 @@ def filter_observation_start(df: DataFrame, start: str | None, *, date: str = "d
     return df.where(F.col(date) >= F.to_date(F.lit(start)))
 
 
-def read_event_calendar(spark: SparkSession, path: str) -> DataFrame:
-    """``meeting_date,is_scheduled,source_url`` CSV to typed events."""
+def event_calendar_rules(key: Sequence[str] = ()) -> list:
+    """Rules of a raw text calendar: dates valid and unique, flags known, urls given."""
+    return [
+        valid_date("meeting_date", fmt=_DATE),
+        Rule("domain:is_scheduled", encode_bool_text(F.trim("is_scheduled")).isNull()),
+        not_blank("source_url"),
+        Unique("unique:meeting_date", [*key, "meeting_date"]),
+    ]
+
+
+def read_event_calendar(
+    spark: SparkSession, path: str, *, key: Sequence[str] = (), on_violation: str = "raise"
+):
+    """``meeting_date,is_scheduled,source_url`` CSV to typed events.
+
+    ``key`` names text columns in front of them that tell calendars apart.  The
+    header must name the columns.  ``quarantine`` returns typed good rows and
+    rejected text rows, ``report`` the rule counts.
+    """
+    names = [*key, "meeting_date", "is_scheduled", "source_url"]
     text = (
         spark.read.option("header", True)
-        .schema("meeting_date string, is_scheduled string, source_url string")
+        .option("enforceSchema", False)
+        .schema(", ".join(f"{c} string" for c in names))
         .csv(path)
     )
-    return text.select(
-        F.try_to_date(F.trim("meeting_date"), _DATE).alias("meeting_date"),
-        encode_bool_text(F.trim("is_scheduled")).cast("boolean").alias("is_scheduled"),
-        "source_url",
-    )
+
+    def typed(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *key,
+            F.try_to_date(F.trim("meeting_date"), _DATE).alias("meeting_date"),
+            encode_bool_text(F.trim("is_scheduled")).cast("boolean").alias("is_scheduled"),
+            "source_url",
+        )
+
+    checked = expect(text, event_calendar_rules(key), on_violation=on_violation)
+    if on_violation == "report":
+        return checked
+    if on_violation == "quarantine":
+        return typed(checked[0]), checked[1]
+    return typed(checked)
 
 
 def read_panel(

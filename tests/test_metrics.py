@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.functions.constants import DECISION_CLASSES
 from panelspark.operators import metrics as m
@@ -93,3 +94,25 @@ def test_baseline_row_must_be_one(spark):
     assert {r.seed: round(r.x_delta, 6) for r in out.collect()} == {1: 0.0, 2: 0.2}
     with pytest.raises(ValueError):
         m.delta_vs_baseline_row(df, row=F.col("seed") == 9, metrics=["x"])
+
+
+def test_null_and_unlisted_classes_count_as_wrong(spark):
+    rows = [("cut", "cut"), ("hold", "hold"), (None, "hold"), ("hold", None), ("other", "other"), (None, None)]
+    df = spark.createDataFrame(rows, "actual string, predicted string")
+    kw = dict(actual="actual", predicted="predicted")
+    assert tuple(m.accuracy(df, **kw).first()) == (0.5, 6)
+    report = m.classification_report(df, **kw, labels=DECISION_CLASSES).first()
+    assert (report.n, report.accuracy, report.unlisted) == (6, 2 / 6, 4)
+    assert [r.correct for r in m.predict_correct_flag(df, **kw).collect()] == [True, True, False, False, True, False]
+
+
+def test_rows_without_a_date_are_refused(spark):
+    df = panel(spark, 60)
+    bad = df.limit(1).withColumn("d", F.lit(None).cast(df.schema["d"].dataType)).unionByName(df)
+    for build in (
+        lambda: m.chronological_split(bad, date="d"),
+        lambda: m.forward_cv_folds(bad, date="d", label="decision", classes=DECISION_CLASSES),
+        lambda: m.class_complete_prefix(bad, date="d", label="decision", classes=DECISION_CLASSES).collect(),
+    ):
+        with pytest.raises(Exception, match="has no d"):
+            build()

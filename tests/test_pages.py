@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import text as tx
 from panelspark.functions.dates import parse_decision_date
 from panelspark.operators import pages as pg
+from panelspark.operators.quality import RuleViolation
 
 D = dt.date
 
@@ -125,3 +126,20 @@ def test_recent_and_archive_calendars(spark):
         start_year=2008, end_year=2025,
     )
     assert len(events(merged)) == 5
+
+
+def test_unreadable_and_repeated_dates_are_shown(spark):
+    bad = "<h5>Foo-bar Meeting - 2008</h5><h5>June 3 Meeting - 2008</h5><h5>June 2-3 Meeting - 2008</h5><h5>July 8 Meeting - 2008</h5>"
+    old = spark.createDataFrame([("h", 2008, bad)], "url string, year int, html string")
+    none = pg.events_from_recent_pages(spark.createDataFrame([], "url string, html string"))
+    kw = dict(start_year=2008, end_year=2008)
+    years = spark.createDataFrame([], "year int")
+    good, rejected = pg.event_calendar_merge(none, old, years, **kw, on_violation="quarantine")
+    assert [r.event_date for r in good.collect()] == [D(2008, 7, 8)]
+    assert sorted((r.event_date or D(1, 1, 1), r.broken_rules) for r in rejected.collect()) == [
+        (D(1, 1, 1), ["readable:event_date"]),
+        (D(2008, 6, 3), ["unique:event_date"]),
+        (D(2008, 6, 3), ["unique:event_date"]),
+    ]
+    with pytest.raises(RuleViolation):
+        pg.event_calendar_merge(none, old, years, **kw, on_violation="raise")

@@ -99,8 +99,33 @@ def test_series_json_documents(spark, tmp_path):
         rd.read_series_json(spark, str(p2))
 
 
+def test_series_json_quarantine(spark):
+    docs = spark.createDataFrame(
+        [(1, [("2020-01-01", "1"), ("2020-01-01", "2"), ("x", "3")]), (2, None), (3, [("2020-01-02", ".")])],
+        "id int, observations array<struct<date:string,value:string>>",
+    )
+    good, bad = rd.parse_series_json(docs, key=["id"], on_violation="quarantine")
+    assert [(r.id, r.value) for r in good.collect()] == [(3, None)]
+    assert sorted((r.id, r.date or "", sorted(r.broken_rules)) for r in bad.collect()) == [
+        (1, "2020-01-01", ["unique:date"]),
+        (1, "2020-01-01", ["unique:date"]),
+        (1, "x", ["valid_date:date"]),
+        (2, "", ["observations", "valid_date:date"]),
+    ]
+
+
+def test_quarantine_of_repeated_keys_keeps_every_row(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e"), (3, None)], "k int, v string")
+    good, bad = q.expect(df, [q.Unique("unique:k", ["k"]), q.not_null("v")], on_violation="quarantine")
+    assert [tuple(r) for r in good.collect()] == [(2, "c")]
+    assert good.columns == df.columns
+    assert sorted((r.k or 0, r.v or "", r.broken_rules) for r in bad.collect()) == [
+        (0, "d", ["unique:k"]), (0, "e", ["unique:k"]), (1, "a", ["unique:k"]), (1, "b", ["unique:k"]), (3, "", ["not_null:v"]),
+    ]
+
+
 def test_catalog_reads_files_by_name(spark, tmp_path):
-    for n in ("target_rate", "unemployment", "not_declared"):
+    for n in ("target_rate", "unemployment"):
         (tmp_path / f"{n}.csv").write_text("date,value\n2020-01-01,1\n")
     long = rd.read_series_catalog(spark, str(tmp_path))
     assert {r.logical_name for r in long.collect()} == {"target_rate", "unemployment"}
@@ -108,3 +133,39 @@ def test_catalog_reads_files_by_name(spark, tmp_path):
     assert report.where("rows = 0").count() == 20
     with pytest.raises(q.RuleViolation):
         rd.require_outputs(report)
+
+
+@pytest.mark.parametrize(
+    "name, text",
+    [
+        ("not_declared", "date,value\n2020-01-01,1\n"),
+        ("unemployment", "date,value\nnot-a-date,1\n"),
+        ("unemployment", "date,value\n2020-01-01,abc\n"),
+        ("unemployment", "date,value\n2020-01-01,1\n2020-01-01,1\n"),
+    ],
+)
+def test_catalog_fails_loudly(spark, tmp_path, name, text):
+    (tmp_path / f"{name}.csv").write_text(text)
+    with pytest.raises(q.RuleViolation):
+        rd.read_series_catalog(spark, str(tmp_path))
+    good, bad = rd.read_series_catalog(spark, str(tmp_path), on_violation="quarantine")
+    assert good.count() == 0 and bad.count() == text.count("\n") - 1
+
+
+def test_headers_are_compared(spark, tmp_path):
+    (tmp_path / "unemployment.csv").write_text("value,date\n1,2020-01-01\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        rd.read_series_catalog(spark, str(tmp_path))
+    (tmp_path / "calendar.csv").write_text("is_scheduled,meeting_date,source_url\ntrue,2020-01-01,u\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        rd.read_event_calendar(spark, str(tmp_path / "calendar.csv"))
+
+
+def test_calendar_fails_loudly(spark, tmp_path):
+    path = tmp_path / "calendar.csv"
+    path.write_text("meeting_date,is_scheduled,source_url\n2020-01-01,true,u\nnope,maybe,\n")
+    with pytest.raises(q.RuleViolation):
+        rd.read_event_calendar(spark, str(path))
+    good, bad = rd.read_event_calendar(spark, str(path), on_violation="quarantine")
+    assert good.count() == 1
+    assert set(bad.first().broken_rules) == {"valid_date:meeting_date", "domain:is_scheduled", "not_blank:source_url"}

@@ -6,38 +6,35 @@ from panelspark.sources import storage
 from panelspark.sources import writers as wr
 
 
+class Conf(dict):
+    def get(self, name, default=None):
+        return dict.get(self, name, default)
+
+
 class Context:
-    def __init__(self, master, folder=None):
-        self.master, self.folder = master, folder
+    def __init__(self, folder=None):
+        self.folder = folder
 
     def getCheckpointDir(self):
         return self.folder
 
-    def setCheckpointDir(self, folder):
-        self.folder = folder
-
 
 class Session:
-    def __init__(self, master, folder=None):
-        self.sparkContext = Context(master, folder)
+    def __init__(self, folder=None, **conf):
+        self.sparkContext = Context(folder)
+        self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
 
 
-def test_configured_folder_wins(spark, monkeypatch):
-    monkeypatch.setattr(storage, "_configured", lambda s: "hdfs:///shared")
-    assert storage.shared_dir(spark) == "hdfs:///shared"
-    a, b = (storage.scratch_path(spark, "x") for _ in range(2))
+def test_configured_folder_wins():
+    session = Session("/mnt/other", spark_checkpoint_dir="hdfs:///shared/")
+    assert storage.shared_dir(session) == "hdfs:///shared"
+    a, b = (storage.scratch_path(session, "x") for _ in range(2))
     assert a != b and a.startswith("hdfs:///shared/panelspark/x-")
 
 
-def test_without_setting(monkeypatch):
-    import pytest
-
-    monkeypatch.setattr(storage, "_configured", lambda s: None)
-    assert storage.shared_dir(Session("spark://host", "/mnt/shared")) == "/mnt/shared"
-    with pytest.raises(RuntimeError):
-        storage.shared_dir(Session("spark://host"))
-    local = Session("local[2]")
-    assert storage.shared_dir(local) == storage.shared_dir(local) == local.sparkContext.folder
+def test_without_setting():
+    assert storage.shared_dir(Session("/mnt/shared")) == "/mnt/shared"
+    assert storage.shared_dir(Session(spark_sql_warehouse_dir="file:/w")) == "file:/w/_scratch"
 
 
 def test_panel_csv_has_iso_dates(spark, tmp_path):
