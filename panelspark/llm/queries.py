@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import ann, exact, lm, mixing, neardup, packing, secrets, sharding, toxicity, urls
 from .common import table
+from .sql import ORACLE
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -80,3 +81,5 @@ QUERIES = {
         op10_url_filter,
     )
 }
+
+__all__ = ["ORACLE", "QUERIES"]
