@@ -440,3 +440,39 @@ def feature_panel_rules(spark, sf):
 def project_panel(spark, sf):
     """The configured columns of every event, incomplete ones included."""
     return plain(pf.project_panel(_full_features(spark, sf), key=_KEY), digits=6)
+
+
+@query(
+    "rule_series_coverage",
+    with_views(
+        "meas pol mon lab",
+        """SELECT b.k, false AS no_point_values, coalesce(p.n IS NULL, true) AS no_range_bounds,
+          CAST(coalesce(CASE WHEN b.k % 5 = 0 THEN p.ranged ELSE 0 END, 0) AS BIGINT) AS days_lower_above_upper,
+          b.k % 7 = 1 OR m.longest < 13 AS under_13_months, b.k % 6 = 2 OR l.common = 0 AS no_labour_overlap
+        FROM (SELECT DISTINCT k FROM meas) b
+        LEFT JOIN (SELECT k, count(*) AS n, count(*) FILTER (WHERE policy_regime = 'target_range') AS ranged FROM pol GROUP BY k) p ON b.k = p.k
+        LEFT JOIN (SELECT k, max(n) AS longest FROM (SELECT k, g, count(pce_index) AS n FROM
+            (SELECT *, sum(CASE WHEN pce_index IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY date) AS g FROM mon)
+            GROUP BY k, g) GROUP BY k) m ON b.k = m.k
+        LEFT JOIN (SELECT k, count(*) FILTER (WHERE unemployment IS NOT NULL AND natural_unemployment IS NOT NULL) AS common
+            FROM lab GROUP BY k) l ON b.k = l.k""",
+    ),
+)
+def rule_series_coverage(spark, sf):
+    """Coverage of the raw series, with bounds out of order, a short index and no slow series for some."""
+    x = inputs(spark, sf)
+    k = F.col("k")
+    first = x["index"].groupBy("k").agg(F.min("date").alias("first"))
+    short = x["index"].join(first, "k").where((k % 7 != 1) | (F.datediff("date", "first") < 300))
+    found = pm.series_coverage(
+        point=x["point"],
+        lower=x["lower"].withColumn("value", F.when(k % 5 == 0, F.col("value") + 1000).otherwise(F.col("value"))),
+        upper=x["upper"],
+        index=short.select("k", "date", "value"),
+        unemployment=x["unemployment"],
+        natural=x["natural"].where(k % 6 != 2),
+        key=_KEY,
+    )
+    return found.select(
+        "k", "no_point_values", "no_range_bounds", "days_lower_above_upper", "under_13_months", "no_labour_overlap"
+    )

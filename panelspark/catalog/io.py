@@ -235,7 +235,17 @@ _RECORDS = f"""(SELECT 'page_' || page_id AS source_id, {_LANG} AS category, url
 
 
 def _records(spark, sf):
-    return page_records(stored_pages(spark, sf)).where("category <> ''")
+    """Records of all pages: those that keep the contract, and the rejected ones."""
+    return wr.validate_page_records(page_records(stored_pages(spark, sf)), on_violation="quarantine")
+
+
+@query(
+    "page_record_rejects",
+    f"SELECT 'page_' || page_id AS source_id, url FROM pages WHERE coalesce(trim({_LANG}), '') = ''",
+)
+def page_record_rejects(spark, sf):
+    """Records that are not written because a text field is blank."""
+    return _records(spark, sf)[1].select("source_id", "url")
 
 
 @query(
@@ -243,7 +253,7 @@ def _records(spark, sf):
     f"SELECT source_id, category, url, error, status_code, title, heading_count, table_count FROM {_RECORDS}",
 )
 def write_nested_jsonl(spark, sf):
-    records = _records(spark, sf)
+    records = _records(spark, sf)[0]
     path = scratch_path(spark, "records")
     wr.write_nested_jsonl(records, path)
     back = spark.read.schema(records.schema).json(path).select(*PAGE_RECORD_COLUMNS)
@@ -265,7 +275,7 @@ def write_nested_jsonl(spark, sf):
 )
 def write_coverage_summary(spark, sf):
     path = scratch_path(spark, "summary")
-    wr.write_coverage_summary(_records(spark, sf), path)
+    wr.write_coverage_summary(_records(spark, sf)[0], path)
     schema = (
         "source_id string, category string, url string, fetched_at_utc string, status_code int, "
         "title string, heading_count int, table_count int, error string"

@@ -86,7 +86,7 @@ def _record(names: Column, cells: Column) -> Column:
     return let(F.array_distinct(names), lambda u: F.map_from_arrays(u, F.transform(u, value)))
 
 
-def _preview(rows: Column) -> Column:
+def _preview(rows: Column, max_rows: int, max_columns: int) -> Column:
     """Records of one table given as ``array<struct<th, cells>>``; may be empty."""
     has_header = F.coalesce(F.try_element_at(rows, F.lit(1))["th"], F.lit(False))
     no_cells = F.array().cast("array<string>")
@@ -99,14 +99,14 @@ def _preview(rows: Column) -> Column:
         )
         .otherwise(no_cells)
         .alias("header"),
-        F.slice(rows, F.when(has_header, 2).otherwise(1), K.MAX_TABLE_ROWS).alias("data"),
+        F.slice(rows, F.when(has_header, 2).otherwise(1), max_rows).alias("data"),
     )
 
     def named(p: Column) -> Column:
         widest = F.aggregate(
             p["data"], F.size(p["header"]), lambda n, r: F.greatest(n, F.size(r["cells"]))
         )
-        count = F.least(widest, F.lit(K.MAX_TABLE_COLUMNS))
+        count = F.least(widest, F.lit(max_columns))
         names = let(
             count, lambda n: F.when(n > 0, _header_names(p["header"], n)).otherwise(no_cells)
         )
@@ -120,16 +120,31 @@ def _preview(rows: Column) -> Column:
     return let(let(parts, named), build)
 
 
-def page_table_preview(pages: DataFrame, *, html: str = "html") -> DataFrame:
+def page_totals(pages: DataFrame, *, html: str = "html") -> DataFrame:
+    """Add ``headings_found`` and ``tables_found``: how many there are before any limit."""
+    text = drop_non_text(F.col(html))
+    found = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+    return pages.withColumns({"headings_found": found(_HEADING), "tables_found": found(_TABLE)})
+
+
+def page_table_preview(
+    pages: DataFrame,
+    *,
+    html: str = "html",
+    max_tables: int = K.MAX_TABLES,
+    max_rows: int = K.MAX_TABLE_ROWS,
+    max_columns: int = K.MAX_TABLE_COLUMNS,
+) -> DataFrame:
     """Add ``table_previews``: the leading rows of the first few tables.
 
-    A header row is used if the first row has a header cell; short rows give
+    The limits are those of the published records; ``page_totals`` says how many
+    tables a page has.  A header row is used if the first row has a header cell; short rows give
     NULLs; tables without cells or without data rows are left out.
     """
     tables = F.slice(
         F.regexp_extract_all(drop_non_text(F.col(html)), F.lit(_TABLE), F.lit(1)),
         1,
-        K.MAX_TABLES,
+        max_tables,
     )
 
     def row(r: Column) -> Column:
@@ -140,9 +155,9 @@ def page_table_preview(pages: DataFrame, *, html: str = "html") -> DataFrame:
 
     def rows(table: Column) -> Column:
         found = F.regexp_extract_all(table, F.lit(_ROW), F.lit(1))
-        return F.transform(F.slice(found, 1, K.MAX_TABLE_ROWS + 1), row)
+        return F.transform(F.slice(found, 1, max_rows + 1), row)
 
-    previews = F.transform(tables, lambda t: let(rows(t), _preview))
+    previews = F.transform(tables, lambda t: let(rows(t), lambda r: _preview(r, max_rows, max_columns)))
     return pages.withColumn("table_previews", F.filter(previews, lambda p: F.size(p) > 0))
 
 

@@ -19,7 +19,10 @@ from ..operators.calendar import (
     forward_fill,
     month_end_last,
     resample_month_end_last,
+    splice_coverage,
+    splice_inputs,
     splice_series,
+    splice_wide,
 )
 from ..operators.windows import pct_change_complete
 
@@ -194,6 +197,64 @@ def clean_panel_rules(key: Sequence[str]) -> list:
     return rules
 
 
+def series_coverage(
+    *,
+    point: DataFrame,
+    lower: DataFrame,
+    upper: DataFrame,
+    index: DataFrame,
+    unemployment: DataFrame,
+    natural: DataFrame,
+    key: Sequence[str],
+) -> DataFrame:
+    """One row per key of the raw series: how they fall short of the panel's needs.
+
+    The splice must have point values and both bounds without a gap between the
+    regimes, and on every day bounds in order, in the range regime with a width;
+    the index needs 13 months in a row, the labour series a common month.
+    """
+    rows = splice_inputs(point, lower, upper, key=key, date="date", value="value")
+    low, up = F.col("target_lower"), F.col("target_upper")
+    daily = splice_wide(rows, key=key).groupBy(*key).agg(
+        F.count_if(low.isNull() | up.isNull()).alias("days_without_bounds"),
+        F.count_if(low > up).alias("days_lower_above_upper"),
+        F.count_if((F.col("policy_regime") == K.RANGE_REGIME) & (low >= up)).alias("range_days_without_width"),
+    )
+    to_here = Window.partitionBy(*key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    gaps = F.sum(F.col("pce_index").isNull().cast("int")).over(to_here)
+    months = (
+        inflation_monthly(index, key=key)
+        .withColumn("_gap", gaps)
+        .groupBy(*key, "_gap")
+        .agg(F.count("pce_index").alias("_n"))
+        .groupBy(*key)
+        .agg((F.max("_n") < 13).alias("under_13_months"))
+    )
+    both = F.col("unemployment").isNotNull() & F.col("natural_unemployment").isNotNull()
+    labour = labour_panel(unemployment, natural, key=key).groupBy(*key).agg(
+        (F.count_if(both) == 0).alias("no_labour_overlap")
+    )
+    out = splice_coverage(rows, key=key)
+    for part in (daily, months, labour):
+        out = out.join(part, list(key), "left")
+    counts = ("days_without_bounds", "days_lower_above_upper", "range_days_without_width")
+    # A key without an index or labour row has neither months nor overlap.
+    return out.withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in counts}
+        | {c: F.coalesce(c, F.lit(True)) for c in ("under_13_months", "no_labour_overlap")}
+    )
+
+
+def series_coverage_rules() -> list:
+    flags = (
+        "no_point_values", "no_range_bounds", "point_ends_before_range", "under_13_months", "no_labour_overlap",
+    )
+    counts = ("days_without_bounds", "days_lower_above_upper", "range_days_without_width")
+    return [q.Rule(f"coverage:{c}", F.col(c)) for c in flags] + [
+        q.Rule(f"coverage:{c}", F.col(c) > 0) for c in counts
+    ]
+
+
 def build_clean_panel(
     *,
     point: DataFrame,
@@ -211,9 +272,14 @@ def build_clean_panel(
 
     ``policy`` is the daily splice if it is at hand as a written table; it is
     used by the monthly panel, the alignment and later the rate features, so at
-    scale it should be computed once.  ``raise`` checks every rule in one job and returns the panel; ``quarantine``
-    returns good and rejected events lazily; ``none`` returns it unchecked.
+    scale it should be computed once.  ``raise`` checks the coverage of the raw
+    series and every rule of the panel and returns it; ``quarantine`` returns good
+    and rejected events lazily (``series_coverage`` lists what is wrong with the
+    series); ``none`` returns the panel unchecked.
     """
+    if on_violation == "raise":
+        raw = dict(point=point, lower=lower, upper=upper, index=index, unemployment=unemployment, natural=natural)
+        q.expect(series_coverage(**raw, key=key), series_coverage_rules())
     if policy is None:
         policy = splice_series(point, lower, upper, key=key)
     monthly = monthly_panel(

@@ -143,3 +143,11 @@ def test_unreadable_and_repeated_dates_are_shown(spark):
     ]
     with pytest.raises(RuleViolation):
         pg.event_calendar_merge(none, old, years, **kw, on_violation="raise")
+
+
+def test_limits_are_parameters_and_totals_are_shown(spark):
+    table = "<table><tr><th>a</th></tr><tr><td>1</td></tr><tr><td>2</td></tr></table>"
+    df = spark.createDataFrame([("<h1>x</h1><h2>y</h2>" + table * 7,), (None,)], "html string")
+    out = pg.page_totals(pg.page_table_preview(df, max_tables=2, max_rows=1)).collect()
+    assert [(r.headings_found, r.tables_found) for r in out] == [(2, 7), (0, 0)]
+    assert [[len(t) for t in (r.table_previews or [])] for r in out] == [[1, 1], []]
