@@ -312,7 +312,7 @@ def linked(nodes: DataFrame, tokens: DataFrame, least: float = SIMILARITY) -> Da
         F.xxhash64("sketch", "h").alias("key"), "sketch", "node"
     )
     roots: DataFrame | None = None
-    for depth in range(1, SKETCHES + 1):
+    for depth in range(1, SKETCHES // 2 + 2):
         leaders = stage(
             members.groupBy(F.col("key").alias("lk"))
             .agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
@@ -345,19 +345,21 @@ def linked(nodes: DataFrame, tokens: DataFrame, least: float = SIMILARITY) -> Da
         # another sketch, and by length: texts alike differ in length by a factor
         # of ``1 / least`` at most, so they share one of two neighbouring steps.
         apart = stage(_lifted(pairs.select("a", "b"), roots).select("a", "b"), "apart")
-        if depth == SKETCHES or not apart.take(1):
+        if 2 * depth > SKETCHES or not apart.take(1):
             break
         open_keys = (
             met.join(apart.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")))
             .select(F.col("key").alias("ok"))
             .distinct()
         )
+        # One further sketch first, then two at a time.
+        more = [depth] if depth == 1 else [2 * depth - 2, 2 * depth - 1]
         step = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(least)) + 1e-9)
         members = stage(
             met.join(stage(open_keys, "open"), F.col("key") == F.col("ok"), "left_semi")
             .join(nodes.withColumnRenamed("node", "sn"), F.col("b") == F.col("sn"))
             .select(
-                "key", "sketch", "b", F.col("sketches")[(F.col("sketch") + depth) % SKETCHES].alias("h"),
+                "key", "sketch", "b", F.xxhash64(*[F.col("sketches")[(F.col("sketch") + d) % SKETCHES] for d in more]).alias("h"),
                 F.explode(F.array(step, step + 1) if depth == 1 else F.array(F.lit(0).cast("long"))).alias("step"),
             )
             .select(F.xxhash64("key", "h", "step").alias("key"), "sketch", F.col("b").alias("node")),
