@@ -215,36 +215,35 @@ def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, root``: least node of the connected component of each linked node.
 
-    Alternates large-star and small-star steps until the edges stay the same.
-    Every step is two joins with one row per node, written to the shared folder.
+    Alternates large-star and small-star steps until every edge leads from a node
+    to its root.  Edges are distinct, one small row each, and written to the shared
+    folder after every step.
     """
     edges = stage(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
         "edges",
     )
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def unsettled() -> bool:
+        heads = edges.select(F.col("u").alias("head"))
+        onward = edges.join(heads, F.col("v") == F.col("head"), "left_semi").select("u")
+        forked = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+        return bool(onward.unionByName(forked).take(1))
 
-    before = mark(edges)
-    while before[0]:
+    while unsettled():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), "large-star")
+        least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(
             F.col("v").alias("u"), F.least("u", "m").alias("v")
         )
-        large = stage(large.distinct(), "large")
-        least = stage(large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), "small-star")
+        large = stage(large.distinct(), "large-star")
+        least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("c")).where("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v")
         )
         edges = stage(
-            small.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct(), "edges"
+            small.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct(), "small-star"
         )
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
