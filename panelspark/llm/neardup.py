@@ -4,10 +4,11 @@ A text is its sequence of words.  Each sketch takes the least few of its k-mers
 (runs of five words, told apart by occurrence) under one hash and keeps them in
 text order, so that agreeing sketches point to a small edit distance and not just
 to a shared vocabulary.  Texts that agree in a sketch meet in a bucket, where all
-are compared with one leader; buckets in which that fails for some are split by
-further sketches until nothing is left to compare.  A pair counts as a link only
-when its words align within a band with a similarity of 0.8 or more.  Classes are
-the connected components of the links.
+are compared with one leader.  Where that fails for some, all members of different
+classes are compared, but for pairs whose lengths or rarest words show that they
+are not alike.  A pair counts as a link only when its words align within a band
+with a similarity of 0.8 or more.  Classes are the connected components of the
+links.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ _PLACE = np.uint64((1 << 28) - 1)
 #: K-mers that are hashed at once.
 _CHUNK = 1 << 16
 _BLOCK = 32
+#: Slots in which the occurrences of words are counted.
+_SLOTS = 1 << 18
 
 
 def words_of(text: Column) -> Column:
@@ -308,65 +311,117 @@ def linked(nodes: DataFrame, tokens: DataFrame, least: float = SIMILARITY) -> Da
     ``tokens`` its words.
     """
     members = nodes.select("node", F.posexplode("sketches").alias("sketch", "h")).select(
-        F.xxhash64("sketch", "h").alias("key"), "sketch", "node"
+        F.xxhash64("sketch", "h").alias("key"), "node"
     )
-    roots: DataFrame | None = None
-    for depth in range(1, SKETCHES // 2 + 2):
-        leaders = stage(
-            members.groupBy(F.col("key").alias("lk"))
-            .agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
-            .where("n > 1")
-            .select("lk", "a"),
-            "leaders",
-        )
-        met = stage(
-            members.join(leaders, F.col("key") == F.col("lk")).select("key", "sketch", "a", F.col("node").alias("b")),
-            "met",
-        )
-        shared = met.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-        pairs = stage(_lifted(shared, roots).drop("xa", "xb"), "pairs")
-        # The leader that shares most sketches comes first; most others then are
-        # already in one class with their member.
-        best = pairs.groupBy(F.col("b").alias("bb")).agg(F.max(F.struct("shared", "a")).alias("m"))
-        tried = stage(_verified(best.select(F.col("m.a").alias("a"), F.col("bb").alias("b")), tokens, least), "verified")
-        found = tried.where("link")
-        if roots is None:  # each member has one leader, smaller than itself
-            roots = stage(forest_roots(found.select(F.col("b").alias("node"), F.col("a").alias("parent"))), "roots")
-        else:
-            roots = _merged(roots, found.select("a", "b"))
-        done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-        left = pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-        left = stage(_lifted(left.select("a", "b"), roots).select("a", "b"), "pairs-left")
-        if left.take(1):
-            more = stage(_verified(left, tokens, least), "verified")
-            roots = _merged(roots, more.where("link").select("a", "b"))
-        # Buckets with members that are not in their leader's class are split by
-        # another sketch, and by length: texts alike differ in length by a factor
-        # of ``1 / least`` at most, so they share one of two neighbouring steps.
-        apart = stage(_lifted(pairs.select("a", "b"), roots).select("a", "b"), "apart")
-        if 2 * depth > SKETCHES or not apart.take(1):
-            break
-        open_keys = (
-            met.join(apart.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")))
-            .select(F.col("key").alias("ok"))
-            .distinct()
-        )
-        # One further sketch first, then two at a time.
-        more = [depth] if depth == 1 else [2 * depth - 2, 2 * depth - 1]
-        step = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(least)) + 1e-9)
-        members = stage(
-            met.join(stage(open_keys, "open"), F.col("key") == F.col("ok"), "left_semi")
-            .join(nodes.withColumnRenamed("node", "sn"), F.col("b") == F.col("sn"))
-            .select(
-                "key", "sketch", "b", F.xxhash64(*[F.col("sketches")[(F.col("sketch") + d) % SKETCHES] for d in more]).alias("h"),
-                F.explode(F.array(step, step + 1) if depth == 1 else F.array(F.lit(0).cast("long"))).alias("step"),
-            )
-            .select(F.xxhash64("key", "h", "step").alias("key"), "sketch", F.col("b").alias("node")),
-            "members",
-        )
+    leaders = stage(
+        members.groupBy(F.col("key").alias("lk"))
+        .agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("lk", "a"),
+        "leaders",
+    )
+    met = stage(
+        members.join(leaders, F.col("key") == F.col("lk")).select("key", "a", F.col("node").alias("b")),
+        "met",
+    )
+    pairs = stage(met.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+    # The leader that shares most sketches comes first; most others then are
+    # already in one class with their member.
+    best = pairs.groupBy(F.col("b").alias("bb")).agg(F.max(F.struct("shared", "a")).alias("m"))
+    tried = stage(_verified(best.select(F.col("m.a").alias("a"), F.col("bb").alias("b")), tokens, least), "verified")
+    # Each member has one leader, smaller than itself.
+    found = tried.where("link").select(F.col("b").alias("node"), F.col("a").alias("parent"))
+    roots = stage(forest_roots(found), "roots")
+    done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+    left = pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+    left = stage(_lifted(left.select("a", "b"), roots).select("a", "b"), "pairs-left")
+    if left.take(1):
+        more = stage(_verified(left, tokens, least), "verified")
+        roots = _merged(roots, more.where("link").select("a", "b"))
+    # Buckets with members that are not in their leader's class are open: any two
+    # of their members that are in different classes are still to be compared.
+    apart = stage(_lifted(pairs.select("a", "b"), roots).select("a", "b"), "apart")
+    if not apart.take(1):
+        return roots
+    same = (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb"))
+    open_keys = met.join(apart.select(F.col("a").alias("pa"), F.col("b").alias("pb")), same, "left_semi")
+    open_keys = stage(open_keys.select(F.col("key").alias("ok")).distinct(), "open")
+    some = stage(
+        met.join(open_keys, F.col("key") == F.col("ok"), "left_semi").select(F.col("b").alias("node")).distinct(),
+        "open-members",
+    )
+    rest = stage(_across(some, roots, tokens, least), "pairs-across")
+    # One pair of each two classes comes first; where it links them, the others
+    # need no comparison.
+    one = _lifted(rest, roots).groupBy("xa", "xb").agg(F.min(F.struct("a", "b")).alias("m"))
+    tried = stage(_verified(one.select("m.a", "m.b"), tokens, least), "verified")
+    roots = _merged(roots, tried.where("link").select("a", "b"))
+    done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+    left = rest.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+    left = stage(_lifted(left.select("a", "b"), roots).select("a", "b"), "pairs-left")
+    if left.take(1):
+        more = stage(_verified(left, tokens, least), "verified")
+        roots = _merged(roots, more.where("link").select("a", "b"))
     return roots
 
 
+def _rare_words(members: DataFrame, least: float) -> DataFrame:
+    """``node, root, word, step`` of the rarest words of each text.
+
+    Texts alike share all but ``1 - least`` of the words of the longer, each as
+    often as it occurs.  So in any order of words, here by how many occurrences
+    all ``members`` have of them, texts alike have a word in common among the
+    first of each, one more than may differ.  They also share one of two steps
+    of length: they differ in it by a factor of ``1 / least`` at most.  Both hold
+    for every pair, so no pair alike is lost.
+    """
+    slots = members.select(F.explode("words").alias("word")).select(F.pmod("word", F.lit(_SLOTS)).alias("slot"))
+    counted = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()
+    often = np.zeros(_SLOTS, dtype=np.int64)
+    often[[r["slot"] for r in counted]] = [r["n"] for r in counted]
+    shared = members.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = shared.value
+        for batch in batches:
+            out: list[tuple] = []
+            for node, root, words in zip(batch["node"], batch["root"], batch["words"], strict=True):
+                n = len(words)
+                word, times = np.unique(np.asarray(words, dtype=np.int64), return_counts=True)
+                nth = np.arange(n) - np.repeat(np.cumsum(times) - times, times)
+                word = np.repeat(word, times)
+                rare = often[word % _SLOTS]
+                first = np.lexsort((nth, word, rare))[: int((1 - least) * n + 1e-9) + 1]
+                first = first[rare[first] > 1]  # a single occurrence is in no other text
+                step = int(np.floor(np.log(n) / -np.log(least) + 1e-9))
+                out.extend((node, root, w, x) for w in (word[first] << 28) + nth[first] for x in (step, step + 1))
+            yield pd.DataFrame(out, columns=["node", "root", "word", "step"])
+
+    return members.select("node", "root", "words").mapInPandas(run, "node long, root long, word long, step int")
+
+
+def _across(some: DataFrame, roots: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """``a, b``: all pairs of ``some`` nodes in different classes that may be alike.
+
+    Classes are paired first, then their members, so that the pairs within a
+    large class are never made.
+    """
+    of = roots.select(F.col("node").alias("rn"), "root")
+    members = some.join(of, F.col("node") == F.col("rn"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    words = tokens.select("row", "words")
+    members = stage(members.join(words, F.col("node") == F.col("row")).drop("row"), "open-words")
+    rare = stage(_rare_words(members, least), "rare-words")
+    classes = rare.groupBy("word", "step", "root").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    ours = classes.select(F.col("word").alias("w"), F.col("step").alias("s"), F.col("root").alias("ra"))
+    theirs = classes.select("word", "step", F.col("root").alias("rb"))
+    here = (F.col("w") == F.col("word")) & (F.col("s") == F.col("step"))
+    met = stage(ours.join(theirs, here & (F.col("ra") < F.col("rb"))).select("w", "s", "ra", "rb"), "classes-met")
+    for root, name in (("ra", "a"), ("rb", "b")):
+        own = rare.select("word", "step", F.col("root").alias("r"), F.col("node").alias(name))
+        met = met.join(own, here & (F.col(root) == F.col("r"))).drop("word", "step", "r")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY
 ) -> DataFrame:

@@ -217,6 +217,41 @@ def test_near_many_copies_and_a_common_passage(make_docs):
     assert {got[i] for i in range(200, 260)} == {200}
 
 
+def test_near_pairs_that_share_a_bucket_are_all_compared(make_docs):
+    rng = random.Random(11)
+    fresh = lambda: f"u{rng.randrange(10**9)}"
+
+    def edited(words, places):
+        return [fresh() if i in places else w for i, w in enumerate(words)]
+
+    passage = [f"common{i}" for i in range(60)]
+    texts = []
+    for _ in range(40):  # a text around the passage, and copies of it
+        base = passage + [fresh() for _ in range(60)]
+        texts += [base, edited(base, rng.sample(range(120), 12)), edited(base, rng.sample(range(120), 12))]
+        # A family that drifts: each is like the next only.
+        drift = edited(base, range(60, 80))
+        texts += [drift, edited(drift, range(80, 100)), edited(drift, range(80, 115))]
+    got = neardup.near_classes(make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()
+    class_of = {r.doc_id: r.class_id for r in got}
+    number = {w: i for i, w in enumerate({w for t in texts for w in t})}
+    texts = [np.array([number[w] for w in t], dtype=np.int32) for t in texts]
+    spark = make_docs([]).sparkSession
+    named = {i: w for w, i in number.items()}
+    hashed = spark.createDataFrame([(i, w) for i, w in named.items()], "i int, w string").select("i", F.hash("w").alias("h"))
+    hash_of = {r.i: r.h for r in hashed.collect()}
+    sketches = neardup.order_min_hash([np.array([hash_of[w] for w in t.tolist()], dtype=np.int32) for t in texts])
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.similar(texts[i], texts[j])]
+    met = [(i, j) for i, j in alike if (sketches[i] == sketches[j]).any()]
+    assert len(met) > 100
+    assert all(class_of[i] == class_of[j] for i, j in met)
+    root = list(range(len(texts)))
+    for _ in root:
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    assert all(root[i] == root[c] for i, c in class_of.items())  # and none is joined without a link
+
+
 @pytest.mark.parametrize("size", [1, 2, 4, 5])
 def test_short_texts(make_docs, size):
     text = " ".join("abcde"[:size])
