@@ -30,8 +30,10 @@ _HEX_LONG = r"[0-9a-f]{%d,}" % MIN_HEX
 BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
 #: Owners from which on a value counts as a copied example.
 EXAMPLE_OWNERS = 3
-#: Share of distinct characters from which on a value looks random.
+#: Distinct characters from which on a value looks random: this share of its
+#: length, or of the characters its kind is made of, whichever is less.
 MIN_VARIETY = 0.3
+_HEX_SYMBOLS, _CAPITALS, _SYMBOLS = 16, 36, 66
 
 
 def spans_of(text: Column, pattern: str, kind: str, min_length: int = 0, value_group: int = 0) -> Column:
@@ -93,9 +95,18 @@ def joined(spans: Column) -> Column:
     )
 
 
-def variety(value: Column) -> Column:
-    """Distinct characters over length."""
-    return F.size(F.array_distinct(F.split(value, ""))) / F.length(value)
+def looks_random(kind: Column, value: Column) -> Column:
+    """Whether a value has as many distinct characters as chance would give it.
+
+    A share of the length is asked for up to where it passes the same share of the
+    characters of the kind, so that no value is too long.  Values of hexadecimal
+    digits only are measured with these, whatever their kind.
+    """
+    symbols = (
+        F.when(value.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), _HEX_SYMBOLS).when(kind == "access", _CAPITALS).otherwise(_SYMBOLS)
+    )
+    distinct = F.size(F.array_distinct(F.split(value, "")))
+    return distinct >= MIN_VARIETY * F.least(F.length(value), symbols)
 
 
 def ownership(candidates: DataFrame, repo: list[str], owner: list[str]) -> DataFrame:
@@ -144,8 +155,7 @@ def scan_secrets(
     )
     clear = F.filter(
         F.col("bare"),
-        lambda b: (variety(b["value"]) >= MIN_VARIETY)
-        & ~F.exists(F.col("base"), lambda x: (x["start"] < b["end"]) & (b["start"] < x["end"])),
+        lambda b: ~F.exists(F.col("base"), lambda x: (x["start"] < b["end"]) & (b["start"] < x["end"])),
     )
 
     def hashed(spans: Column) -> Column:
@@ -154,7 +164,7 @@ def scan_secrets(
             lambda x: F.struct(
                 x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
                 F.sha2(x["value"], 256).alias("hash"),
-                (variety(x["value"]) >= MIN_VARIETY).alias("varied"),
+                looks_random(x["kind"], x["value"]).alias("varied"),
             ),
         )
 

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -65,6 +67,21 @@ def test_ownership_tells_examples_from_live_ones(make_docs):
     assert got[9].n_live == got[10].n_live == 1
 
 
+def test_secrets_of_any_length_look_random(make_docs):
+    rng = random.Random(8)
+    letters = string.ascii_letters + string.digits
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(64))
+    token = "".join(rng.choice(letters) for _ in range(299)) + "7"
+    long = "".join(rng.choice(letters) for _ in range(400))
+    flat = "ab1" * 40  # three distinct characters: one owner, but not random
+    rows = [(1, f"key {key}"), (2, f"bearer {token}."), (3, f"password={long}"), (4, f"x {flat} y"), (5, "0" * 64)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(make_docs(rows), ["source", "lang"], ["source"]).collect()}
+    assert got[1].n_live == got[2].n_live == got[3].n_live == 1
+    assert [(x.kind, x.start, x.end) for x in got[2].added] == [("live", 7, 307)]
+    assert got[4].n_live == got[5].n_live == 0 and not got[4].added
+    assert got[4].n_shared == got[5].n_shared == 1  # counted all the same
+
+
 def test_secrets_empty(make_docs):
     assert secrets.scan_secrets(make_docs([]), ["source", "lang"], ["source"]).count() == 0
 
