@@ -27,8 +27,6 @@ MAX_REPEATS = 3
 #: driver, so a column of unbounded names is refused, not cut.  Tables of one row
 #: per pattern are therefore small enough to broadcast.
 MAX_NODES = 20_000
-#: Documents of fitting size that complete a pattern.
-FILL = 3
 #: Bits of the seeded order that one histogram resolves.
 BITS = 12
 
@@ -196,8 +194,8 @@ def mix(
 
     ``source`` is a column of names or of arrays of names (overlapping sources;
     null and empty arrays are the source null).  The words of a pattern are taken
-    in whole rounds, then in the order of a seeded hash of id and text, and last
-    come up to ``FILL`` documents whose sizes are nearest to what is left.  Returns
+    in whole rounds, then in the order of a seeded hash of id and text, past those
+    that do not fit what is left, and last the one of the nearest size.  Returns
     ``doc_id, size, source_size, target, taken, copies, text_key``; ``taken`` is
     ``copies * size``, the sizes and targets are those of the row's first source.
     A document without words is taken 0 times.  Repeated rows are separate
@@ -238,9 +236,55 @@ def mix(
     high = F.shiftrightunsigned("key", 64 - BITS).cast("int")
     low = F.shiftrightunsigned("key", 64 - 2 * BITS).cast("int") % (1 << BITS)
     rows = slim.withColumn("high", high).withColumn("low", low)
+    needs = plan.select("_p", "need")
+    chosen, cuts = _in_order(rows, needs)
+    got = chosen.groupBy(F.col("pattern").alias("_g")).agg(F.sum("size").alias("got"))
+    rest = cuts.join(got, F.col("_p") == F.col("_g"), "left").select(
+        "_p", "cut1", "cut2", (F.col("need2") - F.coalesce("got", F.lit(0))).alias("left_over")
+    )
+    state = (
+        rows.join(F.broadcast(rest), F.col("pattern") == F.col("_p"), "left")
+        .join(chosen.select("chosen_row"), F.col("row") == F.col("chosen_row"), "left")
+        .drop("_p")
+        .withColumn(
+            "extra",
+            F.coalesce(
+                (F.col("high") < F.col("cut1"))
+                | ((F.col("high") == F.col("cut1")) & (F.col("low") < F.col("cut2")))
+                | F.col("chosen_row").isNotNull(),
+                F.lit(False),
+            ),
+        )
+    )
+    state = stage(state.drop("sources"), "mix-state")
+    top = _fill(
+        state.where(~F.col("extra") & (F.col("size") > 0) & (F.col("left_over") > 0)).select(
+            "pattern", "key", "row", "size", "high", "low"
+        ),
+        rest.select(F.col("_p").alias("pattern"), "left_over"),
+    )
+    extra = F.col("extra") | F.col("top_row").isNotNull()
+    copies = F.when(F.col("size") > 0, F.col("rounds") + extra.cast("long")).otherwise(0).cast("long")
+    return (
+        state.join(top, F.col("row") == F.col("top_row"), "left")
+        .join(F.broadcast(plan), F.col("pattern") == F.col("_p"))
+        .withColumn("copies", copies)
+        .select(
+            "doc_id", "size", "source_size", "target",
+            (F.col("copies") * F.col("size")).alias("taken"), "copies", "text_key",
+        )
+    )
+
+
+def _in_order(rows: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the words that each pattern ``needs`` (``_p, need``) end in the seeded order.
+
+    The order is cut in a bucket ``cut1, cut2`` of two histograms; rows of the
+    buckets before are within the need, and of that bucket the ``chosen`` rows.
+    """
     # The words still needed end in one bucket of the order, then in one bucket of that.
     first = rows.groupBy("pattern", "high").agg(F.sum("size").alias("size"))
-    first = first.join(plan, F.col("pattern") == F.col("_p")).where("need > 0")
+    first = first.join(needs, F.col("pattern") == F.col("_p")).where("need > 0")
     cut1 = stage(
         _cut(first, "need", ["high"]).select(
             F.col("pattern").alias("_p"), F.col("high").alias("cut1"), (F.col("need") - F.col("before")).alias("need1")
@@ -278,70 +322,66 @@ def mix(
         .select(F.col("row").alias("chosen_row"), "pattern", "need2", "size"),
         "mix-chosen",
     )
-    got = chosen.groupBy(F.col("pattern").alias("_g")).agg(F.sum("size").alias("got"))
-    rest = cuts.join(got, F.col("_p") == F.col("_g"), "left").select(
-        "_p", "cut1", "cut2", (F.col("need2") - F.coalesce("got", F.lit(0))).alias("left_over")
-    )
-    state = (
-        rows.join(F.broadcast(rest), F.col("pattern") == F.col("_p"), "left")
-        .join(chosen.select("chosen_row"), F.col("row") == F.col("chosen_row"), "left")
-        .drop("_p")
-        .withColumn(
-            "extra",
-            F.coalesce(
-                (F.col("high") < F.col("cut1"))
-                | ((F.col("high") == F.col("cut1")) & (F.col("low") < F.col("cut2")))
-                | F.col("chosen_row").isNotNull(),
-                F.lit(False),
-            ),
-        )
-    )
-    state = stage(state.drop("sources"), "mix-state")
-    top = _fill(
-        state.where(~F.col("extra") & (F.col("size") > 0) & (F.col("left_over") > 0)).select(
-            "pattern", "key", "row", "size"
-        ),
-        rest.select(F.col("_p").alias("pattern"), "left_over"),
-    )
-    extra = F.col("extra") | F.col("top_row").isNotNull()
-    copies = F.when(F.col("size") > 0, F.col("rounds") + extra.cast("long")).otherwise(0).cast("long")
-    return (
-        state.join(top, F.col("row") == F.col("top_row"), "left")
-        .join(F.broadcast(plan), F.col("pattern") == F.col("_p"))
-        .withColumn("copies", copies)
-        .select(
-            "doc_id", "size", "source_size", "target",
-            (F.col("copies") * F.col("size")).alias("taken"), "copies", "text_key",
-        )
-    )
+    return chosen, cuts
 
 
 def _fill(spare: DataFrame, lack: DataFrame) -> DataFrame:
-    """``top_row``: up to ``FILL`` more documents a pattern for what it lacks.
+    """``top_row``: more documents of ``spare`` for the words that each pattern lacks.
 
-    Each is the one of ``spare`` whose size is nearest to what is still lacking,
-    where taking it brings the words nearer.
+    The seeded order goes on past documents that do not fit: those of the others
+    that fit are taken in order, until none fits what is still lacking.  Last comes
+    the one whose size is nearest to that, where taking it brings the words nearer.
     """
     picks = None
-    for _ in range(FILL):
+    fitting = spare
+    while True:
         open_ = lack.where("left_over > 0").select(F.col("pattern").alias("_l"), "left_over")
-        near = spare.join(F.broadcast(open_), F.col("pattern") == F.col("_l"))
-        if picks is not None:
-            taken = picks.select(F.col("top_row").alias("_taken"))
-            near = near.join(taken, F.col("row") == F.col("_taken"), "left_anti")
-        gap = F.abs(F.col("size") - F.col("left_over"))
-        best = stage(
-            near.where(gap < F.col("left_over"))
-            .groupBy("pattern")
-            .agg(F.min(F.struct(gap.alias("gap"), "key", "row", "size")).alias("m"))
-            .select("pattern", F.col("m.row").alias("top_row"), F.col("m.size").alias("got")),
-            "mix-fill",
+        fitting = fitting.select("pattern", "key", "row", "size", "high", "low").join(
+            F.broadcast(open_), F.col("pattern") == F.col("_l")
         )
-        picks = best if picks is None else picks.unionByName(best)
-        lack = lack.join(best.select(F.col("pattern").alias("_b"), "got"), F.col("pattern") == F.col("_b"), "left").select(
-            "pattern", (F.col("left_over") - F.coalesce("got", F.col("left_over"))).alias("left_over")
+        fitting = stage(fitting.where(F.col("size") <= F.col("left_over")).drop("_l"), "mix-fitting")
+        needs = stage(
+            fitting.groupBy(F.col("pattern").alias("_p"), "left_over")
+            .agg(F.sum("size").alias("all"))
+            .select("_p", F.least("all", "left_over").alias("need")),
+            "mix-needs",
         )
-    return picks.select("top_row")
+        if not needs.take(1):
+            break
+        chosen, cuts = _in_order(fitting.drop("left_over"), needs)
+        before = (F.col("high") < F.col("cut1")) | ((F.col("high") == F.col("cut1")) & (F.col("low") < F.col("cut2")))
+        marked = stage(
+            fitting.drop("left_over")
+            .join(F.broadcast(cuts.select("_p", "cut1", "cut2")), F.col("pattern") == F.col("_p"))
+            .join(chosen.select("chosen_row"), F.col("row") == F.col("chosen_row"), "left")
+            .withColumn("fits", before | F.col("chosen_row").isNotNull()),
+            "mix-marked",
+        )
+        now = marked.where("fits").select(F.col("row").alias("top_row"))
+        picks = now if picks is None else picks.unionByName(now)
+        got = marked.where("fits").groupBy(F.col("pattern").alias("_b")).agg(F.sum("size").alias("got"))
+        lack = stage(
+            lack.join(got, F.col("pattern") == F.col("_b"), "left").select(
+                "pattern", (F.col("left_over") - F.coalesce("got", F.lit(0))).alias("left_over")
+            ),
+            "mix-lack",
+        )
+        fitting = marked.where("not fits")
+    near = spare.join(
+        F.broadcast(lack.where("left_over > 0").select(F.col("pattern").alias("_l"), "left_over")),
+        F.col("pattern") == F.col("_l"),
+    )
+    if picks is not None:
+        near = near.join(picks.select(F.col("top_row").alias("_taken")), F.col("row") == F.col("_taken"), "left_anti")
+    gap = F.abs(F.col("size") - F.col("left_over"))
+    best = stage(
+        near.where(gap < F.col("left_over"))
+        .groupBy("pattern")
+        .agg(F.min(F.struct(gap.alias("gap"), "key", "row")).alias("m"))
+        .select(F.col("m.row").alias("top_row")),
+        "mix-fill",
+    )
+    return best if picks is None else picks.unionByName(best)
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:

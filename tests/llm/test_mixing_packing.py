@@ -122,6 +122,15 @@ def test_apply_mix_repeats_rows(spark):
     assert Counter(r.doc_id for r in out.collect()) == Counter({i: n for i, n in want.items() if n})
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_goes_on_past_a_document_that_does_not_fit(make_docs, seed):
+    rows = [(0, "x " * 1000, "s")] + [(i, "a b c", "s") for i in range(1, 301)]
+    rows += [(i, "w " * 10, "t") for i in range(400, 590)]
+    got = mixing.mix(make_docs(rows), {"s": 450, "t": 3350}, seed=seed).collect()
+    assert abs(sum(r.taken for r in got if r.doc_id < 400) - 450) <= 3  # a small document's size
+    assert abs(sum(r.taken for r in got if r.doc_id >= 400) - 3350) <= 10
+
+
 def test_mix_empty(make_docs):
     assert mixing.mix(make_docs([])).count() == 0
 
