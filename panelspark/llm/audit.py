@@ -62,6 +62,8 @@ def repeats(rows: DataFrame) -> DataFrame:
         .where("n > 1 and least is not null")
         .select("digest", "least")
     )
+    # Written, so that a text with very many copies can be split by the join.
+    first = stage(first, "audit-first")
     later = F.col("id").isNull() | (F.col("id") > F.col("least"))
     return rows.join(first, "digest").where(later).drop("least")
 
