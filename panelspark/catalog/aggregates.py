@@ -8,6 +8,7 @@ from ..functions import constants as K
 from ..operators import joins as j
 from ..operators import metrics as m
 from ..operators import quality as q
+from ..operators import ranking as rk
 from ..plans.reports import headline_counts, holdout_report_tables
 from . import fixtures as fx
 from .fixtures import plain
@@ -262,7 +263,7 @@ def _parts(spark, sf):
     f"SELECT grp, feature, importance, CAST(rank() OVER (PARTITION BY grp ORDER BY importance DESC) AS INTEGER) AS rank FROM {_BRANDS}",
 )
 def rank_min_desc(spark, sf):
-    return m.rank_min_desc(_brands(spark, sf), group=["grp"], value="importance")
+    return rk.rank_min_desc(_brands(spark, sf), group=["grp"], value="importance")
 
 
 @query(
@@ -271,7 +272,7 @@ def rank_min_desc(spark, sf):
     CAST(row_number() OVER (PARTITION BY grp ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM {_BRANDS}""",
 )
 def sequential_rank(spark, sf):
-    return m.sequential_rank(_brands(spark, sf), group=["grp"], value="importance", name="feature")
+    return rk.sequential_rank(_brands(spark, sf), group=["grp"], value="importance", name="feature")
 
 
 _MOST_LEAST = f"""SELECT * FROM (SELECT 'most_influential' AS influence_group,

@@ -193,19 +193,6 @@ def delta_vs_baseline_row(
 # --- ranking -----------------------------------------------------------------
 
 
-def rank_min_desc(df: DataFrame, *, group: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """Competition rank by descending value within a group of bounded size."""
-    return df.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(F.desc(value))))
-
-
-def sequential_rank(
-    df: DataFrame, *, group: Sequence[str], value: str, name: str, out: str = "rank"
-) -> DataFrame:
-    """1..n by descending value, the name breaking ties."""
-    w = Window.partitionBy(*group).orderBy(F.desc(value), F.asc(name))
-    return df.withColumn(out, F.row_number().over(w))
-
-
 def _top(df: DataFrame, order: list[Column], k: int, tag: str, name: str, value: str) -> DataFrame:
     # TakeOrderedAndProject keeps k rows per task; the rank is over k rows.
     best = df.orderBy(*order).limit(k).withColumn("influence_group", F.lit(tag))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     ``spark.checkpoint.dir`` of the session, else the checkpoint folder of the
-    context, else a folder in the warehouse.  Never a machine-local temporary
-    folder, whatever the master is.
+    context, else a folder in the warehouse.  A warehouse on the driver's own disk
+    serves only where driver and executors are one machine; elsewhere a session
+    without a shared folder is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -20,9 +21,28 @@ def shared_dir(spark: SparkSession) -> str:
     checkpoint = spark.sparkContext.getCheckpointDir()
     if checkpoint:
         return checkpoint.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    on_disk = warehouse.startswith("file:") or "://" not in warehouse
+    if on_disk and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return warehouse + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/panelspark/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again: later readers prune it
+    to their columns, and a lost executor costs its tasks, not the work before them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it is stored, if it is there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
