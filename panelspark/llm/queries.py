@@ -79,8 +79,8 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = spm.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
     return encoded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(spm.little_endian(F.col("ids")), 256).alias("ids_sha256"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

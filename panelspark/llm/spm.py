@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ SPACE = "▁"
 #: Rank of a pair that no piece spells.
 NONE = np.iinfo(np.int64).max
 #: Symbols whose ids a task keeps for later batches, and characters encoded at once.
-KEPT_IDS = 4_000_000
-CHUNK_CHARS = 1_000_000
+KEPT_IDS = 2_000_000
+CHUNK_CHARS = 250_000
 #: Places of a word that a round may leave to later ones.
 LEFT_OVER = 32
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -233,11 +234,10 @@ def merge_rounds(symbols: np.ndarray, starts: np.ndarray, t: Tables) -> tuple[np
     return found_symbols[order], places[order]
 
 
-def encode_words(words: list[str], t: Tables) -> list[np.ndarray]:
-    """Ids of each word; spaces are written as they are in pieces."""
+def encode_words(words: list[str], t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, none of them empty, one after the other, and the number of ids
+    of each; spaces are written as they are in pieces."""
     text = "".join(words)
-    if not text:
-        return [np.empty(0, dtype=np.int64) for _ in words]
     points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
     lengths = np.array([len(w) for w in words])
     at, there = found(t.code_points, points)
@@ -245,7 +245,7 @@ def encode_words(words: list[str], t: Tables) -> list[np.ndarray]:
     # Characters that stand together in no piece are never merged: cut there too.
     apart = ~found(t.neighbours, points[:-1].astype(np.uint64) << np.uint64(32) | points[1:])[1]
     cuts = np.r_[True, apart]
-    cuts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    cuts[np.cumsum(lengths) - lengths] = True
     left, place = merge_rounds(symbols, np.flatnonzero(cuts), t)
     # Characters without a piece become their bytes.
     raw = (left < 0) | (left >= len(t.ends))
@@ -255,8 +255,32 @@ def encode_words(words: list[str], t: Tables) -> list[np.ndarray]:
     ids = np.repeat(left, n_out)
     if spelled:
         ids[np.repeat(raw, n_out)] = np.concatenate(spelled)
-    begin = np.searchsorted(place, np.cumsum(lengths)[:-1])
-    return np.split(ids, np.r_[0, np.cumsum(n_out)][begin])
+    ends = np.r_[0, np.cumsum(n_out)][np.searchsorted(place, np.cumsum(lengths))]
+    return ids, np.diff(ends, prepend=0)
+
+
+class Slots(dict):
+    """Numbers of words in the order of their first use; new ones are listed."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = slot = len(self)
+        self.fresh.append(word)
+        return slot
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, each without the space that every word begins with."""
+    if "  " in text or SPACE in text or text[:1] == " " or text[-1:] == " ":
+        return [w[1:] for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
+    return text.split(" ") if text else []
 
 
 class Encoder:
@@ -267,48 +291,66 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.slots = Slots()
+        self.ids = np.empty(0, dtype=np.int32)
+        self.starts = np.empty(0, dtype=np.int64)
+        self.sizes = np.empty(0, dtype=np.int64)
         self.held = 0
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text with the begin and end ids."""
-        t = self.tables
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts with their begin and end ids, one text after the other, and
+        the number of ids of each."""
+        t, slots = self.tables, self.slots
         if self.held > KEPT_IDS:
             self.clear()
-        begin, end = np.array([t.begin]), np.array([t.end])
-        per_text, fresh = [], []
-        for text in texts:
-            words = _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            for w in words:
-                if w not in self.slots:
-                    self.slots[w] = len(self.slots)
-                    fresh.append(w)
-            per_text.append([self.slots[w] for w in words])
-        new = encode_words(fresh, t) if fresh else []
-        self.ids += new
-        # A long word counts by its characters: they are held as well.
-        self.held += sum(len(w) for w in fresh)
-        return [np.concatenate([begin, *[self.ids[s] for s in slots], end]) for slots in per_text]
-
-
-def decode_ids(ids: np.ndarray, t: Tables) -> str:
-    """The text of ``ids``: control ids are left out, bytes are joined to characters,
-    and the space put before the text is taken away."""
-    ids = ids[~t.control[ids]]
-    if not len(ids):
-        return ""
-    ends, size = t.ends[ids], np.diff(t.ends, prepend=0)[ids]
-    at = np.arange(size.sum()) + np.repeat(ends - np.cumsum(size), size)
-    text = t.spelled[at].tobytes().decode("utf-8", errors="replace")
-    return text[1:] if t.spaced[ids[0]] else text
-
-
-def chunks(texts: list[str | None]) -> Iterator[list[str]]:
-    """Texts in their order, a bounded number of characters at a time."""
+            slots = self.slots
+        words = [words_of(text) for text in texts]
+        n_words = np.array([len(w) for w in words], dtype=np.int64)
+        used = np.fromiter(map(slots.__getitem__, chain.from_iterable(words)), np.int64, n_words.sum())
+        if slots.fresh:
+            ids, sizes = encode_words([SPACE + w for w in slots.fresh], t)
+            # A long word counts by its characters: they are held as well.
+            self.held += sum(len(w) for w in slots.fresh)
+            slots.fresh.clear()
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        at = ranges(self.starts[used], self.sizes[used])
+        before = np.r_[0, np.cumsum(self.sizes[used])]
+        last = np.cumsum(n_words)
+        bare = before[last] - before[last - n_words]
+        out = np.empty(len(at) + 2 * len(texts), dtype=np.int32)
+        sizes = bare + 2
+        first = np.cumsum(sizes) - sizes
+        out[first], out[first + sizes - 1] = t.begin, t.end
+        out[ranges(first + 1, bare)] = self.ids[at]
+        return out, sizes
+
+
+def decode_flat(ids: np.ndarray, sizes: np.ndarray, t: Tables) -> list[str]:
+    """The texts of ids that lie one text after the other: control ids are left out,
+    bytes are joined to characters, and the space put before a text is taken away."""
+    plain = ~t.control[ids]
+    kept = np.r_[0, np.cumsum(plain)]
+    last = np.cumsum(sizes)
+    n_plain = kept[last] - kept[last - sizes]
+    ids = ids[plain]
+    n_bytes = np.diff(t.ends, prepend=0)[ids]
+    spelled = t.spelled[ranges(t.ends[ids] - n_bytes, n_bytes)].tobytes()
+    ends = np.r_[0, np.cumsum(n_bytes)][np.r_[0, np.cumsum(n_plain)]]
+    out = []
+    for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        own = spelled[a:b].decode("utf-8", errors="replace")
+        first = int(kept[last[k] - sizes[k]])
+        out.append(own[1:] if n_plain[k] and t.spaced[ids[first]] else own)
+    return out
+
+
+def chunks(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in their order, a bounded number of characters at a time; null is empty."""
     held, size = [], 0
     for text in texts:
-        held.append(text or "")
+        held.append(text.as_py() or "")
         size += len(held[-1])
         if size >= CHUNK_CHARS:
             yield held
@@ -320,14 +362,16 @@ def chunks(texts: list[str | None]) -> Iterator[list[str]]:
 def encode(
     docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, ids, decoded`` of every row: the ids of the whole text with begin and
-    end ids, as the sentencepiece library gives them, and the text they decode to.
-
-    A null text counts as empty and gives the begin and end ids alone; its decoded
-    text is empty.  Null and repeated ids are kept, one row out per row in.  Very long
-    texts are encoded whole, in time in proportion to their length.  Other columns
-    are not read; an empty table gives no rows.  No row is shuffled.  The model file
-    is read on the driver; tables of the size of its vocabulary go to the tasks.
+    """``doc_id, n_tokens, ids, decoded`` of every row.
+
+    ``ids`` are those of the whole text with begin and end ids, as the sentencepiece
+    library gives them, stored as little-endian unsigned 32-bit integers (``id_array``
+    unpacks them); ``decoded`` is the text that they decode to.  A null text counts as
+    empty and gives the begin and end ids alone; its decoded text is empty.  Null and
+    repeated ids are kept, one row out per row in.  Very long texts are encoded whole,
+    in time in proportion to their length.  Other columns are not read; an empty table
+    gives no rows.  No row is shuffled.  The model file is read on the driver; tables
+    of the size of its vocabulary go to the tasks.
     """
     tables = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
@@ -335,31 +379,31 @@ def encode(
         encoder = Encoder(tables.value)
         for batch in batches:
             first = 0
-            for texts in chunks(batch.column("text").to_pylist()):
-                ids = encoder.encode(texts)
-                decoded = [decode_ids(x, tables.value) for x in ids]
-                offsets = np.cumsum([0, *[len(x) for x in ids]]).astype(np.int32)
-                values = np.concatenate(ids).astype(np.int32)
+            for texts in chunks(batch.column("text")):
+                ids, sizes = encoder.encode(texts)
+                packed = ids.astype("<u4").tobytes()
+                ends = 4 * np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, len(texts)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                        pa.array(decoded, type=pa.string()),
+                        pa.array(sizes),
+                        pa.array([packed[b - 4 * n : b] for b, n in zip(ends, sizes, strict=True)], type=pa.binary()),
+                        pa.array(decode_flat(ids, sizes, tables.value), type=pa.string()),
                     ],
-                    names=["doc_id", "ids", "decoded"],
+                    names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
                 first += len(texts)
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
 
 
-def little_endian(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
+def id_array(ids: Column) -> Column:
+    """``ids`` as an array of integers."""
 
-    @F.pandas_udf("binary")
-    def pack(values):
-        return values.map(lambda x: np.asarray(x, dtype="<u4").tobytes())
+    @F.pandas_udf("array<int>")
+    def unpack(values):
+        return values.map(lambda x: np.frombuffer(x, dtype="<u4").astype(np.int32))
 
-    return pack(ids)
+    return unpack(ids)

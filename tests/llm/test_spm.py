@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from panelspark.llm import spm
 from panelspark.llm.common import table
@@ -29,15 +30,16 @@ def library(text):
 
 
 def same(texts):
-    ids = spm.Encoder(TABLES).encode(texts)
-    for text, own in zip(texts, ids, strict=True):
+    ids, sizes = spm.Encoder(TABLES).encode(texts)
+    decoded = spm.decode_flat(ids, sizes, TABLES)
+    for text, own, back in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), decoded, strict=True):
         want = library(text)
         assert own.tolist() == want[0], text[:80]
-        assert spm.decode_ids(own, TABLES) == want[1], text[:80]
+        assert back == want[1], text[:80]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.one_of(st.sampled_from("  aeinrst▁_=é中😀\x00\n"), st.characters(exclude_categories=["Cs"])))))
+@given(st.lists(min_size=1, elements=st.text(st.one_of(st.sampled_from("  aeinrst▁_=é中😀\x00\n"), st.characters(exclude_categories=["Cs"])))))
 def test_any_text(texts):
     same(texts)
 
@@ -81,12 +83,14 @@ def test_kept_words_are_dropped_at_a_bound(monkeypatch):
     encoder = spm.Encoder(TABLES)
     for k in range(30):
         text = f"some words {k} and {k * k}"
-        assert encoder.encode([text, text])[1].tolist() == library(text)[0]
+        ids, sizes = encoder.encode([text, text])
+        assert ids[sizes[0] :].tolist() == library(text)[0]
         assert encoder.held < 200
 
 
 def test_odd_rows(make_docs):
-    rows = spm.encode(make_docs(ODD), PATH).collect()
+    rows = spm.encode(make_docs(ODD), PATH).withColumn("ids", spm.id_array(F.col("ids"))).collect()
+    assert all(r.n_tokens == len(r.ids) for r in rows)
     got = sorted((repr(r.doc_id), tuple(r.ids), r.decoded) for r in rows)
     want = sorted((repr(r[0]), tuple(library(r[1])[0]), library(r[1])[1]) for r in ODD)
     assert got == want
@@ -100,7 +104,7 @@ def test_small_chunks_keep_rows_apart(make_docs, monkeypatch):
     monkeypatch.setattr(spm, "CHUNK_CHARS", 10)
     rows = [(i, f"text number {i} " * (i % 4)) for i in range(50)]
     got = {r.doc_id: r.ids for r in spm.encode(make_docs(rows), PATH).collect()}
-    assert got == {i: library(t)[0] for i, t in rows}
+    assert got == {i: np.array(library(t)[0], dtype="<u4").tobytes() for i, t in rows}
 
 
 def test_digests_of_the_given_documents(spark):
