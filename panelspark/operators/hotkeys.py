@@ -14,12 +14,11 @@ or collected while the plan is built, and keys may be NULL.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SLICE = "_slice"
+_REST = "_rest"
 #: Periods by which rows are cut unless the caller names another one.
 AUTO = "auto"
 DATE_PERIOD = "quarter"
@@ -47,21 +46,25 @@ def slice_of(df: DataFrame, order: str, slices: str | int) -> Column:
     return F.floor(F.col(order) / F.lit(width))
 
 
-def _same(names: Sequence[str], others: Sequence[str]) -> Column:
-    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(names, others, strict=True)])
+def _dealt(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that stand for ``names`` and are never NULL.
 
-
-def _add_carry(df: DataFrame, carry: DataFrame, partition: Sequence[str]) -> DataFrame:
-    """Attach slice state: one row per slice, NULL keys included.
-
-    The state side is unique, so Spark may split a large slice at run time.
+    Equal for equal rows, NULLs included, in the order of ``names``.  A join on them is
+    a plain one, so it reads rows where a window by them has left them.
     """
-    own = [f"_on{i}" for i in range(len(partition))]
-    carry = carry.select(
-        *[F.col(c).alias(n) for c, n in zip(partition, own, strict=True)],
-        *[c for c in carry.columns if c not in partition],
-    )
-    return df.join(carry, _same(partition, own), "left").drop(*own)
+    found: dict[str, Column] = {}
+    for i, n in enumerate(names):
+        kind, value = df.schema[n].dataType, F.col(f"`{n}`")
+        if isinstance(kind, (T.NumericType, T.BooleanType)):
+            zero = F.lit(0).cast(kind)
+        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            zero = F.lit("1970-01-01").cast(kind)
+        else:
+            value = F.hex(value) if isinstance(kind, T.BinaryType) else value.cast("string")
+            zero = F.lit("")
+        found[f"_on{i}_known"] = value.isNotNull()
+        found[f"_on{i}"] = F.coalesce(value, zero)
+    return df.withColumns(found), list(found)
 
 
 def running_last(
@@ -81,8 +84,9 @@ def running_last(
     order columns break ties and always ascend.
     """
     key, names = list(key), list(values)
-    partition = key if slices is None else [*key, SLICE]
-    rows = df if slices is None else df.withColumn(SLICE, slice_of(df, order[0], slices))
+    partition, rows = key, df
+    if slices is not None:
+        rows, partition = _dealt(df.withColumn(SLICE, slice_of(df, order[0], slices)), [*key, SLICE])
     first = F.desc(order[0]) if reverse else F.asc(order[0])
     w = Window.partitionBy(*partition).orderBy(first, *order[1:]).rowsBetween(
         Window.unboundedPreceding, -1 if strict else 0
@@ -103,16 +107,25 @@ def running_last(
         # NULL ordering values are ignored by max_by / min_by.
         *[pick(values[n], F.when(values[n].isNotNull(), place)).alias(n) for n in names]
     )
-    between = Window.partitionBy(*key).orderBy(
-        F.desc(SLICE) if reverse else F.asc(SLICE)
+    by_key, by_slice = partition[:-2], partition[-2:]
+    between = Window.partitionBy(*by_key).orderBy(
+        *[F.desc(c) if reverse else F.asc(c) for c in by_slice]
     ).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
         *partition,
         *[F.last(n, ignorenulls=True).over(between).alias(f"_carry_{n}") for n in names],
     )
-    joined = _add_carry(local, carry, partition)
-    joined = joined.withColumns({n: F.coalesce(n, f"_carry_{n}") for n in names})
-    return joined.drop(SLICE, *[f"_carry_{n}" for n in names])
+    joined = local.join(carry, partition, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(n, f"_carry_{n}").alias(n) for n in names])
+
+
+def _packed(df: DataFrame, own: Sequence[str]) -> DataFrame:
+    """``own`` columns, and all others as one value that is moved as it is."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    own = [F.col(f"`{c}`") for c in df.columns if c in own]
+    # An array of one row: columns of it that a reader does not need are not left out,
+    # which would make two shuffles out of one.
+    return df.select(*own, F.array(F.struct(*rest, F.lit(True).alias("_there"))).alias(_REST))
 
 
 def prior_rows(
@@ -139,8 +152,14 @@ def prior_rows(
     key = list(key)
     last = dict(last or {})
     last_position = dict(last_position or {})
-    partition = key if slices is None else [*key, SLICE]
-    rows = df if slices is None else df.withColumn(SLICE, slice_of(df, order, slices))
+    partition, rows = key, df
+    if slices is not None:
+        # Evaluated on the whole row, before it is packed.
+        found = {f"_v_{n}": e for n, e in (last | last_position).items()}
+        rows = df.withColumns({SLICE: slice_of(df, order, slices), **found})
+        rows, partition = _dealt(rows, [*key, SLICE])
+        rows = _packed(rows.drop(SLICE), [order, *ties, *payload, *found, *partition])
+        last, last_position = ({n: F.col(f"_v_{n}") for n in d} for d in (last, last_position))
     w = Window.partitionBy(*partition).orderBy(order, *ties)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     row = F.struct(*payload)
@@ -157,30 +176,30 @@ def prior_rows(
     if slices is None:
         return local
 
-    whole = Window.partitionBy(*partition)
-    place = F.struct(order, *ties)
+    tail = [
+        F.struct((F.col("_pos") - n).alias("p"), (F.col(f"_prev{n}") if n else row).alias("row"))
+        for n in range(depth - 1, -1, -1)
+    ]
+    end = F.struct(
+        F.filter(F.array(*tail), lambda t: t["p"] > 0).alias("tail"),
+        *[F.coalesce(e, F.col(n)).alias(n) for n, e in last.items()],
+        *[F.when(c, F.col("_pos")).otherwise(F.col(n)).alias(n) for n, c in last_position.items()],
+        # The last row as a whole, so that this side reads the very shuffle of the
+        # other one: the rows are moved once.
+        F.col(_REST),
+    )
     ends = (
-        numbered.withColumn("_size", F.count(F.lit(1)).over(whole))
-        .groupBy(*partition)
-        .agg(
-            F.max("_pos").alias("_size"),
-            # At most ``depth`` rows of each slice.
-            F.array_sort(
-                F.collect_list(
-                    F.when(
-                        F.col("_pos") > F.col("_size") - depth,
-                        F.struct(F.col("_pos").alias("p"), row.alias("row")),
-                    )
-                )
-            ).alias("_tail"),
-            *[
-                F.max_by(e, F.when(e.isNotNull(), place)).alias(n)
-                for n, e in last.items()
-            ],
-            *[F.max(F.when(c, F.col("_pos"))).alias(n) for n, c in last_position.items()],
+        local.groupBy(*partition)
+        .agg(F.max("_pos").alias("_size"), F.max_by(end, "_pos").alias("_end"))
+        .select(
+            *partition,
+            "_size",
+            F.col("_end.tail").alias("_tail"),
+            *[F.col(f"_end.{n}").alias(n) for n in last],
+            *[F.when(F.col(f"_end.{n}") > 0, F.col(f"_end.{n}")).alias(n) for n in last_position],
         )
     )
-    by_slice = Window.partitionBy(*key).orderBy(SLICE)
+    by_slice = Window.partitionBy(*partition[:-2]).orderBy(*partition[-2:])
     earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     carry = ends.select(
@@ -196,7 +215,7 @@ def prior_rows(
             for n in last_position
         ],
     )
-    out = _add_carry(local, carry, partition)
+    out = local.join(carry, partition, "left")
     fill: dict[str, Column] = {"_start": F.coalesce("_start", F.lit(0))}
     for n in range(1, depth + 1):
         from_carry = F.try_element_at(
@@ -212,6 +231,11 @@ def prior_rows(
             F.coalesce(f"_c_{n}", F.lit(0))
         )
     out = out.withColumns(fill).withColumn("_pos", F.col("_pos") + F.col("_start"))
-    return out.drop(
-        SLICE, "_start", "_before", *[f"_c_{n}" for n in (*last, *last_position)]
+    rest = F.element_at(_REST, 1)
+    return out.select(
+        *[rest[c].alias(c) if c not in out.columns else F.col(f"`{c}`") for c in df.columns],
+        "_pos",
+        *[f"_prev{n}" for n in range(1, depth + 1)],
+        *last,
+        *last_position,
     )

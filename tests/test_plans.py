@@ -26,11 +26,22 @@ def test_no_pairing_single_task_or_python(spark, name):
         assert node not in text, node
 
 
-def test_history_is_sliced_and_its_state_handed_on(spark):
-    text = plan(QUERIES["history_features"](spark, SF))
-    # Slices, their end rows by slice and by key, and the join back.
-    assert text.count("Exchange hashpartitioning") == 4
-    assert "BroadcastExchange" not in text and "_slice" in text
+def test_history_moves_its_rows_once(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        text = plan(QUERIES["history_features"](spark, SF))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # The rows by slice; end rows by key and back by slice.  The other side reads the
+    # first shuffle again, and the join reads the rows where the window left them.
+    nodes = [line.split("+- ", 1)[-1].split(":- ", 1)[-1] for line in text.splitlines()]
+    assert sum(n.startswith("Exchange ") for n in nodes) == 3
+    assert sum(n.startswith("ReusedExchange ") for n in nodes) == 1
+    assert text.count("FileScan") == 1 and "partial_max_by(" in text and "BroadcastExchange" not in text
 
 
 def test_only_needed_columns_and_filters_reach_the_scan(spark):
