@@ -201,7 +201,7 @@ def left_join_one_to_one(spark, sf):
     left = fx.series(spark, sf).withColumnRenamed("v", "shipped")
     right = fx.customer_history(spark, sf).withColumnsRenamed({"v": "ordered"})
     right = right.select(F.col("k").cast("int").alias("k"), "d", "ordered")
-    return plain(j.left_join_one_to_one(left, right, on=["k", "d"]))
+    return plain(j.left_join_one_to_one(left, right, on=["k", "d"], check="plan"))
 
 
 @query(

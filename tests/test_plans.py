@@ -62,3 +62,27 @@ def test_month_windows_share_the_key_shuffle(spark):
         out = w.diff_n(out, key=["k"], order="d", value="v", n=n, out=f"c{n}")
     out = w.rolling_mean_full(out, key=["k"], order="d", value="v", n=6, out="ma6")
     assert plan(out.select(F.col("*"))).count("Exchange") == base
+
+
+def test_one_to_one_is_asserted_in_the_join(spark):
+    from panelspark.operators.joins import exact_date_lookup, left_join_one_to_one
+
+    rows = lambda *keys: spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, v int")
+    one, two = rows("a", "b", None), rows("a", "c", "c").withColumnRenamed("v", "w")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(left_join_one_to_one(one, two, on=["k"], check="plan"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("Exchange hashpartitioning") == 2
+    good = left_join_one_to_one(one, two.where("w < 2"), on=["k"], check="plan").collect()
+    assert sorted((r.k or "", r.v, r.w) for r in good) == [("", 2, None), ("a", 0, 0), ("b", 1, None)]
+    for left, right, side, key in ((one, two, "right", '"c"'), (rows("b", None, None), two.limit(0), "left", "null")):
+        with pytest.raises(Exception, match=rf"unique:{side}: more than one row for .*{key}"):
+            left_join_one_to_one(left, right, on=["k"], check="plan").collect()
+    dated = lambda df: df.withColumn("d", F.lit("2024-01-01").cast("date"))
+    with pytest.raises(Exception, match="unique:lookup"):
+        exact_date_lookup(
+            dated(one), dated(two), key=["k"], left_date="d", right_date="d", values={"w": "x"}
+        ).collect()
