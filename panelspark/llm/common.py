@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.sources.storage import scratch_path
+from panelspark.sources.storage import drop_path, scratch_path
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,6 +25,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """Stage tables of one job, deleted as soon as the last reader has run."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((written, path))
+        return written
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        """Delete the tables of ``frames``; no plan that is still to run may read them."""
+        for path in [p for df, p in self.paths if any(df is f for f in frames)]:
+            drop_path(self.spark, path)
+        self.paths = [(df, p) for df, p in self.paths if not any(df is f for f in frames)]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
     ascii_only = F.octet_length(text) == F.char_length(text)

@@ -4,9 +4,10 @@ A text is its sequence of words.  Each sketch takes the least few of its k-mers
 (runs of five words, told apart by occurrence) under one hash and keeps them in
 text order, so that agreeing sketches point to a small edit distance and not just
 to a shared vocabulary.  Texts that agree in a sketch meet in a bucket, where all
-are compared with one leader.  Where that fails for some, all members of different
-classes are compared, but for pairs whose lengths or rarest words show that they
-are not alike.  A pair counts as a link only when its words align within a band
+are compared with one leader.  Where that leaves members in different classes, they
+are compared with each other, within their bucket and block by block: counts of
+hashed words bound what two texts can share, and the pairs that may be alike go on
+to be aligned.  A pair counts as a link only when its words align within a band
 with a similarity of 0.8 or more.  Classes are the connected components of the
 links.
 """
@@ -20,11 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apply_copies, stage, text_or_empty
+from .common import Stages, apply_copies, text_or_empty
 
 #: Words of a k-mer, sketches of a text, k-mers of a sketch.
 WORDS = 5
-SKETCHES = 32
+SKETCHES = 64
 PER_SKETCH = 2
 #: Least similarity: 1 - (word edits) / (words of the longer text).
 SIMILARITY = 0.8
@@ -33,8 +34,10 @@ _PLACE = np.uint64((1 << 28) - 1)
 #: K-mers that are hashed at once.
 _CHUNK = 1 << 16
 _BLOCK = 32
-#: Slots in which the occurrences of words are counted.
-_SLOTS = 1 << 18
+#: Members of a bucket that are compared with each other at once; more are dealt.
+MEMBERS = 2048
+#: Least and most slots in which the words of a text are counted.
+_SLOTS = (64, 4096)
 
 
 def words_of(text: Column) -> Column:
@@ -196,7 +199,7 @@ def _sketched(tokens: DataFrame) -> DataFrame:
     return some.mapInPandas(run, "digest binary, row long, n int, sketches array<long>")
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """``pairs`` (``a``, ``b``) with ``link``: whether their texts are similar."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,8 +210,8 @@ def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
             ]
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "link": link})
 
-    members = tokens.select(F.col("row").alias("rb"), F.col("words").alias("wb"))
-    leaders = tokens.select(F.col("row").alias("ra"), F.col("words").alias("wa"))
+    members = words.select(F.col("node").alias("rb"), F.col("words").alias("wb"))
+    leaders = words.select(F.col("node").alias("ra"), F.col("words").alias("wa"))
     # Members first: they differ, so the join with a leader of many comes last,
     # where its rows are large enough to be split.
     both = pairs.join(members, F.col("b") == F.col("rb")).join(leaders, F.col("a") == F.col("ra"))
@@ -220,9 +223,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until every edge leads from a node
     to its root.  Edges are distinct, one small row each, and written to the shared
-    folder after every step.
+    folder after every step; the tables of the step before are deleted.
     """
-    edges = stage(
+    stages = Stages(links.sparkSession)
+    edges = stages.write(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
         "edges",
     )
@@ -239,14 +243,16 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(
             F.col("v").alias("u"), F.least("u", "m").alias("v")
         )
-        large = stage(large.distinct(), "large-star")
+        large = stages.write(large.distinct(), "large-star")
         least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("c")).where("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v")
         )
-        edges = stage(
+        next_edges = stages.write(
             small.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct(), "small-star"
         )
+        stages.drop(edges, large)
+        edges = next_edges
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -256,170 +262,270 @@ def forest_roots(parents: DataFrame) -> DataFrame:
 
     Every step doubles the distance that pointers skip.
     """
-    at = stage(parents.select("node", F.col("parent").alias("root")), "forest")
+    stages = Stages(parents.sparkSession)
+    at = stages.write(parents.select("node", F.col("parent").alias("root")), "forest")
     while True:
         up = at.select(F.col("node").alias("via"), F.col("root").alias("higher"))
-        joined = at.join(up, F.col("root") == F.col("via"), "left")
-        at = stage(
+        joined = at.select("node", "root").join(up, F.col("root") == F.col("via"), "left")
+        next_at = stages.write(
             joined.select(
                 "node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")
             ),
             "forest",
         )
-        moved = at.where("moved").take(1)
-        at = at.drop("moved")
-        if not moved:
+        stages.drop(at)
+        at = next_at
+        if not at.where("moved").take(1):
             break
+    at = at.drop("moved")
     return at.unionByName(at.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _lifted(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``pairs`` with ``xa`` and ``xb``, the roots of their nodes, where those differ."""
-    if roots is None:
-        return pairs.withColumns({"xa": F.col("a"), "xb": F.col("b")})
-    ra = roots.select(F.col("node").alias("na"), F.col("root").alias("xa"))
-    rb = roots.select(F.col("node").alias("nb"), F.col("root").alias("xb"))
-    joined = pairs.join(rb, F.col("b") == F.col("nb"), "left").join(ra, F.col("a") == F.col("na"), "left")
-    return (
-        joined.withColumns({"xa": F.coalesce("xa", "a"), "xb": F.coalesce("xb", "b")})
-        .where("xa <> xb")
-        .select(*pairs.columns, "xa", "xb")
-    )
-
+class Classes:
+    """Classes of nodes that grow by links: ``node, root`` of all nodes with a link."""
 
-def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """``roots`` after the classes at both ends of each link are one."""
-    new = stage(_lifted(links, roots).select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct(), "new-links")
-    if not new.take(1):
-        return roots
-    found = components(new)
-    if roots is None:
-        return stage(found, "roots")
-    found = stage(found, "merged")
-    up = found.select(F.col("node").alias("via"), F.col("root").alias("higher"))
-    known = roots.join(up, F.col("root") == F.col("via"), "left").select(
-        "node", F.coalesce("higher", "root").alias("root")
-    )
-    fresh = found.join(roots.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
-    return stage(known.unionByName(fresh), "roots")
+    def __init__(self, stages: Stages):
+        self.stages = stages
+        self.roots: DataFrame | None = None
 
+    def start(self, parents: DataFrame) -> None:
+        """From links that are a forest (``node, parent``)."""
+        self.roots = self.stages.write(forest_roots(parents), "roots")
 
-def linked(nodes: DataFrame, tokens: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``node, root`` of all nodes that have a link.
+    def lift(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with ``xa`` and ``xb``, the roots of their nodes, where those differ."""
+        ra = self.roots.select(F.col("node").alias("na"), F.col("root").alias("xa"))
+        rb = self.roots.select(F.col("node").alias("nb"), F.col("root").alias("xb"))
+        joined = pairs.join(rb, F.col("b") == F.col("nb"), "left").join(ra, F.col("a") == F.col("na"), "left")
+        return (
+            joined.withColumns({"xa": F.coalesce("xa", "a"), "xb": F.coalesce("xb", "b")})
+            .where("xa <> xb")
+            .select(*pairs.columns, "xa", "xb")
+        )
 
-    ``nodes`` has ``node``, its ``sketches`` and its number of words ``n``;
-    ``tokens`` its words.
+    def merge(self, links: DataFrame) -> None:
+        """The classes at both ends of each link become one."""
+        new = self.lift(links).select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct()
+        new = self.stages.write(new, "new-links")
+        if new.take(1):
+            found = self.stages.write(components(new), "merged")
+            up = found.select(F.col("node").alias("via"), F.col("root").alias("higher"))
+            known = self.roots.join(up, F.col("root") == F.col("via"), "left").select(
+                "node", F.coalesce("higher", "root").alias("root")
+            )
+            there = self.roots.select(F.col("node").alias("known"))
+            fresh = found.join(there, F.col("node") == F.col("known"), "left_anti")
+            old, self.roots = self.roots, self.stages.write(known.unionByName(fresh), "roots")
+            self.stages.drop(old, found)
+        self.stages.drop(new)
+
+    def compare(self, pairs: DataFrame, words: DataFrame, least: float) -> None:
+        """Merge the classes of all ``pairs`` (``a``, ``b``) that are links.
+
+        One pair of each two classes comes first; where it links them, the others need
+        no comparison.
+        """
+        one = self.lift(pairs).groupBy("xa", "xb").agg(F.min(F.struct("a", "b")).alias("m"))
+        tried = self.stages.write(_verified(one.select("m.a", "m.b"), words, least), "verified")
+        self.merge(tried.where("link").select("a", "b"))
+        done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+        left = pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+        left = self.stages.write(self.lift(left).select("a", "b"), "pairs-left")
+        if left.take(1):
+            more = self.stages.write(_verified(left, words, least), "verified")
+            self.merge(more.where("link").select("a", "b"))
+            self.stages.drop(more)
+        self.stages.drop(tried, left)
+
+
+def _near_in_length(a: str, b: str, least: float) -> Column:
+    """Texts whose lengths differ by more than the edits allowed are not similar."""
+    longer, shorter = F.greatest(a, b), F.least(a, b)
+    return (longer - shorter) <= F.floor((1 - least) * longer + 1e-9)
+
+
+def linked(nodes: DataFrame, words: DataFrame, stages: Stages, least: float = SIMILARITY) -> DataFrame:
+    """``node, root`` of nodes that have a link (others may be missing or their own root).
+
+    ``nodes`` has ``node``, its ``sketches`` and its number of words ``n``; ``words``
+    the ``words`` of every ``node``.  Both are deleted when they are not needed.
     """
-    members = nodes.select("node", F.posexplode("sketches").alias("sketch", "h")).select(
-        F.xxhash64("sketch", "h").alias("key"), "node"
+    members = nodes.select("node", "n", F.posexplode("sketches").alias("sketch", "h")).select(
+        F.xxhash64("sketch", "h").alias("key"), "node", "n"
     )
-    leaders = stage(
+    leaders = stages.write(
         members.groupBy(F.col("key").alias("lk"))
-        .agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("lk", "a"),
+        .agg(F.min(F.struct("node", "n")).alias("l"), F.count(F.lit(1)).alias("met"))
+        .where("met > 1")
+        .select("lk", F.col("l.node").alias("a"), F.col("l.n").alias("na")),
         "leaders",
     )
-    met = stage(
-        members.join(leaders, F.col("key") == F.col("lk")).select("key", "a", F.col("node").alias("b")),
-        "met",
-    )
-    pairs = stage(met.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+    met = members.join(leaders, F.col("key") == F.col("lk")).where("node <> a")
+    met = stages.write(met.select("key", "a", "na", F.col("node").alias("b"), F.col("n").alias("nb")), "met")
+    stages.drop(leaders, nodes)
+    # Only the words of nodes that have met another one are moved again.
+    some = met.select(F.col("a").alias("x")).unionByName(met.select(F.col("b").alias("x"))).distinct()
+    used = stages.write(words.join(some, F.col("node") == F.col("x"), "left_semi"), "words-met")
+    stages.drop(words)
+    near = met.where(_near_in_length("na", "nb", least))
+    pairs = stages.write(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
     # The leader that shares most sketches comes first; most others then are
     # already in one class with their member.
     best = pairs.groupBy(F.col("b").alias("bb")).agg(F.max(F.struct("shared", "a")).alias("m"))
-    tried = stage(_verified(best.select(F.col("m.a").alias("a"), F.col("bb").alias("b")), tokens, least), "verified")
+    tried = stages.write(_verified(best.select("m.a", F.col("bb").alias("b")), used, least), "verified")
+    classes = Classes(stages)
     # Each member has one leader, smaller than itself.
-    found = tried.where("link").select(F.col("b").alias("node"), F.col("a").alias("parent"))
-    roots = stage(forest_roots(found), "roots")
+    classes.start(tried.where("link").select(F.col("b").alias("node"), F.col("a").alias("parent")))
     done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
     left = pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    left = stage(_lifted(left.select("a", "b"), roots).select("a", "b"), "pairs-left")
-    if left.take(1):
-        more = stage(_verified(left, tokens, least), "verified")
-        roots = _merged(roots, more.where("link").select("a", "b"))
-    # Buckets with members that are not in their leader's class are open: any two
-    # of their members that are in different classes are still to be compared.
-    apart = stage(_lifted(pairs.select("a", "b"), roots).select("a", "b"), "apart")
-    if not apart.take(1):
-        return roots
-    same = (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb"))
-    open_keys = met.join(apart.select(F.col("a").alias("pa"), F.col("b").alias("pb")), same, "left_semi")
-    open_keys = stage(open_keys.select(F.col("key").alias("ok")).distinct(), "open")
-    some = stage(
-        met.join(open_keys, F.col("key") == F.col("ok"), "left_semi").select(F.col("b").alias("node")).distinct(),
-        "open-members",
+    left = stages.write(left.select("a", "b"), "pairs-left")
+    classes.compare(left, used, least)
+    stages.drop(pairs, tried, left)
+    # All members have been compared with the leader.  Where the others of a bucket
+    # are not one class, they are compared with each other.
+    of = classes.roots.select(F.col("node").alias("rn"), "root")
+    there = met.select("key", F.col("b").alias("node"), F.col("nb").alias("n"))
+    there = there.join(of, F.col("node") == F.col("rn"), "left").drop("rn")
+    there = stages.write(there.withColumn("root", F.coalesce("root", "node")), "members")
+    stages.drop(met)
+    spread = there.groupBy(F.col("key").alias("ok")).agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")
     )
-    rest = stage(_across(some, roots, tokens, least), "pairs-across")
-    # One pair of each two classes comes first; where it links them, the others
-    # need no comparison.
-    one = _lifted(rest, roots).groupBy("xa", "xb").agg(F.min(F.struct("a", "b")).alias("m"))
-    tried = stage(_verified(one.select("m.a", "m.b"), tokens, least), "verified")
-    roots = _merged(roots, tried.where("link").select("a", "b"))
-    done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-    left = rest.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    left = stage(_lifted(left.select("a", "b"), roots).select("a", "b"), "pairs-left")
-    if left.take(1):
-        more = stage(_verified(left, tokens, least), "verified")
-        roots = _merged(roots, more.where("link").select("a", "b"))
-    return roots
-
-
-def _rare_words(members: DataFrame, least: float) -> DataFrame:
-    """``node, root, word, step`` of the rarest words of each text.
-
-    Texts alike share all but ``1 - least`` of the words of the longer, each as
-    often as it occurs.  So in any order of words, here by how many occurrences
-    all ``members`` have of them, texts alike have a word in common among the
-    first of each, one more than may differ.  They also share one of two steps
-    of length: they differ in it by a factor of ``1 / least`` at most.  Both hold
-    for every pair, so no pair alike is lost.
+    spread = stages.write(spread.where("lo <> hi").select("ok", "size"), "open")
+    if spread.take(1):
+        apart = stages.write(there.join(spread, F.col("key") == F.col("ok")).drop("ok"), "open-members")
+        stages.drop(there)
+        across = stages.write(_across(apart, used, stages, least), "pairs-across")
+        stages.drop(apart)
+        classes.compare(across, used, least)
+        stages.drop(across)
+    else:
+        stages.drop(there)
+    stages.drop(spread, used)
+    return classes.roots
+
+
+def word_counts(words: np.ndarray) -> tuple[bytes, int]:
+    """How often words fall into each of about as many slots as there are words, up to
+    255, and how many that leaves out."""
+    slots = 1 << max(len(words) - 1, 0).bit_length()
+    slots = min(max(slots, _SLOTS[0]), _SLOTS[1])
+    counts = np.bincount(_mixed(words.astype(np.int64).view(np.uint64)) & np.uint64(slots - 1), minlength=slots)
+    held = np.minimum(counts, 255)
+    return held.astype(np.uint8).tobytes(), int((counts - held).sum())
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [word_counts(np.asarray(w, dtype=np.int32)) for w in batch["words"]]
+            yield pd.DataFrame(
+                {"cn": batch["node"], "counts": [c for c, _ in found], "excess": [e for _, e in found]}
+            )
+
+    return words.select("node", "words").mapInPandas(run, "cn long, counts binary, excess int")
+
+
+def may_be_alike(group: dict[str, np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of different classes that hashed word counts do not tell apart.
+
+    Two texts share at most the lesser count of every slot, so a pair that shares too
+    few has too many edits: none that is alike is left out.  ``side`` is 0 for members
+    that meet all others, else 1 or 2 for the two sides to be compared.
     """
-    slots = members.select(F.explode("words").alias("word")).select(F.pmod("word", F.lit(_SLOTS)).alias("slot"))
-    counted = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()
-    often = np.zeros(_SLOTS, dtype=np.int64)
-    often[[r["slot"] for r in counted]] = [r["n"] for r in counted]
-    shared = members.sparkSession.sparkContext.broadcast(often)
+    order = np.argsort(group["n"], kind="stable")
+    n, root, side, node = (group[c][order].astype(np.int64) for c in ("n", "root", "side", "node"))
+    excess = group["excess"][order].astype(np.int64)
+    counts = [np.frombuffer(group["counts"][k], dtype=np.uint8) for k in order]
+    slots = np.array([len(c) for c in counts])
+    for size in np.unique(slots):
+        # Lengths of texts alike differ by less than two, and so do their slots.
+        own, next_size = np.flatnonzero(slots == size), np.flatnonzero(slots == 2 * size)
+        table = np.stack([counts[k] for k in own]).astype(np.uint16)
+        if len(next_size):
+            wide = np.stack([counts[k] for k in next_size]).astype(np.uint16)
+            # Slot numbers are the low bits of one hash, so halves are added.
+            table = np.concatenate([table, wide[:, :size] + wide[:, size:]])
+        member = np.concatenate([own, next_size])
+        length, extra, of, half, name = n[member], excess[member], root[member], side[member], node[member]
+        most = ((1 - least) * length + 1e-9).astype(np.int64)
+        # Members are in order of length: those too long for a member end its range.
+        ends = np.searchsorted(length - most, length, side="right")
+        for i in range(len(own)):
+            rest = slice(i + 1, ends[i])
+            shared = np.minimum(table[i], table[rest]).sum(axis=1, dtype=np.int64) + np.minimum(extra[i], extra[rest])
+            hit = (length[rest] - shared <= most[rest]) & (of[rest] != of[i])
+            hit &= (half[rest] == 0) if half[i] == 0 else (half[rest] != half[i])
+            found = np.flatnonzero(hit) + i + 1
+            if len(found):
+                yield np.minimum(name[i], name[found]), np.maximum(name[i], name[found])
+
+
+def _across(apart: DataFrame, words: DataFrame, stages: Stages, least: float) -> DataFrame:
+    """``a, b``: pairs of members of one bucket in different classes that may be alike.
+
+    ``apart`` has ``key, size, node, n, root``.  A bucket of up to ``MEMBERS`` is
+    compared as one; a larger one is dealt by steps of length into parts of about that
+    size, and each two parts whose lengths are near enough are compared.
+    """
+    some = apart.select(F.col("node").alias("x")).distinct()
+    counts = stages.write(_counted(words.join(some, F.col("node") == F.col("x"), "left_semi")), "word-counts")
+    small = apart.where(F.col("size") <= MEMBERS).select(
+        F.xxhash64("key").alias("g"), F.lit(0).alias("side"), "node", "n", "root"
+    )
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(least)) + 1e-9).cast("int")
+    large = apart.where(F.col("size") > MEMBERS).withColumn("step", step)
+    # One number for each bucket and step of length: lengths are bounded, so are steps.
+    sizes = large.groupBy(F.col("key").alias("sk"), "step").agg(F.count(F.lit(1)).alias("c"))
+    parts = sizes.groupBy("sk").agg(
+        F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("c") / MEMBERS).cast("int")))).alias("parts")
+    )
+    parts = stages.write(parts, "parts")
+    dealt = large.join(parts, F.col("key") == F.col("sk"))
+    n_parts = lambda at: F.coalesce(F.try_element_at("parts", at), F.lit(0))
+    own = F.pmod(F.xxhash64("node"), F.coalesce(F.try_element_at("parts", F.col("step")), F.lit(1))).cast("int")
+    dealt = dealt.withColumn("own", own)
+    one = lambda t, p, u, q, side: F.struct(
+        F.xxhash64("key", t, p, u, q).alias("g"), side.alias("side")
+    )
+    numbers = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda q: q < n)
+    at, up, down = F.col("step"), F.col("step") + 1, F.col("step") - 1
+    here = F.transform(
+        numbers(n_parts(at)),
+        lambda q: one(
+            at,
+            F.least(q, F.col("own")),
+            at,
+            F.greatest(q, F.col("own")),
+            F.when(q == F.col("own"), 0).when(F.col("own") < q, 1).otherwise(2),
+        ),
+    )
+    above = F.transform(numbers(n_parts(up)), lambda q: one(at, F.col("own"), up, q, F.lit(1)))
+    below = F.transform(numbers(n_parts(down)), lambda q: one(down, q, at, F.col("own"), F.lit(2)))
+    big = dealt.select(F.explode(F.concat(here, above, below)).alias("x"), "node", "n", "root").select(
+        "x.g", "x.side", "node", "n", "root"
+    )
+    rows = small.unionByName(big).join(counts, F.col("node") == F.col("cn")).drop("cn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = shared.value
+        def found(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            if group["root"].nunique() > 1:
+                for a, b in may_be_alike({c: group[c].to_numpy() for c in group.columns}, least):
+                    yield pd.DataFrame({"a": a, "b": b})
+
+        held = None
         for batch in batches:
-            out: list[tuple] = []
-            for node, root, words in zip(batch["node"], batch["root"], batch["words"], strict=True):
-                n = len(words)
-                word, times = np.unique(np.asarray(words, dtype=np.int64), return_counts=True)
-                nth = np.arange(n) - np.repeat(np.cumsum(times) - times, times)
-                word = np.repeat(word, times)
-                rare = often[word % _SLOTS]
-                first = np.lexsort((nth, word, rare))[: int((1 - least) * n + 1e-9) + 1]
-                first = first[rare[first] > 1]  # a single occurrence is in no other text
-                step = int(np.floor(np.log(n) / -np.log(least) + 1e-9))
-                out.extend((node, root, w, x) for w in (word[first] << 28) + nth[first] for x in (step, step + 1))
-            yield pd.DataFrame(out, columns=["node", "root", "word", "step"])
-
-    return members.select("node", "root", "words").mapInPandas(run, "node long, root long, word long, step int")
-
-
-def _across(some: DataFrame, roots: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    """``a, b``: all pairs of ``some`` nodes in different classes that may be alike.
-
-    Classes are paired first, then their members, so that the pairs within a
-    large class are never made.
-    """
-    of = roots.select(F.col("node").alias("rn"), "root")
-    members = some.join(of, F.col("node") == F.col("rn"), "left").select("node", F.coalesce("root", "node").alias("root"))
-    words = tokens.select("row", "words")
-    members = stage(members.join(words, F.col("node") == F.col("row")).drop("row"), "open-words")
-    rare = stage(_rare_words(members, least), "rare-words")
-    classes = rare.groupBy("word", "step", "root").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    ours = classes.select(F.col("word").alias("w"), F.col("step").alias("s"), F.col("root").alias("ra"))
-    theirs = classes.select("word", "step", F.col("root").alias("rb"))
-    here = (F.col("w") == F.col("word")) & (F.col("s") == F.col("step"))
-    met = stage(ours.join(theirs, here & (F.col("ra") < F.col("rb"))).select("w", "s", "ra", "rb"), "classes-met")
-    for root, name in (("ra", "a"), ("rb", "b")):
-        own = rare.select("word", "step", F.col("root").alias("r"), F.col("node").alias(name))
-        met = met.join(own, here & (F.col(root) == F.col("r"))).drop("word", "step", "r")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = held["g"].iloc[-1] if len(held) else None
+            whole = held[held["g"] != last]
+            held = held[held["g"] == last]
+            for _, group in whole.groupby("g", sort=False):
+                yield from found(group)
+        if held is not None and len(held):
+            yield from found(held)
+
+    grouped = rows.repartition("g").sortWithinPartitions("g")
+    return grouped.mapInPandas(run, "a long, b long").distinct()
 
 
 def near_classes(
@@ -435,6 +541,7 @@ def near_classes(
     a common run of five words have no other links.  Repeated rows are one class.
     Other columns are not read; an empty table gives no rows.
     """
+    stages = Stages(docs.sparkSession)
     text = text_or_empty(text_col)
     words = words_of(text)
     tokens = docs.select(
@@ -452,26 +559,34 @@ def near_classes(
         .alias("digest"),
         F.transform("w", lambda x: F.hash(x)).alias("words"),
     )
-    tokens = stage(tokens, "tokens")
-    sketched = _sketched(tokens)
-    nodes = stage(
-        sketched.groupBy("digest").agg(
+    tokens = stages.write(tokens, "tokens")
+    plain = stages.write(tokens.drop("words"), "rows")
+    nodes = stages.write(
+        _sketched(tokens).groupBy("digest").agg(
             F.min("row").alias("node"), F.first("sketches").alias("sketches"), F.max("n").alias("n")
         ),
         "nodes",
     )
-    roots = linked(nodes.select("node", "sketches", "n"), tokens.select("row", "words"), least)
-    by_digest = stage(
-        tokens.groupBy(F.col("digest").alias("d")).agg(F.min("row").alias("first"))
+    # One text of each digest; the words of the other rows are not needed any more.
+    first = nodes.select(F.col("node").alias("x"))
+    texts = stages.write(
+        tokens.select(F.col("row").alias("node"), "words").join(first, F.col("node") == F.col("x"), "left_semi"),
+        "words",
+    )
+    stages.drop(tokens)
+    roots = linked(nodes, texts, stages, least)
+    by_digest = stages.write(
+        plain.groupBy(F.col("digest").alias("d")).agg(F.min("row").alias("first"))
         .join(roots, F.col("first") == F.col("node"), "left")
         .select("d", F.coalesce("root", "first").alias("root")),
         "class-roots",
     )
-    rows = stage(
-        tokens.select("row", "doc_id", "text_key", "digest").join(by_digest, F.col("digest") == F.col("d")).drop("d", "digest"),
+    rows = stages.write(
+        plain.join(by_digest, F.col("digest") == F.col("d")).drop("d", "digest"),
         "class-rows",
     )
-    heads = stage(
+    stages.drop(plain, by_digest, roots)
+    heads = stages.write(
         rows.groupBy(F.col("root").alias("r"))
         .agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"),
