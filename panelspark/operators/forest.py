@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as K
-from .metrics import classification_report, fold_parts
+from .metrics import classification_report
 
 # Spark grows trees to depth 30 at most; it stands for "unlimited".
 UNLIMITED_DEPTH = 30
@@ -30,15 +30,42 @@ def parameter_grid(
     ]
 
 
+def class_counts(df: DataFrame, *, label: str, classes: Sequence[str]) -> dict[str, int]:
+    """Rows of each class: one row of conditional counts."""
+    counts = df.agg(*[F.count_if(F.col(label) == c).alias(f"c{i}") for i, c in enumerate(classes)]).first()
+    return {c: counts[i] for i, c in enumerate(classes)}
+
+
+def fold_class_counts(
+    df: DataFrame, folds: Sequence[Mapping], *, date: str, label: str, classes: Sequence[str]
+) -> list[dict[str, int]]:
+    """Class counts of the training part of every fold, then of all rows, in one job."""
+    at = [F.lit(f["start"]).cast(df.schema[date].dataType) for f in folds]
+    parts = [F.col(date) < start for start in at] + [F.lit(True)]
+    cells = {(i, c): F.count_if(p & (F.col(label) == c)) for i, p in enumerate(parts) for c in classes}
+    row = df.agg(*[v.alias(f"n{k}") for k, v in enumerate(cells.values())]).first()
+    out: list[dict[str, int]] = [{} for _ in parts]
+    for (i, c), n in zip(cells, row, strict=True):
+        out[i][c] = n
+    return out
+
+
 def class_weight_balanced(
-    df: DataFrame, *, label: str, classes: Sequence[str], out: str = "class_weight"
+    df: DataFrame,
+    *,
+    label: str,
+    classes: Sequence[str],
+    out: str = "class_weight",
+    counts: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Weight ``n / (k * n_c)`` per row, ``k`` being the classes present.
 
-    The counts are one row, read as scalars, so the rows are not moved.
+    ``counts`` are the rows of each class if they are known; else they are counted, as
+    one row read as scalars, so the rows are not moved.
     """
-    counts = df.agg(*[F.count_if(F.col(label) == c).alias(f"c{i}") for i, c in enumerate(classes)]).first()
-    present = {c: counts[i] for i, c in enumerate(classes) if counts[i]}
+    if counts is None:
+        counts = class_counts(df, label=label, classes=classes)
+    present = {c: n for c, n in counts.items() if n}
     n = sum(present.values())
     weight = F.lit(None).cast("double")
     for c, rows in present.items():
@@ -78,8 +105,12 @@ def forest_fit(
     params: Mapping | None = None,
     num_trees: int = K.NUM_TREES,
     seed: int = K.RANDOM_STATE,
+    counts: Mapping[str, int] | None = None,
 ) -> RandomForestClassificationModel:
-    """Fit a Gini forest on rows prepared by ``assemble``."""
+    """Fit a Gini forest on rows prepared by ``assemble``.
+
+    ``counts`` are the rows of each class, if known, for balanced weights.
+    """
     params = dict(params or {})
     depth = params.get("max_depth")
     forest = RandomForestClassifier(
@@ -94,7 +125,7 @@ def forest_fit(
     )
     rows = assembled
     if params.get("class_weight") == "balanced":
-        rows = class_weight_balanced(rows, label=label, classes=classes)
+        rows = class_weight_balanced(rows, label=label, classes=classes, counts=counts)
         forest = forest.setWeightCol("class_weight")
     return forest.fit(rows)
 
@@ -163,67 +194,6 @@ def score(
     return report.first().asDict()
 
 
-def forest_grid_search(
-    train: DataFrame,
-    *,
-    features: Sequence[str],
-    label: str,
-    classes: Sequence[str],
-    date: str,
-    folds: Sequence[Mapping],
-    grid: Sequence[Mapping] | None = None,
-    num_trees: int = K.NUM_TREES,
-    seed: int = K.RANDOM_STATE,
-) -> dict:
-    """Pick the candidate with the best mean macro F1 over forward folds, then refit.
-
-    Every fold trains only on earlier days.  The assembled rows are cached once
-    and each fit is a distributed job over them.
-    """
-    grid = list(grid) if grid is not None else parameter_grid()
-    rows = assemble(train, features=features, label=label, classes=classes).cache()
-    try:
-        parts = [fold_parts(rows, f, date=date) for f in folds]
-        table = []
-        for number, params in enumerate(grid):
-            scores = []
-            for fit_on, held in parts:
-                model = forest_fit(
-                    fit_on, label=label, classes=classes, params=params, num_trees=num_trees, seed=seed
-                )
-                found = forest_predict(model, held, classes=classes)
-                scores.append(
-                    score(found, actual=label, predicted="predicted", classes=classes, macro="present")[
-                        "macro_f1"
-                    ]
-                )
-            table.append(
-                {
-                    "candidate": number,
-                    "params": dict(params),
-                    "fold_scores": scores,
-                    "mean_macro_f1": sum(scores) / len(scores),
-                }
-            )
-        best = max(table, key=lambda r: (r["mean_macro_f1"], -r["candidate"]))
-        model = forest_fit(
-            rows,
-            label=label,
-            classes=classes,
-            params=best["params"],
-            num_trees=num_trees,
-            seed=seed,
-        )
-    finally:
-        rows.unpersist()
-    return {
-        "model": model,
-        "best_params": best["params"],
-        "best_cv_macro_f1": best["mean_macro_f1"],
-        "candidates": table,
-    }
-
-
 def search_table(spark, result: Mapping) -> DataFrame:
     """The candidates of a search, one row each."""
     rows = [

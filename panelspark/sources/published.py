@@ -25,7 +25,7 @@ def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
+def read_text(spark: SparkSession, path: str) -> str | None:
     where = _path(spark, path)
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(where):
@@ -37,7 +37,7 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _replace_text(spark: SparkSession, path: str, text: str) -> None:
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
     """Written beside and renamed over the old file in one step."""
     conf, fresh = spark._jsc.hadoopConfiguration(), _path(spark, f"{path}-{uuid.uuid4().hex}")
     stream = fresh.getFileSystem(conf).create(fresh)
@@ -54,7 +54,7 @@ def _replace_text(spark: SparkSession, path: str, text: str) -> None:
 
 def manifest(spark: SparkSession, path: str) -> dict | None:
     """What the pointer of a published table says, or None if there is no version."""
-    text = _read_text(spark, f"{path.rstrip('/')}/{_POINTER}")
+    text = read_text(spark, f"{path.rstrip('/')}/{_POINTER}")
     return None if text is None else json.loads(text)
 
 
@@ -97,7 +97,7 @@ def publish(
         "schema": df.schema.jsonValue(),
         "partition_by": list(partition_by),
     }
-    _replace_text(spark, f"{path}/{_POINTER}", json.dumps(said))
+    replace_text(spark, f"{path}/{_POINTER}", json.dumps(said))
     return said
 
 
