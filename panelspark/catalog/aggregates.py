@@ -346,13 +346,11 @@ def _labelled_split(spark, sf):
     )
 
 
-@query(
-    "chronological_split",
-    with_views(
-        "dec",
-        f"SELECT event_id, CASE WHEN CAST(ts AS DATE) < (SELECT cut FROM {_CUT}) THEN 'train' ELSE 'test' END AS split FROM dec",
-    ),
-)
+#: The side of the split of every decision.
+SPLIT_ROWS = f"SELECT event_id, CASE WHEN CAST(ts AS DATE) < (SELECT cut FROM {_CUT}) THEN 'train' ELSE 'test' END AS split FROM dec"
+
+
+@query("chronological_split", with_views("dec", SPLIT_ROWS))
 def chronological_split(spark, sf):
     return _labelled_split(spark, sf).select("event_id", "split")
 
