@@ -320,22 +320,27 @@ class Classes:
         self.stages.drop(new)
 
     def compare(self, pairs: DataFrame, words: DataFrame, least: float) -> None:
-        """Merge the classes of all ``pairs`` (``a``, ``b``) that are links.
+        """Merge the classes of all ``pairs`` (``a``, ``b``, ``hope``) that are links.
 
-        One pair of each two classes comes first; where it links them, the others need
-        no comparison.
+        Pairs within a class need no comparison, so of each two classes the pair of most
+        hope comes first, and then those of all pairs that are still in two classes.
         """
-        one = self.lift(pairs).groupBy("xa", "xb").agg(F.min(F.struct("a", "b")).alias("m"))
-        tried = self.stages.write(_verified(one.select("m.a", "m.b"), words, least), "verified")
-        self.merge(tried.where("link").select("a", "b"))
-        done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-        left = pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-        left = self.stages.write(self.lift(left).select("a", "b"), "pairs-left")
+        stages = self.stages
+        left = stages.write(self.lift(pairs.select("a", "b", "hope")), "pairs-left")
         if left.take(1):
-            more = self.stages.write(_verified(left, words, least), "verified")
-            self.merge(more.where("link").select("a", "b"))
-            self.stages.drop(more)
-        self.stages.drop(tried, left)
+            # A struct of the pair after its hope: one of equals, the same in a rerun.
+            best = left.groupBy("xa", "xb").agg(F.max(F.struct("hope", "a", "b")).alias("m"))
+            tried = stages.write(_verified(best.select("m.a", "m.b"), words, least), "verified")
+            self.merge(tried.where("link").select("a", "b"))
+            done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+            rest = left.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+            rest = stages.write(self.lift(rest.select("a", "b")).select("a", "b"), "pairs-rest")
+            if rest.take(1):
+                more = stages.write(_verified(rest, words, least), "verified")
+                self.merge(more.where("link").select("a", "b"))
+                stages.drop(more)
+            stages.drop(tried, rest)
+        stages.drop(left)
 
 
 def _near_in_length(a: str, b: str, least: float) -> Column:
@@ -378,7 +383,7 @@ def linked(nodes: DataFrame, words: DataFrame, stages: Stages, least: float = SI
     classes.start(tried.where("link").select(F.col("b").alias("node"), F.col("a").alias("parent")))
     done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
     left = pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    left = stages.write(left.select("a", "b"), "pairs-left")
+    left = stages.write(left.select("a", "b", F.col("shared").cast("int").alias("hope")), "pairs-left")
     classes.compare(left, used, least)
     stages.drop(pairs, tried, left)
     # All members have been compared with the leader.  Where the others of a bucket
@@ -431,10 +436,13 @@ def may_be_alike(group: dict[str, np.ndarray], least: float) -> Iterator[tuple[n
 
     Two texts share at most the lesser count of every slot, so a pair that shares too
     few has too many edits: none that is alike is left out.  ``side`` is 0 for members
-    that meet all others, else 1 or 2 for the two sides to be compared.
+    that meet all others, else 1 or 2 for the two sides to be compared.  Of the open
+    buckets that two texts share (``keys``), only the first, ``key``, compares them.
+    Yields the nodes of pairs and how many words they may share.
     """
     order = np.argsort(group["n"], kind="stable")
     n, root, side, node = (group[c][order].astype(np.int64) for c in ("n", "root", "side", "node"))
+    before = earlier_keys([group["keys"][k] for k in order], int(group["key"][0]))
     excess = group["excess"][order].astype(np.int64)
     counts = [np.frombuffer(group["counts"][k], dtype=np.uint8) for k in order]
     slots = np.array([len(c) for c in counts])
@@ -456,13 +464,33 @@ def may_be_alike(group: dict[str, np.ndarray], least: float) -> Iterator[tuple[n
             shared = np.minimum(table[i], table[rest]).sum(axis=1, dtype=np.int64) + np.minimum(extra[i], extra[rest])
             hit = (length[rest] - shared <= most[rest]) & (of[rest] != of[i])
             hit &= (half[rest] == 0) if half[i] == 0 else (half[rest] != half[i])
-            found = np.flatnonzero(hit) + i + 1
+            found = np.flatnonzero(hit)
+            if len(found) and before.shape[1]:
+                met = before[member[found + i + 1]] @ before[member[i]]
+                found = found[met == 0]
             if len(found):
-                yield np.minimum(name[i], name[found]), np.maximum(name[i], name[found])
+                other = name[found + i + 1]
+                yield np.minimum(name[i], other), np.maximum(name[i], other), shared[found]
+
+
+def earlier_keys(keys: list[np.ndarray], key: int) -> np.ndarray:
+    """Which of the keys below ``key`` that two members at least have each member has."""
+    sizes = [len(k) for k in keys]
+    flat = np.concatenate([np.asarray(k, dtype=np.int64) for k in keys])
+    member = np.repeat(np.arange(len(keys)), sizes)
+    member, flat = member[flat < key], flat[flat < key]
+    value, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = np.cumsum(shared) - 1
+    out = np.zeros((len(keys), int(shared.sum())), dtype=np.float32)
+    some = shared[at]
+    out[member[some], column[at[some]]] = 1
+    return out
 
 
 def _across(apart: DataFrame, words: DataFrame, stages: Stages, least: float) -> DataFrame:
-    """``a, b``: pairs of members of one bucket in different classes that may be alike.
+    """``a, b, hope``: pairs of members of one bucket in different classes that may be
+    alike, each once, and the words that they may share.
 
     ``apart`` has ``key, size, node, n, root``.  A bucket of up to ``MEMBERS`` is
     compared as one; a larger one is dealt by steps of length into parts of about that
@@ -470,8 +498,11 @@ def _across(apart: DataFrame, words: DataFrame, stages: Stages, least: float) ->
     """
     some = apart.select(F.col("node").alias("x")).distinct()
     counts = stages.write(_counted(words.join(some, F.col("node") == F.col("x"), "left_semi")), "word-counts")
+    # At most as many open buckets as a text has sketches.
+    open_of = apart.groupBy(F.col("node").alias("kn")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    counts = counts.join(open_of, F.col("cn") == F.col("kn")).drop("kn")
     small = apart.where(F.col("size") <= MEMBERS).select(
-        F.xxhash64("key").alias("g"), F.lit(0).alias("side"), "node", "n", "root"
+        F.xxhash64("key").alias("g"), "key", F.lit(0).alias("side"), "node", "n", "root"
     )
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(least)) + 1e-9).cast("int")
     large = apart.where(F.col("size") > MEMBERS).withColumn("step", step)
@@ -502,16 +533,16 @@ def _across(apart: DataFrame, words: DataFrame, stages: Stages, least: float) ->
     )
     above = F.transform(numbers(n_parts(up)), lambda q: one(at, F.col("own"), up, q, F.lit(1)))
     below = F.transform(numbers(n_parts(down)), lambda q: one(down, q, at, F.col("own"), F.lit(2)))
-    big = dealt.select(F.explode(F.concat(here, above, below)).alias("x"), "node", "n", "root").select(
-        "x.g", "x.side", "node", "n", "root"
+    big = dealt.select(F.explode(F.concat(here, above, below)).alias("x"), "key", "node", "n", "root").select(
+        "x.g", "key", "x.side", "node", "n", "root"
     )
     rows = small.unionByName(big).join(counts, F.col("node") == F.col("cn")).drop("cn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
             if group["root"].nunique() > 1:
-                for a, b in may_be_alike({c: group[c].to_numpy() for c in group.columns}, least):
-                    yield pd.DataFrame({"a": a, "b": b})
+                for a, b, hope in may_be_alike({c: group[c].to_numpy() for c in group.columns}, least):
+                    yield pd.DataFrame({"a": a, "b": b, "hope": hope})
 
         held = None
         for batch in batches:
@@ -519,13 +550,14 @@ def _across(apart: DataFrame, words: DataFrame, stages: Stages, least: float) ->
             last = held["g"].iloc[-1] if len(held) else None
             whole = held[held["g"] != last]
             held = held[held["g"] == last]
-            for _, group in whole.groupby("g", sort=False):
+            for _, group in whole.groupby(["g", "key"], sort=False):
                 yield from found(group)
         if held is not None and len(held):
-            yield from found(held)
+            for _, group in held.groupby(["g", "key"], sort=False):
+                yield from found(group)
 
     grouped = rows.repartition("g").sortWithinPartitions("g")
-    return grouped.mapInPandas(run, "a long, b long").distinct()
+    return grouped.mapInPandas(run, "a long, b long, hope int")
 
 
 def near_classes(
