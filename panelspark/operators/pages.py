@@ -1,8 +1,10 @@
 """Records from tables of raw pages, as column expressions over ``html``.
 
 Markup is read with regular expressions: well-formed elements in any order and
-nesting of inline tags are handled, a table nested inside another table is not
-told apart from its parent.  Input columns: ``page_id, url, html``.
+nesting of inline tags are handled.  Tables are read from the sequence of their tags,
+with a depth, so that a table within a cell is a table of its own and its cells are not
+those of the row around it; cells and rows may be left unclosed.  Input columns:
+``page_id, url, html``.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ from .quality import Rule, Unique, expect
 # Fixed patterns of the elements read.
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 _HEADING = r"(?is)<h[123]\b[^>]*>(.*?)</h[123]\s*>"
-_TABLE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
-_ROW = r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr\s*>|$)"
-_CELL = r"(?is)<t[hd]\b[^>]*>(.*?)(?=<t[hd]\b|</t[hd]\s*>|$)"
+_TABLE = r"(?i)<table\b[^>]*>"
+_TABLE_TAG = r"(?i)</?(?:table|tr|t[dh])\b[^>]*>"
 
 
 def title_of(html: Column) -> Column:
@@ -141,24 +142,129 @@ def page_table_preview(
     tables a page has.  A header row is used if the first row has a header cell; short rows give
     NULLs; tables without cells or without data rows are left out.
     """
-    tables = F.slice(
-        F.regexp_extract_all(drop_non_text(F.col(html)), F.lit(_TABLE), F.lit(1)),
-        1,
-        max_tables,
+    def read(document: Column) -> Column:
+        tokens = F.struct(
+            F.transform(F.regexp_extract_all(document, F.lit(_TABLE_TAG), F.lit(0)), _tag_kind).alias("kinds"),
+            F.split(document, _TABLE_TAG, -1).alias("texts"),
+        )
+        return let(tokens, lambda t: let(_marked(t), lambda m: _tables(m, max_tables, max_rows, max_columns)))
+
+    tables = let(drop_non_text(F.col(html)), read)
+    previews = F.transform(tables, lambda t: _preview(t, max_rows, max_columns))
+    return pages.withColumn("table_previews", F.filter(previews, lambda p: F.size(p) > 0))
+
+
+def _tag_kind(tag: Column) -> Column:
+    """T and t open and close a table, R and r a row; C and H open a cell, c closes one."""
+    name = F.lower(F.substring(tag, 1, 4))
+    return (
+        F.when(name.startswith("<ta"), "T")
+        .when(name.startswith("<tr"), "R")
+        .when(name.startswith("<td"), "C")
+        .when(name.startswith("<th"), "H")
+        .when(name == "</ta", "t")
+        .when(name == "</tr", "r")
+        .otherwise("c")
     )
 
-    def row(r: Column) -> Column:
-        cells = F.regexp_extract_all(r, F.lit(_CELL), F.lit(1))
+
+def _marked(tokens: Column) -> Column:
+    """Tags and texts with the places (from 1) where tables and rows open or end."""
+    kinds = tokens["kinds"]
+
+    def places(*which: str) -> Column:
+        return F.array_compact(F.transform(kinds, lambda k, i: F.when(k.isin(*which), i + 1)))
+
+    return F.struct(
+        kinds.alias("kinds"),
+        tokens["texts"].alias("texts"),
+        places("T").alias("opens"),
+        places("R").alias("rows"),
+        # Of a row without a table in it, the next one of these is the end.
+        places("R", "r", "t").alias("ends"),
+        (F.size(kinds) + 1).alias("past"),
+    )
+
+
+def _tables(m: Column, max_tables: int, max_rows: int, max_columns: int) -> Column:
+    """The first tables in document order, each ``array<struct<th, cells>>``: the rows
+    in it, those of tables within it too, with their own cells."""
+
+    def table_end(open_at: Column) -> Column:
+        def step(s: Column, kind: Column) -> Column:
+            depth = s["depth"] + F.when(kind == "T", 1).when(kind == "t", -1).otherwise(0)
+            inside = s["depth"] > 0
+            return F.struct(
+                F.when(inside, depth).otherwise(0).alias("depth"),
+                F.when(inside, s["n"] + 1).otherwise(s["n"]).alias("n"),
+            )
+
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+        after = F.slice(m["kinds"], open_at + 1, m["past"])
+        # A table that is never closed ends with the document.
+        return F.aggregate(
+            after, start, step, lambda s: F.when(s["depth"] > 0, m["past"]).otherwise(open_at + s["n"])
+        )
+
+    def table(open_at: Column) -> Column:
+        def rows(end: Column) -> Column:
+            own = F.filter(m["rows"], lambda r: (r > open_at) & (r < end))
+            return F.transform(F.slice(own, 1, max_rows + 1), lambda r: _row(m, r, end, max_columns))
+
+        return let(table_end(open_at), rows)
+
+    return F.transform(F.slice(m["opens"], 1, max_tables), table)
+
+
+def _row(m: Column, row: Column, table_end: Column, max_columns: int) -> Column:
+    """Whether the row at place ``row`` has a header cell, and the texts of its cells."""
+    following = F.try_element_at(m["ends"], (F.array_position(m["ends"], row) + 1).cast("int"))
+    plain_end = F.coalesce(following, m["past"])
+    nested = F.exists(m["opens"], lambda o: (o > row) & (o < plain_end))
+    stop = F.when(nested, table_end).otherwise(F.least(plain_end, table_end))
+
+    def step(s: Column, kind: Column) -> Column:
+        here = ~s["done"] & (s["depth"] == 0)
+        at = s["at"] + 1
+        ends = here & kind.isin("R", "r", "t", "C", "H", "c")
+        closed = ends & (s["open"] > 0) & (F.size(s["cells"]) < max_columns)
+        cell = F.struct(s["open"].alias("open"), at.alias("end"), s["th"].alias("th"))
+        begins = here & kind.isin("C", "H")
         return F.struct(
-            r.rlike(r"(?i)<th\b").alias("th"), F.transform(cells, markup_to_text).alias("cells")
+            at.alias("at"),
+            (s["depth"] + F.when(s["done"], 0).when(kind == "T", 1).when(~here & (kind == "t"), -1).otherwise(0)).alias("depth"),
+            (s["done"] | (here & kind.isin("R", "r", "t"))).alias("done"),
+            F.when(begins, at).when(ends, 0).otherwise(s["open"]).alias("open"),
+            F.when(begins, kind == "H").otherwise(s["th"]).alias("th"),
+            F.when(closed, F.concat(s["cells"], F.array(cell))).otherwise(s["cells"]).alias("cells"),
         )
 
-    def rows(table: Column) -> Column:
-        found = F.regexp_extract_all(table, F.lit(_ROW), F.lit(1))
-        return F.transform(F.slice(found, 1, max_rows + 1), row)
+    none = F.array().cast("array<struct<open:int,end:int,th:boolean>>")
+    start = F.struct(
+        row.cast("int").alias("at"),
+        F.lit(0).alias("depth"),
+        F.lit(False).alias("done"),
+        F.lit(0).alias("open"),
+        F.lit(False).alias("th"),
+        none.alias("cells"),
+    )
 
-    previews = F.transform(tables, lambda t: let(rows(t), lambda r: _preview(r, max_rows, max_columns)))
-    return pages.withColumn("table_previews", F.filter(previews, lambda p: F.size(p) > 0))
+    def texts(cells: Column) -> Column:
+        # The text after a tag is one place further on than the tag.
+        inside = lambda c: F.array_join(F.slice(m["texts"], c["open"] + 1, c["end"] - c["open"]), " ")
+        return F.struct(
+            F.exists(cells, lambda c: c["th"]).alias("th"),
+            F.transform(cells, lambda c: markup_to_text(inside(c))).alias("cells"),
+        )
+
+    def finish(s: Column) -> Column:
+        # A cell that is never closed ends with the document.
+        open_cell = F.struct(s["open"].alias("open"), m["past"].alias("end"), s["th"].alias("th"))
+        whole = (s["open"] == 0) | (F.size(s["cells"]) >= max_columns)
+        return let(F.when(whole, s["cells"]).otherwise(F.concat(s["cells"], F.array(open_cell))), texts)
+
+    last = F.least(stop, m["past"] - 1)
+    return F.aggregate(F.slice(m["kinds"], row + 1, F.greatest(last - row, F.lit(0))), start, step, finish)
 
 
 def validate_source(
