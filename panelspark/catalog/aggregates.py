@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -445,8 +448,15 @@ def set_mismatch_report(spark, sf):
     ),
 )
 def holdout_report(spark, sf):
+    tables = _report(spark, sf)
+    return tables["rate_path"].join(
+        tables["labour_path"].select("doc_id", "toxic"), "doc_id"
+    )
+
+
+def _report(spark, sf):
     docs = fx.table(spark, sf, "documents").join(fx.table(spark, sf, "labels"), "doc_id", "left")
-    tables = holdout_report_tables(
+    return holdout_report_tables(
         fx.class_pairs(spark, sf),
         docs.withColumnRenamed("n_chars", "rate"),
         _parts(spark, sf).withColumnRenamed("importance", "random_forest_importance"),
@@ -457,9 +467,50 @@ def holdout_report(spark, sf):
         rate="rate",
         labour=["toxic"],
     )
-    return tables["rate_path"].join(
-        tables["labour_path"].select("doc_id", "toxic"), "doc_id"
-    )
+
+
+@query(
+    "holdout_report_rows",
+    with_views(
+        "c",
+        f"""SELECT * FROM (WITH p AS (SELECT c.doc_id, d.n_chars AS rate, l.toxic, c.actual, c.predicted FROM c
+          LEFT JOIN documents d ON c.doc_id = d.doc_id LEFT JOIN labels l ON c.doc_id = l.doc_id)
+        SELECT 'rate_path' AS part, CAST(doc_id AS VARCHAR) AS id, 'rate' AS metric, CAST(rate AS DOUBLE) AS value FROM p
+        UNION ALL SELECT 'rate_path', CAST(doc_id AS VARCHAR), 'incorrect', CASE WHEN actual <> predicted THEN 1 ELSE 0 END FROM p
+        UNION ALL SELECT 'labour_path', CAST(doc_id AS VARCHAR), 'toxic', toxic FROM p
+        UNION ALL SELECT 'labour_path', CAST(doc_id AS VARCHAR), 'incorrect', CASE WHEN actual <> predicted THEN 1 ELSE 0 END FROM p
+        UNION ALL SELECT 'confusion_matrix', CAST(a AS VARCHAR), 'predicted_' || b,
+          (SELECT count(*) FROM c WHERE actual = a AND predicted = b) FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(a, b)
+        UNION ALL SELECT 'class_recall', CAST(actual AS VARCHAR), 'actual_rows', count(*) FROM c GROUP BY actual
+        UNION ALL SELECT 'class_recall', CAST(actual AS VARCHAR), 'correct', count(*) FILTER (WHERE actual = predicted) FROM c GROUP BY actual
+        UNION ALL SELECT 'top_features', feature, 'importance', importance FROM (SELECT * FROM {_PARTS} ORDER BY importance DESC, feature LIMIT 15)
+        UNION ALL SELECT 'top_features', feature, 'rank', row_number() OVER (ORDER BY importance DESC, feature)
+          FROM (SELECT * FROM {_PARTS} ORDER BY importance DESC, feature LIMIT 15)
+        UNION ALL SELECT 'headline', '', 'events', count(*) FROM c
+        UNION ALL SELECT 'headline', '', 'correct', count(*) FILTER (WHERE actual = predicted) FROM c
+        UNION ALL SELECT 'headline', '', 'first', min(doc_id) FROM c UNION ALL SELECT 'headline', '', 'last', max(doc_id) FROM c)""",
+    ),
+)
+def holdout_report_rows(spark, sf):
+    """All six tables of the report, one row per value."""
+    tables = _report(spark, sf)
+
+    def long(part: str, id_col, **metrics):
+        df = tables[part]
+        cells = [F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in metrics.items()]
+        out = df.select(id_col.cast("string").alias("id"), F.explode(F.array(*cells)).alias("_m"))
+        return out.select(F.lit(part).alias("part"), "id", "_m.metric", "_m.value")
+
+    wrong = F.col("incorrect").cast("int")
+    parts = [
+        long("rate_path", F.col("doc_id"), rate=F.col("rate"), incorrect=wrong),
+        long("labour_path", F.col("doc_id"), toxic=F.col("toxic"), incorrect=wrong),
+        long("confusion_matrix", F.col("actual"), **{f"predicted_{c}": F.col(f"predicted_{c}") for c in _LABELS}),
+        long("class_recall", F.col("label"), actual_rows=F.col("actual_rows"), correct=F.col("correct")),
+        long("top_features", F.col("feature"), importance=F.col("random_forest_importance"), rank=F.col("rank")),
+        long("headline", F.lit(""), events=F.col("events"), correct=F.col("correct"), first=F.col("first_date"), last=F.col("last_date")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(

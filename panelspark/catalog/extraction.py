@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.dates import parse_decision_date
 from ..operators import pages as pg
-from ..operators.quality import violations
+from ..operators.quality import quarantine, violations
+from ..sources.records import landed_faults, validate_landed
 from ..sources.writers import page_record_rules
 from . import fixtures as fx
 from .fixtures import plain
@@ -333,13 +334,156 @@ def events_from_archive_pages(spark, sf):
     WHERE year(CAST(event_date AS DATE)) BETWEEN 1996 AND 2000 AND year <= 2000""",
 )
 def event_calendar_merge(spark, sf):
+    """All events, those that the rules accept and those that they reject."""
+    good, rejected = _merged_calendar(spark, sf)
+    return plain(good.unionByName(rejected.drop("broken_rules")))
+
+
+def _merged_calendar(spark, sf):
     recent = recent_pages(spark, sf).where("year >= 1999")
-    return plain(
-        pg.event_calendar_merge(
-            pg.events_from_recent_pages(recent, start_year=1996, end_year=2000),
-            archive_pages(spark, sf),
-            pg.recent_years(recent),
-            start_year=1996,
-            end_year=2000,
-        )
+    return pg.event_calendar_merge(
+        pg.events_from_recent_pages(recent, start_year=1996, end_year=2000),
+        archive_pages(spark, sf),
+        pg.recent_years(recent),
+        start_year=1996,
+        end_year=2000,
+        on_violation="quarantine",
     )
+
+
+@query(
+    "event_calendar_rejects",
+    f"""SELECT event_date, is_scheduled, source_url, 'unique:event_date' AS broken FROM (
+      SELECT *, count(*) OVER (PARTITION BY event_date) AS n FROM (
+        SELECT * FROM ({_RECENT}) WHERE year >= 1999 UNION ALL SELECT * FROM ({_ARCHIVE}) WHERE year BETWEEN 1996 AND 1998)
+      WHERE year(CAST(event_date AS DATE)) BETWEEN 1996 AND 2000 AND year <= 2000) WHERE n > 1""",
+)
+def event_calendar_rejects(spark, sf):
+    """Events of a calendar that a repeated date keeps out of it."""
+    rejected = _merged_calendar(spark, sf)[1]
+    return plain(rejected).withColumn("broken", F.array_join("broken_rules", "|")).drop("broken_rules")
+
+
+# Faults that are put into the pages, by the order that a page is made from.
+_FAULTY_MONTH, _FAULTY_DAY = "o_orderkey % 7 = 3", "o_orderkey % 11 = 5"
+
+
+@query(
+    "event_date_faults",
+    f"""SELECT source_url, event_date, CASE WHEN event_date IS NULL THEN 'readable:event_date' ELSE '' END AS fault FROM (
+      SELECT 'https://example.org/' || o_orderkey AS source_url,
+        CASE WHEN {_FAULTY_MONTH} OR {_FAULTY_DAY} THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS event_date
+      FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderstatus <> 'P')""",
+)
+def event_date_faults(spark, sf):
+    """Calendars with unknown months and without days: each such event is named."""
+    keyed = F.regexp_extract("url", r"/(\d+)$", 1).cast("long")
+    month = r"(fomc-meeting__month\"><b>)[^<]*"
+    day = r"(fomc-meeting__date\">)[\d-]+"
+    html = F.when(keyed % 7 == 3, F.regexp_replace("html", month, "$1Smarch")).otherwise(F.col("html"))
+    html = F.when(keyed % 11 == 5, F.regexp_replace(html, day, "$1")).otherwise(html)
+    events = pg.events_from_recent_pages(recent_pages(spark, sf).withColumn("html", html))
+    # The readable rule alone: dates repeat among the orders.
+    good, bad = quarantine(events, pg.event_date_rules()[:1])
+    both = good.withColumn("fault", F.lit("")).unionByName(
+        bad.withColumn("fault", F.array_join("broken_rules", "|")).drop("broken_rules")
+    )
+    return plain(both.select("source_url", "event_date", "fault"))
+
+
+# --- landed records with faults of every kind ------------------------------------
+
+#: What is put into the record of each page, by its number.
+_RECORD_FAULTS = (
+    "",
+    "missing title",
+    "unexpected extra",
+    "neither integer nor null: status_code",
+    "neither integer nor null: status_code",
+    "neither integer nor null: status_code",
+    "not a list of text: headings",
+    "not a list of text: headings",
+    "not a list: table_previews",
+    "not text: category",
+    "neither text nor null: error",
+    "not valid JSON",
+    "not valid JSON",
+    "not an object",
+    "not text: url",
+)
+
+
+def landed_lines(spark, sf):
+    """One JSON line per page, most with one fault."""
+    n = F.col("page_id") % len(_RECORD_FAULTS)
+    text = F.regexp_replace(F.to_json(F.struct(F.col("url").alias("x"))), r'^\{"x":|\}$', "")
+    fields = [
+        F.concat(F.lit('"source_id":"page_'), F.col("page_id").cast("string"), F.lit('"')),
+        F.when(n == 9, F.lit('"category":" \\t"')).otherwise(F.lit('"category":"c"')),
+        F.when(n == 14, F.lit('"url":null')).otherwise(F.concat(F.lit('"url":'), text)),
+        F.lit('"fetched_at_utc":"2024-01-01T00:00:00+00:00"'),
+        F.when(n == 3, F.lit('"status_code":"200"'))
+        .when(n == 4, F.lit('"status_code":true'))
+        .when(n == 5, F.lit('"status_code":200.5'))
+        .when(n == 12, F.lit('"status_code":NaN'))
+        .otherwise(F.when(F.col("page_id") % 2 == 0, F.lit('"status_code":null')).otherwise(F.lit('"status_code":200'))),
+        F.when(n != 1, F.lit('"title":null')),
+        F.when(n == 6, F.lit('"headings":"x"')).when(n == 7, F.lit('"headings":["x",null]')).otherwise(F.lit('"headings":["x"]')),
+        F.when(n == 8, F.lit('"table_previews":{"a":1}')).otherwise(F.lit('"table_previews":[[{"a":null}]]')),
+        F.when(n == 10, F.lit('"error":5')).otherwise(F.lit('"error":null')),
+        F.when(n == 2, F.lit('"extra":[1]')),
+    ]
+    record = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    line = F.when(n == 11, F.regexp_replace(record, r"\}$", "")).when(n == 13, F.concat(F.lit("["), record, F.lit("]")))
+    return fx.table(spark, sf, "pages").select("page_id", line.otherwise(record).alias("value"))
+
+
+_FAULT_ROWS = ", ".join(f"({i}, '{f}')" for i, f in enumerate(_RECORD_FAULTS))
+
+
+@query(
+    "landed_record_faults",
+    f"""SELECT fault, count(*) AS records FROM pages JOIN (VALUES {_FAULT_ROWS}) v(i, fault)
+    ON page_id % {len(_RECORD_FAULTS)} = i WHERE fault <> '' GROUP BY 1""",
+)
+def landed_record_faults(spark, sf):
+    return landed_faults(landed_lines(spark, sf))
+
+
+@query(
+    "landed_records_accepted",
+    f"SELECT page_id FROM pages WHERE page_id % {len(_RECORD_FAULTS)} = 0",
+)
+def landed_records_accepted(spark, sf):
+    return validate_landed(landed_lines(spark, sf), on_violation="quarantine")[0].select("page_id")
+
+
+# --- tables within tables -----------------------------------------------------------
+
+
+_NESTED = """SELECT o_orderkey AS page_id, v.t AS table_no, v.r AS row_no, v.n AS name,
+  CASE v.i WHEN 1 THEN o_orderstatus WHEN 2 THEN 'in ' || o_custkey || ' ' || o_orderpriority
+    WHEN 3 THEN CAST(o_custkey AS VARCHAR) WHEN 4 THEN o_orderpriority WHEN 5 THEN 'last' WHEN 6 THEN 'in' END AS value
+  FROM orders CROSS JOIN (VALUES (0, 0, 'column_1', 1), (0, 0, 'column_2', 2), (0, 0, 'column_3', 5),
+    (0, 1, 'column_1', 6), (0, 1, 'column_2', 0), (0, 1, 'column_3', 0),
+    (0, 2, 'column_1', 3), (0, 2, 'column_2', 4), (0, 2, 'column_3', 0),
+    (1, 0, 'in', 3), (1, 0, 'column_2', 4)) v(t, r, n, i)"""
+
+
+@query("page_table_nested", _NESTED)
+def page_table_nested(spark, sf):
+    """A table in a cell, with cells and rows left open: rows of the inner table follow
+    in the outer one, as they stand in the document, and are its own as well."""
+    html = F.concat(
+        F.lit("<table><tr><td>"),
+        F.col("o_orderstatus"),
+        F.lit("<td><table><tr><th>in</th></tr><tr><td>"),
+        F.col("o_custkey").cast("string"),
+        F.lit("<td>"),
+        F.col("o_orderpriority"),
+        F.lit("</table></td><td>last</tr></table>"),
+    )
+    pages = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+    found = pg.page_table_preview(pages).select("page_id", F.posexplode_outer("table_previews").alias("table_no", "_t"))
+    rows = found.where("table_no IS NOT NULL").select("page_id", "table_no", F.posexplode("_t").alias("row_no", "_r"))
+    return rows.select("page_id", "table_no", "row_no", F.explode("_r").alias("name", "value"))

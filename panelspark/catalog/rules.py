@@ -302,8 +302,10 @@ def expect_quarantine(spark, sf):
     return bad.select("event_id", F.array_join("broken_rules", "|").alias("broken"))
 
 
-@query("first_n_bad_rows")
+@query(
+    "first_n_bad_rows",
+    "SELECT event_id, value FROM events WHERE value > 100 ORDER BY event_id LIMIT 5",
+)
 def first_n_bad_rows(spark, sf):
-    return q.first_n_bad_rows(fx.table(spark, sf, "events"), F.col("value") > 100).select(
-        "event_id", "value"
-    )
+    bad = q.first_n_bad_rows(fx.table(spark, sf, "events"), F.col("value") > 100, order=["event_id"])
+    return bad.select("event_id", "value")

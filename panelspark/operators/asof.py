@@ -37,12 +37,27 @@ class Pick:
 
 @dataclass(frozen=True)
 class Source:
-    """A dated table unique on ``(key, date)`` (per ``where`` of each pick)."""
+    """A dated table unique on ``(key, date)`` (per ``where`` of each pick).
+
+    ``months_ago`` asks for what was known that many calendar months before the event
+    (``add_months`` of the event's date, so the last day of a shorter month stands for
+    the days it lacks); dates only.
+    """
 
     df: DataFrame
     date: str
     picks: Sequence[Pick] = field(default_factory=list)
     allow_exact: bool = True
+    months_ago: int = 0
+
+
+def _known_from(date: Column, months: int) -> Column:
+    """First day whose ``add_months(day, -months)`` is ``date`` or later.
+
+    Moving a source by this rule gives the same rows as moving every event back.
+    """
+    later = F.add_months(date, months)
+    return F.when(F.add_months(later, -months) >= date, later).otherwise(F.date_add(later, 1))
 
 
 def _age_ok(event: Column, ref: Column, days: int, is_date: bool) -> Column:
@@ -76,6 +91,11 @@ def asof_many(
     else:
         events = left.select(*needle).distinct().withColumn("_left", F.lit(True))
     stack = events.withColumn("_tie", F.lit(1))
+    if any(s.months_ago for s in sources):
+        if not is_date:
+            raise ValueError("calendar months are counted from dates only")
+        # Days that a shorter month lacks are known from one day on: the latest counts.
+        stack = stack.withColumn("_day", F.lit(None).cast("date"))
 
     picks: list[tuple[str, str, Pick]] = []
     for i, s in enumerate(sources):
@@ -91,10 +111,12 @@ def asof_many(
             # Rows no pick can use never reach the shuffle.
             used = reduce(or_, [F.coalesce(p.where, F.lit(False)) for p in s.picks])
             rows = rows.where(used)
+        moved = [F.col(s.date).alias("_day")] if "_day" in stack.columns else []
         rows = rows.select(
             *key,
-            F.col(s.date).alias("_t"),
+            (_known_from(F.col(s.date), s.months_ago) if s.months_ago else F.col(s.date)).alias("_t"),
             F.lit(0 if s.allow_exact else 2).alias("_tie"),
+            *moved,
             F.struct(*fields).alias(slot),
         )
         stack = stack.unionByName(rows, allowMissingColumns=True)
@@ -122,7 +144,7 @@ def asof_many(
             stack = running_last(
                 stack,
                 key=key,
-                order=["_t", "_tie"],
+                order=["_t", "_tie", *(["_day"] if "_day" in stack.columns else [])],
                 values=values,
                 reverse=direction == "forward",
                 slices=limit,
@@ -203,12 +225,47 @@ def asof_multi(
     ``series`` is unique on ``(key, date, series_id)``.  Adds ``<id>`` and ``<id>_reference_date`` per series.  NULL values are not
     available and are skipped.
     """
+    source = series_source(
+        series,
+        key=key,
+        series_ids=series_ids,
+        series_id=series_id,
+        series_date=series_date,
+        value=value,
+        allow_exact=allow_exact,
+        max_age_days=max_age_days,
+    )
+    return asof_many(events, [source], key=key, left_date=event_date, left_unique=left_unique)
+
+
+def series_source(
+    series: DataFrame,
+    *,
+    key: Sequence[str],
+    series_ids: Sequence[str],
+    series_id: str = "series_id",
+    series_date: str = "date",
+    value: str = "value",
+    allow_exact: bool = True,
+    max_age_days: int | None = None,
+) -> Source:
+    """Several series of one long table as one source; see ``asof_multi``.
+
+    A value that stands twice for a key, date and series fails the query.
+    """
+
+    def only(s: str) -> Column:
+        own = F.when(F.col(series_id) == s, F.col(value))
+        twice = F.raise_error(F.lit(f"{s}: two values for one key and {series_date}"))
+        kind = series.schema[value].dataType
+        return F.when(F.count(own) > 1, twice.cast(kind)).otherwise(F.max(own)).alias(s)
+
     # One row per key and date first (combined map-side), so that the window
     # sorts as many rows as there are dates, not dates times series.
     wide = (
         series.where(F.col(series_id).isin(*series_ids))
         .groupBy(*key, series_date)
-        .agg(*[F.max(F.when(F.col(series_id) == s, F.col(value))).alias(s) for s in series_ids])
+        .agg(*[only(s) for s in series_ids])
     )
     picks = [
         Pick(
@@ -219,13 +276,7 @@ def asof_multi(
         )
         for s in series_ids
     ]
-    return asof_many(
-        events,
-        [Source(wide, series_date, picks, allow_exact)],
-        key=key,
-        left_date=event_date,
-        left_unique=left_unique,
-    )
+    return Source(wide, series_date, picks, allow_exact)
 
 
 def stale_or_missing(

@@ -169,9 +169,11 @@ def violations(df: DataFrame, rules: Sequence[Rule | Unique]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def first_n_bad_rows(df: DataFrame, broken: Column, n: int = 5) -> DataFrame:
-    """A sample of at most ``n`` offending rows for an error message."""
-    return df.where(F.coalesce(broken, F.lit(False))).limit(n)
+def first_n_bad_rows(df: DataFrame, broken: Column, n: int = 5, *, order: Sequence[str] = ()) -> DataFrame:
+    """At most ``n`` offending rows for an error message: the first ones in ``order``,
+    else whichever are found first."""
+    bad = df.where(F.coalesce(broken, F.lit(False)))
+    return (bad.orderBy(*order) if order else bad).limit(n)
 
 
 def quarantine(

@@ -10,32 +10,48 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import constants as K
 from ..functions.values import close, encode_bool_text, policy_context_features, spread_features
 from ..operators import quality as q
-from ..operators.asof import asof_calendar_offset, asof_multi, asof_reconcile
+from ..operators.asof import Pick, Source, asof_many, asof_reconcile, series_source
 from ..operators.calendar import resample_month_end_last
 from ..operators.joins import exact_date_lookup
 from ..operators.windows import diff_n, history_features, rolling_mean_full
 from .macro import inflation_monthly
 
 
-def rate_features(panel: DataFrame, policy: DataFrame, *, key: Sequence[str]) -> DataFrame:
-    """Level in force before the event and its changes over calendar months."""
-    offsets = asof_calendar_offset(
-        panel,
-        policy,
-        key=key,
-        event_date="meeting_date",
-        series_date="date",
-        value="policy_rate",
-        months=K.RATE_CHANGE_MONTHS,
-        out="_then_{}",
-    )
+def _policy_sources(policy: DataFrame) -> list[Source]:
+    """The policy series as it stood the asked calendar months before an event."""
+    known = F.col("policy_rate").isNotNull()
+    return [
+        Source(policy, "date", [Pick({"policy_rate": f"_then_{m}"}, where=known)], months_ago=m)
+        for m in K.RATE_CHANGE_MONTHS
+    ]
+
+
+def _rate_changes(found: DataFrame) -> DataFrame:
     level = F.col("policy_rate_before")
     changes = {f"rate_chg_{m}m": level - F.col(f"_then_{m}") for m in K.RATE_CHANGE_MONTHS}
-    return offsets.withColumns({"rate_level": level, **changes}).drop(
+    return found.withColumns({"rate_level": level, **changes}).drop(
         *[f"_then_{m}" for m in K.RATE_CHANGE_MONTHS]
     )
 
 
+def rate_features(panel: DataFrame, policy: DataFrame, *, key: Sequence[str]) -> DataFrame:
+    """Level in force before the event and its changes over calendar months.
+
+    Events are unique per key and day.
+    """
+    found = asof_many(panel, _policy_sources(policy), key=key, left_date="meeting_date", left_unique=True)
+    return _rate_changes(found)
+
+
+def rate_and_market_features(
+    panel: DataFrame, policy: DataFrame, market: DataFrame, *, key: Sequence[str], series_id: str = "series_id"
+) -> DataFrame:
+    """``rate_features`` and ``market_features``, all sources in one as-of pass."""
+    sources = [*_policy_sources(policy), _market_source(market, key=key, series_id=series_id)]
+    found = asof_many(panel, sources, key=key, left_date="meeting_date", left_unique=True)
+    return spread_features(_rate_changes(found), level="rate_level", pairs=K.SPREAD_PAIRS)
+
+
 def rate_reconciliation(panel: DataFrame, policy: DataFrame, *, key: Sequence[str]) -> DataFrame:
     """Panel states looked up again in the daily series; see ``asof_reconcile``."""
     return asof_reconcile(
@@ -121,6 +137,10 @@ def labour_features(
     return found.withColumn("labour_reconciled", F.coalesce(agrees, F.lit(False))).drop("_raw_u")
 
 
+def _market_source(market: DataFrame, *, key: Sequence[str], series_id: str) -> Source:
+    return series_source(market, key=key, series_ids=K.MARKET_COLUMNS, series_id=series_id, allow_exact=False)
+
+
 def market_features(
     panel: DataFrame, market: DataFrame, *, key: Sequence[str], series_id: str = "series_id"
 ) -> DataFrame:
@@ -129,16 +149,8 @@ def market_features(
     ``market`` is the long series table.  Missing and stale values are kept with
     their reference dates for ``market_rules``.
     """
-    aligned = asof_multi(
-        panel,
-        market,
-        key=key,
-        event_date="meeting_date",
-        series_ids=K.MARKET_COLUMNS,
-        series_id=series_id,
-        allow_exact=False,
-        left_unique=True,
-    )
+    source = _market_source(market, key=key, series_id=series_id)
+    aligned = asof_many(panel, [source], key=key, left_date="meeting_date", left_unique=True)
     return spread_features(aligned, level="rate_level", pairs=K.SPREAD_PAIRS)
 
 
@@ -204,11 +216,10 @@ def all_features(
     key: Sequence[str],
 ) -> DataFrame:
     """Every feature group on the clean panel, before selection."""
-    out = rate_features(panel, policy, key=key)
+    out = rate_and_market_features(panel, policy, market, key=key)
     out = inflation_features(out, index, key=key)
     out = labour_features(out, unemployment, key=key)
     out = policy_context_features(out)
-    out = market_features(out, market, key=key)
     # Events are unique per entity and day, so a key is bounded by the calendar.
     return history_features(out, key=key, date="meeting_date", slices=None)
 

@@ -87,14 +87,21 @@ def monthly_panel(
     """State, inflation and labour on one complete month-end calendar per key.
 
     Only the state columns are carried forward.  The three inputs are stacked
-    and folded, so there is one shuffle by month and one by key.
+    and folded, so there is one shuffle by month and one by key.  Two values of one
+    input for a key and month are refused when the result is computed.
     """
     cols = [*STATE_COLUMNS, "pce_index", "pce_yoy", "unemployment", "natural_unemployment"]
     state = month_end_last(policy, key=key, date="date", values=list(STATE_COLUMNS))
     stacked = state.unionByName(inflation, allowMissingColumns=True).unionByName(
         labour, allowMissingColumns=True
     )
-    folded = stacked.groupBy(*key, "date").agg(*[F.max(c).alias(c) for c in cols])
+    kinds = {f.name: f.dataType for f in stacked.schema.fields}
+
+    def only(c: str):
+        twice = F.raise_error(F.lit(f"{c}: more than one value for a key and month")).cast(kinds[c])
+        return F.when(F.count(c) > 1, twice).otherwise(F.max(c)).alias(c)
+
+    folded = stacked.groupBy(*key, "date").agg(*[only(c) for c in cols])
     dense = densify(folded, key=key, date="date", unit="month_end")
     return forward_fill(dense, key=key, order="date", values=list(STATE_COLUMNS))
 

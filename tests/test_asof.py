@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from panelspark.operators import asof
 from panelspark.operators.asof import Pick, Source, asof_calendar_offset, asof_join, asof_many
 from panelspark.operators.hotkeys import SLICE, slice_of
 
@@ -154,3 +155,34 @@ def test_slices_are_bounded_and_ordered(spark):
         slice_of(days, "d", 40)
     with pytest.raises(ValueError):
         slice_of(df, "o", "day")
+
+
+def test_months_ago_in_one_pass_equals_moving_the_events(spark):
+    rnd = random.Random(12)
+    days = [dt.date(2023, 12, 20) + dt.timedelta(days=i) for i in range(480)]
+    series = spark.createDataFrame(
+        [("a", d, float(i)) for i, d in enumerate(days) if rnd.random() < 0.6 or d.day > 27], "k string, d date, v double"
+    )
+    events = spark.createDataFrame([("a", d, i) for i, d in enumerate(days)] + [("b", days[0], 999)], "k string, t date, id int")
+    sources = [
+        asof.Source(series, "d", [asof.Pick({"v": f"ago{m}"}, reference_col=f"ref{m}")], months_ago=m) for m in (1, 3, 12)
+    ]
+    sources.append(asof.Source(series, "d", [asof.Pick({"v": "now"})], allow_exact=False))
+    out = asof.asof_many(events, sources, key=["k"], left_date="t", left_unique=True).collect()
+    want = asof.asof_calendar_offset(
+        events, series, key=["k"], event_date="t", series_date="d", value="v", months=(1, 3, 12), out="ago{}"
+    )
+    moved = {r.id: (r.ago1, r.ago3, r.ago12) for r in want.collect()}
+    assert {r.id: (r.ago1, r.ago3, r.ago12) for r in out} == moved and len(out) == 481
+    known = sorted((r.d, r.v) for r in series.collect())
+    for r in out[:-1]:
+        if r.k == "a":
+            assert r.now == max((v for d, v in known if d < r.t), default=None)
+
+
+def test_repeated_values_of_a_series_are_refused(spark):
+    events = spark.createDataFrame([("a", dt.date(2024, 1, 5))], "k string, t date")
+    rows = [("a", dt.date(2024, 1, 1), "x", 1.0), ("a", dt.date(2024, 1, 1), "x", 2.0)]
+    series = spark.createDataFrame(rows, "k string, date date, series_id string, value double")
+    with pytest.raises(Exception, match="x: two values"):
+        asof.asof_multi(events, series, key=["k"], event_date="t", series_ids=["x"]).collect()
