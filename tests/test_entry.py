@@ -29,3 +29,9 @@ def test_without_the_subpackage():
 def test_other_import_errors_are_not_swallowed():
     code = CODE.format(root=ROOT, block="sys.modules['panelspark.catalog.rules'] = None")
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode != 0
+
+
+def test_without_a_library_of_the_optional_half():
+    assert registered("sys.modules['public_tokenizers'] = None") == ["0", "True"]
+    code = CODE.format(root=ROOT, block="sys.modules['pyspark.ml'] = None")
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode != 0
