@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions.text import let
+
 from .common import stage, text_or_empty
 
 # The base patterns by kind, in the order of the report.
@@ -34,6 +36,40 @@ EXAMPLE_OWNERS = 3
 #: length, or of the characters its kind is made of, whichever is less.
 MIN_VARIETY = 0.3
 _HEX_SYMBOLS, _CAPITALS, _SYMBOLS = 16, 36, 66
+#: Matches of a text whose places are summed together.
+_RUN = 256
+
+
+def _running(values: Column, start: Column) -> Column:
+    """Where each of ``values`` (lengths) begins, one after the other from ``start``."""
+    zero = F.struct(start.alias("pos"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(
+        values,
+        zero,
+        lambda acc, x: F.struct((acc["pos"] + x).alias("pos"), F.concat(acc["starts"], F.array(acc["pos"])).alias("starts")),
+        lambda acc: acc["starts"],
+    )
+
+
+def _starts(pieces: Column) -> Column:
+    """Start of each match ``m`` behind its gap ``g``.
+
+    An array that grows in a fold is copied each time, so sums run within blocks of
+    bounded size, and over the lengths of the blocks.
+    """
+    sizes = F.transform(pieces, lambda x: F.length(x["g"]) + F.length(x["m"]))
+
+    def placed(sizes: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(_RUN))
+        return let(F.transform(firsts, lambda i: F.slice(sizes, i, _RUN)), blocked)
+
+    def blocked(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda total, n: total + n))
+        pairs = F.arrays_zip(blocks.alias("b"), _running(whole, F.lit(0)).alias("s"))
+        return F.flatten(F.transform(pairs, lambda x: _running(x["b"], x["s"])))
+
+    places = F.arrays_zip(let(sizes, placed).alias("p"), pieces.alias("x"))
+    return F.transform(places, lambda y: y["p"] + F.length(y["x"]["g"]))
 
 
 def spans_of(text: Column, pattern: str, kind: str, min_length: int = 0, value_group: int = 0) -> Column:
@@ -44,27 +80,24 @@ def spans_of(text: Column, pattern: str, kind: str, min_length: int = 0, value_g
     """
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1 + value_group)) if value_group else found
+    # The text before each match; the piece after the last one is not needed.
     gaps = F.split(text, pattern, -1)
-    at = F.aggregate(
-        F.arrays_zip(found.alias("m"), gaps.alias("g")),
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("pos"),
-            F.when(x["m"].isNull(), acc["starts"])
-            .otherwise(F.concat(acc["starts"], F.array(acc["pos"] + F.length(x["g"]))))
-            .alias("starts"),
-        ),
-    )["starts"]
-    spans = F.transform(
-        F.arrays_zip(at.alias("s"), found.alias("m"), values.alias("v")),
-        lambda x: F.struct(
-            F.lit(kind).alias("kind"),
-            x["s"].alias("start"),
-            (x["s"] + F.length(x["m"])).alias("end"),
-            x["v"].alias("value"),
-        ),
-    )
-    kept = F.filter(spans, lambda x: F.length(x["value"]) >= min_length)
+
+    def spans(m: Column) -> Column:
+        pieces = F.arrays_zip(m["m"].alias("m"), F.slice(m["g"], 1, F.size(m["m"])).alias("g"))
+        starts = let(pieces, _starts)
+        return F.transform(
+            F.arrays_zip(starts.alias("s"), m["m"].alias("m"), m["v"].alias("v")),
+            lambda x: F.struct(
+                F.lit(kind).alias("kind"),
+                x["s"].alias("start"),
+                (x["s"] + F.length(x["m"])).alias("end"),
+                x["v"].alias("value"),
+            ),
+        )
+
+    matched = F.struct(found.alias("m"), values.alias("v"), gaps.alias("g"))
+    kept = F.filter(let(matched, spans), lambda x: F.length(x["value"]) >= min_length)
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     return F.when(text.rlike(pattern), kept).otherwise(none)
 

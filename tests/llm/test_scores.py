@@ -1,5 +1,6 @@
 """Toxicity, secrets, language model, nearest neighbours and URL filter."""
 
+import time
 import hashlib
 import math
 import random
@@ -293,3 +294,15 @@ def test_packed_numbers(values):
     a = np.array(values, dtype=np.int64)
     assert (lm._unpacked(lm._packed(a)) == a).all()
     assert hashlib.sha256(lm._packed(a)).digest()
+
+
+def test_spans_of_very_many_matches_take_linear_time(spark):
+    times = []
+    for n in (16_000, 64_000):
+        text = " ".join(["0123456789abcdef01234567"] * n)
+        df = spark.createDataFrame([(text,)], "text string")
+        start = time.perf_counter()
+        spans = df.select(secrets.base_spans(F.col("text")).alias("s")).collect()[0].s
+        times.append(time.perf_counter() - start)
+        assert [(s.start, s.end) for s in spans] == [(25 * i, 25 * i + 24) for i in range(n)]
+    assert times[1] < 4 * times[0] + 2
