@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import stage
 
 CAPACITY = 2048
-#: Parts into which pieces of one length are dealt to be numbered.
-PARTS = 64
+#: Pieces of one length that are numbered together; more are dealt into parts.
+PART_ROWS = 100_000
 #: Written after each document.
 END_ID = 0
 _SPECIAL = "<|endoftext|>"
@@ -196,15 +196,24 @@ def pack(
     """
     spark = docs.sparkSession
     pieces = stage(tokenize(docs, tokenizer_path, id_col, text_col, capacity), "pieces")
-    part = F.pmod(F.xxhash64("row", "piece"), F.lit(PARTS)).cast("int")
-    dealt = pieces.withColumn("part", part)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    # Pieces that fill a sequence alone need no rank, however many there are.
+    full = pieces.where(F.col("length") == capacity).select(
+        *columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    rest = pieces.where(F.col("length") < capacity)
+    # One row per length, so at most as many as the capacity.
+    counts = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    dealing = spark.createDataFrame([(k, -(-n // PART_ROWS)) for k, n in counts.items()], "dealt_length long, parts long")
+    part = F.pmod(F.xxhash64("row", "piece"), F.col("parts"))
+    dealt = rest.join(F.broadcast(dealing), F.col("length") == F.col("dealt_length")).withColumn("part", part)
+    dealt = dealt.drop("dealt_length", "parts")
     # Ranks of a length: places within its parts plus the sizes of earlier parts.
     sizes = stage(dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(
         F.col("length").alias("l"), F.col("part").alias("p"), "before"
     )
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.createDataFrame(
         best_fit_plan(counts, capacity),
         "pl long, first_rank long, last_rank long, first_bin long, per_bin long, at long",
@@ -225,12 +234,9 @@ def pack(
         )
     )
     nth = F.col("rank") - F.col("run.first_rank")
-    return ranked.select(
-        "doc_id",
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
+    placed = ranked.select(
+        *columns,
         (F.col("run.first_bin") + F.floor(nth / F.col("run.per_bin"))).cast("long").alias("sequence_id"),
         (F.col("run.at") + nth % F.col("run.per_bin") * F.col("length")).cast("long").alias("offset"),
     )
+    return full.unionByName(placed)
