@@ -358,12 +358,10 @@ def linked(nodes: DataFrame, words: DataFrame, stages: Stages, least: float = SI
     members = nodes.select("node", "n", F.posexplode("sketches").alias("sketch", "h")).select(
         F.xxhash64("sketch", "h").alias("key"), "node", "n"
     )
+    first = members.groupBy(F.col("key").alias("lk")).agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("met"))
+    lengths = nodes.select(F.col("node").alias("x"), F.col("n").alias("na"))
     leaders = stages.write(
-        members.groupBy(F.col("key").alias("lk"))
-        .agg(F.min(F.struct("node", "n")).alias("l"), F.count(F.lit(1)).alias("met"))
-        .where("met > 1")
-        .select("lk", F.col("l.node").alias("a"), F.col("l.n").alias("na")),
-        "leaders",
+        first.where("met > 1").join(lengths, F.col("a") == F.col("x")).select("lk", "a", "na"), "leaders"
     )
     met = members.join(leaders, F.col("key") == F.col("lk")).where("node <> a")
     met = stages.write(met.select("key", "a", "na", F.col("node").alias("b"), F.col("n").alias("nb")), "met")
