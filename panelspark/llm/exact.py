@@ -156,7 +156,13 @@ def _split_collisions(seen: DataFrame, unequal: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, columns unchanged."""
+    """``docs`` with one row of each group of equal texts, columns unchanged.
+
+    The row with the largest id stays, a null id only if the group has no other; of
+    rows that repeat id and text, one.  A null text is equal to an empty one.  Very long
+    texts are compared whole.  An empty table stays empty, and columns may have any
+    names.
+    """
     found = exact_groups(docs)
     copies = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("kept").cast("int")).alias("n_out")

@@ -385,7 +385,14 @@ def _fill(spare: DataFrame, lack: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: rows repeated or left out, columns unchanged."""
+    """``docs`` as the mix takes them: rows repeated or left out, columns unchanged.
+
+    Cases are those of ``mix``: a null or empty text has size 0 and is taken with its
+    round, a null source is a source, very long texts count whole, ties are broken by
+    the seeded hash.  Repeated rows share what the mix takes of them; rows equal in id
+    and text are merged before they are multiplied.  An empty table stays empty, and
+    columns may have any names.
+    """
     mixed = mix(docs, **options)
     copies = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("copies").alias("n_out")

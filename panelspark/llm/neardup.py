@@ -634,7 +634,13 @@ def near_classes(
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, columns unchanged."""
+    """``docs`` with one row of each class, columns unchanged.
+
+    The row with the least id stays, a null id only if the class has no other; of rows
+    that repeat id and text, one.  Null, empty and wordless texts, very long and short
+    ones as in ``near_classes``.  An empty table stays empty, and columns may have any
+    names.
+    """
     found = near_classes(docs)
     copies = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("kept").cast("int")).alias("n_out")

@@ -102,7 +102,9 @@ def nnpu(
     return w, b
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, float]:
+def _sample(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_positive: int, max_unlabelled: int
+) -> tuple[DataFrame, float]:
     """``positive, text`` of the training sample, and the class prior.
 
     The prior is the share of toxic rows among those labelled for training.
@@ -118,26 +120,34 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> t
     prior = min(max((n_toxic or 0) / n, 1e-4), 0.5) if n else 0.0
     order = F.xxhash64(F.lit(11), F.col("_id"))
     texts = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("text"))
-    confirmed = known.where("toxic = 1").orderBy(order, "_id").limit(MAX_POSITIVE)
+    confirmed = known.where("toxic = 1").orderBy(order, "_id").limit(max_positive)
     others = (
         docs.where(F.col(id_col).isNotNull() & (fold(id_col) != 0))
-        .select(F.col(id_col).alias("_id")).distinct().orderBy(order, "_id").limit(MAX_UNLABELLED)
+        .select(F.col(id_col).alias("_id")).distinct().orderBy(order, "_id").limit(max_unlabelled)
     )
     drawn = confirmed.select("_id", F.lit(True).alias("positive")).unionByName(
         others.select("_id", F.lit(False).alias("positive"))
     )
-    # At most MAX_POSITIVE + MAX_UNLABELLED ids, so they fit every executor.
+    # At most max_positive + max_unlabelled ids, so they fit every executor.
     found = texts.join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))
     return stage(found.groupBy("positive", "_id").agg(F.min("text").alias("text")), "toxicity-sample"), prior
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_positive: int = MAX_POSITIVE,
+    max_unlabelled: int = MAX_UNLABELLED,
+) -> Model:
     """Model from ``docs`` and the labels of the training folds.
 
+    ``max_positive`` and ``max_unlabelled`` bound the texts that are fitted on.
     Only words, counts and features of the bounded sample reach the driver.
     Without a confirmed text every score is near 0.
     """
-    sample, prior = _sample(docs, labels, id_col, text_col)
+    sample, prior = _sample(docs, labels, id_col, text_col, max_positive, max_unlabelled)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pos, unl = Counter({"": 0}), Counter({"": 0})  # "" counts texts
@@ -202,5 +212,11 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the texts predicted toxic, columns unchanged."""
+    """``docs`` without the texts predicted toxic, columns unchanged.
+
+    Every row is judged by its whole text, however long; a null text counts as empty and
+    has the score of a text without known words.  Rows with equal texts, repeated ones
+    too, are kept or dropped together; a score of 0.5 is toxic.  Without labels nothing
+    is dropped.  An empty table stays empty, and columns may have any names.
+    """
     return docs.where(scorer(train(docs, labels))(F.col("text")) < 0.5)

@@ -1,11 +1,11 @@
 """Toxicity, secrets, language model, nearest neighbours and URL filter."""
 
-import time
 import hashlib
 import math
 import random
 import re
 import string
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -306,3 +306,29 @@ def test_spans_of_very_many_matches_take_linear_time(spark):
         times.append(time.perf_counter() - start)
         assert [(s.start, s.end) for s in spans] == [(25 * i, 25 * i + 24) for i in range(n)]
     assert times[1] < 4 * times[0] + 2
+
+
+def test_toxicity_against_the_size_of_its_sample(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    labels = table(spark, "/root/testdata/sf0.1", "labels")
+    found = []
+    for positive, unlabelled in ((100, 1_000), (5_000, 20_000)):
+        model = toxicity.train(docs, labels, max_positive=positive, max_unlabelled=unlabelled)
+        rows = toxicity.score_documents(docs, model).where("held_out").join(labels, "doc_id").collect()
+        miss = np.array([r.score for r in rows if r.toxic == 0])
+        found.append(np.mean([(r.score > miss).mean() + (r.score == miss).mean() / 2 for r in rows if r.toxic == 1]))
+    print("held-out AUC by sample size:", found)
+    assert found[1] > 0.93 and found[1] >= found[0] - 0.01
+
+
+def test_toxicity_scores_by_hand(make_docs, spark):
+    """The Spark scores against the model written out: intercept plus the weights of the
+    words that a text holds, through the logistic function."""
+    model = toxicity.Model(-1.0, {"bad": 2.0, "worse": 3.5, "é": -0.25})
+    docs = make_docs([*ODD, (50, "Bad bad BAD"), (51, "worse, é!"), (52, "badly")])
+    got = toxicity.score_documents(docs, model).collect()
+    texts = {50: 1.0, 51: 2.25, 52: -1.0, 2: -1.0, 3: -1.0, 7: -1.25, 8: -1.0}
+    for r in got:
+        if r.doc_id in texts:
+            assert r.score == 1 / (1 + math.exp(-texts[r.doc_id]))
+            assert r.predicted == (r.score >= 0.5)
