@@ -69,11 +69,16 @@ def _order_tables(spark, sf):
         F.col("o_orderkey").cast("string"),
         F.lit("</td><td>a &amp; b</td></tr></table><table></table>"),
     )
-    return fx.table(spark, sf, "orders").select(
+    return _rows_to_render(spark, sf).select(
         F.col("o_orderkey").alias("page_id"), F.lit("").alias("url"), html.alias("html")
     )
 
 
+def _rows_to_render(spark, sf):
+    """Orders over all cores: a file of small rows becomes pages that take long to read."""
+    return fx.table(spark, sf, "orders").repartition(spark.sparkContext.defaultParallelism)
+
+
 _CELLS = """SELECT o_orderkey AS page_id, v.t AS table_no, v.r AS row_no, v.n AS name,
   CASE v.i WHEN 1 THEN o_orderstatus WHEN 2 THEN o_orderpriority || ' x' WHEN 3 THEN CAST(o_custkey AS VARCHAR)
     WHEN 4 THEN CAST(o_orderkey AS VARCHAR) WHEN 5 THEN 'a & b' END AS value
@@ -483,7 +488,7 @@ def page_table_nested(spark, sf):
         F.col("o_orderpriority"),
         F.lit("</table></td><td>last</tr></table>"),
     )
-    pages = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+    pages = _rows_to_render(spark, sf).select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
     found = pg.page_table_preview(pages).select("page_id", F.posexplode_outer("table_previews").alias("table_no", "_t"))
     rows = found.where("table_no IS NOT NULL").select("page_id", "table_no", F.posexplode("_t").alias("row_no", "_r"))
     return rows.select("page_id", "table_no", "row_no", F.explode("_r").alias("name", "value"))
