@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.quality import Rule
+from panelspark.sources.published import manifest, publish, read_published
+
 from .common import stage, text_or_empty
 
 #: Virtual slots, whatever the number of shards or records.
@@ -30,6 +33,35 @@ def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame
     )
 
 
+def store_map(slot_map: DataFrame, path: str) -> None:
+    """Publish ``slot_map`` as the next version at ``path``; earlier ones stay readable.
+
+    A slot without a shard, or a version that is there already, is refused, and the
+    stored versions are then as before.
+    """
+    spark = slot_map.sparkSession
+    rows = slot_map.select("version", "slot", "shard")
+    if manifest(spark, path) is not None:
+        old = read_published(spark, path)
+        latest = old.agg(F.max("version").alias("v")).first()["v"]
+        late = rows.where(F.col("version") <= latest).take(1)
+        if late:
+            raise ValueError(f"version {late[0]['version']} is not after {latest}")
+        rows = old.unionByName(rows)
+    unplaced = F.col("slot").isNull() | F.col("shard").isNull() | (F.col("shard") < 0)
+    publish(rows, path, rules=[Rule("placed:slot", unplaced)])
+
+
+def stored_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The given version of the map at ``path``, else the latest; None if there is none."""
+    if manifest(spark, path) is None:
+        return None
+    rows = read_published(spark, path)
+    if version is None:
+        version = rows.agg(F.max("version").alias("v")).first()["v"]
+    return rows.where(F.col("version") == version)
+
+
 def rebalance(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
     """The next version of ``slot_map`` for the given ``loads`` (``slot, bytes``).
 
@@ -75,12 +107,14 @@ def assign(
     id_col: str = "doc_id",
     text_col: str = "text",
     slot_map: DataFrame | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs`` with its shard; shards hold nearly equal bytes.
 
     Size: UTF-8 bytes of the text (null: none) plus 1.  The map starts from
-    ``slot_map`` (else version 0) and is rebalanced to the sizes at hand; its
-    version is returned with each row.  ``slot`` is the row's place in its shard,
+    ``slot_map``, else from the latest one at ``store``, else from version 0, and is
+    rebalanced to the sizes at hand; its version is returned with each row.  With
+    ``store`` the new version is published there, for the next run to edit.  ``slot`` is the row's place in its shard,
     gapless from 0: by virtual slot, then id (null first), then content.  Rows
     equal in id and text share a virtual slot.  Other columns are not read; an
     empty table gives no rows.
@@ -99,8 +133,14 @@ def assign(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")
     )
     per_slot = stage(per_slot, "slot-loads")
-    old = slot_map if slot_map is not None else first_map(spark, shards, slots)
+    old = slot_map
+    if old is None and store is not None:
+        old = stored_map(spark, store)
+    if old is None:
+        old = first_map(spark, shards, slots)
     new = stage(rebalance(old, per_slot.select("slot", "bytes"), shards), "slot-map")
+    if store is not None:
+        store_map(new, store)
     before = Window.partitionBy("shard").orderBy("vs").rowsBetween(Window.unboundedPreceding, -1)
     placed = new.join(per_slot, "slot").select(
         F.col("slot").alias("vs"), "shard", F.col("version").alias("map_version"), "n"
