@@ -104,9 +104,43 @@ def route(supply: dict[tuple, int], quota: dict, repeats: int = MAX_REPEATS) ->
     """Words that each pattern gives to each source.
 
     ``supply``: words of each pattern (a tuple of sources).  Its k-th repetition
-    costs k * k a word, so repetition is spread before it is deepened.
+    costs k * k a word, so repetition is spread before it is deepened.  Patterns that
+    share no source, directly or through others, are routed on their own; one that
+    alone feeds its only source needs no flow.
     """
-    patterns, names = list(supply), list(quota)
+    out: dict[tuple, dict] = {}
+    for patterns, names in overlapping(supply, quota):
+        if len(patterns) == len(names) == 1:
+            words = min(quota[names[0]], repeats * supply[patterns[0]])
+            out[patterns[0]] = {names[0]: words} if words else {}
+        else:
+            out |= _route_group(patterns, names, supply, quota, repeats)
+    return {p: out[p] for p in supply}
+
+
+def overlapping(supply: dict[tuple, int], quota: dict) -> list[tuple[list, list]]:
+    """Patterns and sources in groups that overlap, in the order of the patterns."""
+    head = {s: s for s in quota}
+
+    def find(s):
+        while head[s] != s:
+            head[s] = head[head[s]]
+            s = head[s]
+        return s
+
+    for p in supply:
+        for s in p[1:]:
+            head[find(s)] = find(p[0])
+    groups: dict = {}
+    for p in supply:
+        groups.setdefault(find(p[0]), ([], []))[0].append(p)
+    for s in quota:
+        if find(s) in groups:
+            groups[find(s)][1].append(s)
+    return list(groups.values())
+
+
+def _route_group(patterns: list, names: list, supply: dict, quota: dict, repeats: int) -> dict[tuple, dict]:
     place = {s: 1 + len(patterns) + i for i, s in enumerate(names)}
     sink = 1 + len(patterns) + len(names)
     arcs, links = [], []

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -248,3 +249,30 @@ def test_pieces_cover_a_document(length):
     assert [s for s, _ in pieces] == [0, *np.cumsum([n for _, n in pieces])[:-1]]
     assert sum(n for _, n in pieces) == length
     assert all(n == 2048 for _, n in pieces[1:])
+
+
+def test_groups_that_do_not_overlap_are_routed_alone():
+    rng = random.Random(2)
+    supply, quota = {}, {}
+    for g in range(30):
+        names = [f"{g}.{i}" for i in range(rng.randint(1, 3))]
+        quota |= {s: rng.randint(0, 90) for s in names}
+        for k in range(1, len(names) + 1):
+            supply[tuple(names[:k])] = rng.randint(1, 40)
+    whole = mixing._route_group(list(supply), list(quota), supply, quota, mixing.MAX_REPEATS)
+    apart = mixing.route(supply, quota)
+    assert list(apart) == list(supply)
+
+    def cost(flow):
+        words = sum(sum(f.values()) for f in flow.values())
+        paid = 0
+        for p, f in flow.items():
+            rounds, rest = divmod(sum(f.values()), supply[p])
+            paid += supply[p] * sum(k * k for k in range(rounds)) + rest * rounds * rounds
+        return words, paid
+
+    assert cost(apart) == cost(whole)
+    many = {(f"s{i}",): 10 for i in range(20_000)}
+    start = time.perf_counter()
+    found = mixing.route(many, {f"s{i}": 25 for i in range(20_000)})
+    assert time.perf_counter() - start < 5 and all(f == {p[0]: 25} for p, f in found.items())
