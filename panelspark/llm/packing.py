@@ -23,7 +23,7 @@ from .common import stage
 
 CAPACITY = 2048
 #: Pieces of one length that are numbered together; more are dealt into parts.
-PART_ROWS = 100_000
+PART_ROWS = 1_000
 #: Written after each document.
 END_ID = 0
 _SPECIAL = "<|endoftext|>"
