@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         return checkpoint.rstrip("/")
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     on_disk = warehouse.startswith("file:") or "://" not in warehouse
-    if on_disk and not spark.sparkContext.master.startswith("local"):
+    if on_disk and not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return warehouse + "/_scratch"
 

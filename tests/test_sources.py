@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from panelspark.sources import storage
 from panelspark.sources import writers as wr
 
@@ -49,3 +51,10 @@ def test_metrics_json_keeps_nulls(spark, tmp_path):
     wr.write_metrics_json(df.coalesce(1), str(tmp_path / "m"))
     text = "".join(p.read_text() for p in (tmp_path / "m").glob("part-*.json"))
     assert text == '{"m":{"a":1,"b":null}}\n'
+
+
+def test_a_warehouse_on_one_machine_is_no_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session(spark_sql_warehouse_dir="file:/w", spark_master="spark://a:7077"))
+    far = Session(spark_sql_warehouse_dir="hdfs:///w", spark_master="spark://a:7077")
+    assert storage.shared_dir(far) == "hdfs:///w/_scratch"
