@@ -96,7 +96,7 @@ def test_native_operators_import_no_python_engine(module):
 
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op") and x[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in names if x.startswith("op") and x[2].isdigit()}
     assert "pipeline" in names
     assert {x.rsplit("_", 1)[0] for x in __spark_entry__.oracle_sql()} <= {x.rsplit("_", 1)[0] for x in names}
 
