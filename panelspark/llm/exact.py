@@ -21,10 +21,14 @@ from panelspark.sources.storage import scratch_path
 from .common import apply_copies, lower_ascii, stage, text_or_empty
 
 #: Settings of the streaming query: state on disk, without preallocated files,
-#: which many small state partitions would pay for with megabytes each.
+#: which many small state partitions would pay for with megabytes each; native memory
+#: bounded for all stores of an executor, and given back soon after the query.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 #: Files of digests that one micro-batch reads.
 FILES_PER_BATCH = 1000
