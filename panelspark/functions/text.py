@@ -15,13 +15,15 @@ _RUN = rf"(?U){_SPACE}(?:(?<! )|{_SPACE}){_SPACE}*"
 _EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
 
 # Comments, scripts and styles hold no page text.
-_NOT_TEXT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_TAG = r"(?s)</?[A-Za-z][^>]*>|<![^>]*>"
+_NOT_TEXT = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
+_TAG = r"(?s)<(?:/?[A-Za-z]|!)[^>]*>"
 
 # Entities without a closing semicolon are limited to the older names; the
 # longest one wins.
 _OPEN_NAMES = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len)[::-1]
-_ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:%s))" % "|".join(_OPEN_NAMES)
+_ENTITY = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|%s)" % "|".join(_OPEN_NAMES)
+# The names by length, as the shortest are the most usual and a map is read from its start.
+_NAMES = dict(sorted(html.entities.html5.items(), key=lambda x: len(x[0])))
 # Numeric references 128..159 are read as Windows-1252.
 _C1 = {
     str(i): bytes([i]).decode("cp1252", errors="ignore") or chr(i) for i in range(128, 160)
@@ -92,19 +94,18 @@ def _numeric_reference(token: Column) -> Column:
 
 def _named_reference(token: Column) -> Column:
     """A name to its text; the longest older name that starts it; or unchanged."""
-    open_name = F.regexp_extract(token, "^(?:%s)" % "|".join(_OPEN_NAMES), 0)
-    names = _table(html.entities.html5)
-    return let(
-        F.struct(names.alias("all"), open_name.alias("start")),
-        lambda x: F.coalesce(
-            F.try_element_at(x["all"], token),
+    names = _table(_NAMES)
+
+    def older(start: Column) -> Column:
+        return F.coalesce(
             F.concat(
-                F.try_element_at(x["all"], x["start"]),
-                token.substr(F.length(x["start"]) + 1, F.length(token)),
+                F.try_element_at(names, start), token.substr(F.length(start) + 1, F.length(token))
             ),
             F.concat(F.lit("&"), token),
-        ),
-    )
+        )
+
+    start = F.regexp_extract(token, "^(?:%s)" % "|".join(_OPEN_NAMES), 0)
+    return F.coalesce(F.try_element_at(names, token), let(start, older))
 
 
 def _decode_entity(token: Column) -> Column:
@@ -114,21 +115,22 @@ def _decode_entity(token: Column) -> Column:
 
 
 def unescape_html(c: Column) -> Column:
-    """Replace every character reference (named or numeric) by its text."""
+    """Replace every character reference (named or numeric) by its text.
+
+    The text is split at the ampersands: one character is no pattern to compile per row.
+    """
+
+    def part(piece: Column, i: Column) -> Column:
+        def read(token: Column) -> Column:
+            rest = piece.substr(F.length(token) + 1, F.length(piece))
+            return F.when(token == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(_decode_entity(token), rest))
+
+        return F.when(i == 0, piece).otherwise(let(F.regexp_extract(piece, _ENTITY, 0), read))
+
     return let(
         c,
         lambda t: F.when(
-            t.contains("&"),
-            F.array_join(
-                F.zip_with(
-                    F.split(t, _ENTITY, -1),
-                    F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(1)),
-                    lambda piece, token: F.when(token.isNull(), piece).otherwise(
-                        F.concat(piece, _decode_entity(token))
-                    ),
-                ),
-                "",
-            ),
+            t.contains("&"), F.array_join(F.transform(F.split(t, "&", -1), part), "")
         ).otherwise(t),
     )
 

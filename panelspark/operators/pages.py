@@ -22,6 +22,7 @@ from ..functions.text import (
     source_url_valid,
     strip_whitespace,
 )
+from ..sources.storage import staged
 from .quality import Rule, Unique, expect
 
 # Fixed patterns of the elements read.
@@ -373,37 +374,37 @@ def _class_div(name: str) -> str:
 
 def _balanced_div(inner: Column) -> Column:
     """``inner`` up to the end tag of the div that was opened just before it."""
-    pieces = F.split(inner, r"(?i)(?=<div\b)|(?=</div\s*>)", -1)
-    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+    # After the space in front, a piece that starts with a bracket starts with a div tag.
+    pieces = F.split(F.concat(F.lit(" "), inner), r"(?i)(?=<(?:div\b|/div\s*>))", -1)
 
     def step(acc: Column, piece: Column) -> Column:
-        depth = (
-            F.when(piece.rlike(r"(?i)^</div\s*>"), acc["depth"] - 1)
-            .when(piece.rlike(r"(?i)^<div\b"), acc["depth"] + 1)
-            .otherwise(acc["depth"])
-        )
-        live = (acc["depth"] > 0) & (depth > 0)
-        return F.struct(
-            F.when(acc["depth"] > 0, depth).otherwise(F.lit(0)).alias("depth"),
-            F.when(live, F.concat(acc["text"], piece)).otherwise(acc["text"]).alias("text"),
-        )
+        depth = acc["depth"] + F.when(piece.startswith("</"), -1).when(piece.startswith("<"), 1).otherwise(0)
+        return F.when(
+            acc["depth"] > 0, let(depth, lambda d: F.struct(d.alias("depth"), (acc["n"] + (d > 0).cast("int")).alias("n")))
+        ).otherwise(acc)
+
+    def text(p: Column) -> Column:
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+        live = F.aggregate(p, start, step, lambda acc: acc["n"])
+        return F.array_join(F.slice(p, 1, live), "")
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["text"])
+    return let(let(pieces, text), lambda t: t.substr(F.lit(2), F.length(t)))
 
 
 def _after_each(html: Column, opening: str) -> Column:
     """Text following each occurrence of an opening tag, up to the next one."""
-    parts = F.split(html, opening, -1)
-    return F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
+    return F.filter(F.split(html, opening, -1), lambda _, i: i > 0)
 
 
 def _inner_of_class(html: Column, name: str) -> Column:
     """Text of the first element with the given class, inline children included."""
     pattern = (
         r"(?is)<(\w+)\b(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?%s(?:\s[^\"']*)?[\"'])[^>]*>"
-        r"(.*?)</\1\s*>" % name
+        r".*?</\1\s*>" % name
     )
-    return F.when(html.rlike(pattern), markup_to_text(F.regexp_extract(html, pattern, 2)))
+    # The outer tags come off the match, so that the page is searched once.
+    inner = lambda e: F.regexp_extract(e, r"(?s)^[^>]*>(.*)</\w+\s*>$", 1)
+    return let(F.regexp_extract(html, pattern, 0), lambda e: F.when(e != "", markup_to_text(inner(e))))
 
 
 _PANEL_OPEN = (
@@ -552,11 +553,17 @@ def event_calendar_merge(
     not be read stay, with a NULL date.  ``on_violation`` checks
     ``event_date_rules``: ``raise`` stops, ``quarantine`` returns good and
     rejected events, ``report`` the counts, ``none`` returns all events unchecked.
+    Events to check are written once, as the checks pass over them several times and
+    each pass would read the pages again.
     """
+    # A handful of years, so the pages themselves are not moved to meet them.
+    years = F.broadcast(years_seen.select("year").distinct())
     unseen = archive_pages.where(F.col("year").between(start_year, end_year)).join(
-        years_seen.select("year"), "year", "left_anti"
+        years, "year", "left_anti"
     )
     merged = recent.unionByName(events_from_archive_pages(unseen))
+    if on_violation != "none":
+        merged = staged(merged, "merged_events")
     year = F.year("event_date")
     inside = merged.where(year.isNull() | year.between(start_year, end_year))
     if on_violation == "none":
