@@ -388,6 +388,8 @@ def event_date_faults(spark, sf):
     html = F.when(keyed % 7 == 3, F.regexp_replace("html", month, "$1Smarch")).otherwise(F.col("html"))
     html = F.when(keyed % 11 == 5, F.regexp_replace(html, day, "$1")).otherwise(html)
     events = pg.events_from_recent_pages(recent_pages(spark, sf).withColumn("html", html))
+    # Good and rejected events are two passes: over the events, not over the pages.
+    events = fx.materialise(events, "dated_events")
     # The readable rule alone: dates repeat among the orders.
     good, bad = quarantine(events, pg.event_date_rules()[:1])
     both = good.withColumn("fault", F.lit("")).unionByName(

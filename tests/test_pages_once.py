@@ -26,7 +26,7 @@ def test_pages_of_one_file_are_rendered_on_all_cores(spark, orders):
         assert made(spark, orders).rdd.getNumPartitions() == cores
 
 
-@pytest.mark.parametrize("name, stage", [("event_calendar_merge", "merged_events"), ("event_calendar_rejects", "merged_events")])
+@pytest.mark.parametrize("name, stage", [("event_calendar_merge", "merged_events"), ("event_calendar_rejects", "merged_events"), ("event_date_faults", "dated_events")])
 def test_checks_pass_over_written_events_not_over_pages(spark, orders, name, stage):
     from panelspark.catalog import QUERIES
 
