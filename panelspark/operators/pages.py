@@ -30,6 +30,10 @@ _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 _HEADING = r"(?is)<h[123]\b[^>]*>(.*?)</h[123]\s*>"
 _TABLE = r"(?i)<table\b[^>]*>"
 _TABLE_TAG = r"(?i)</?(?:table|tr|t[dh])\b[^>]*>"
+# The same tags with the start of their names, and what each of them is: T and t open
+# and close a table, R and r a row; C and H open a cell, c closes one.
+_TABLE_TAG_NAME = r"(?i)<(/?t(?:a(?=ble\b)|[rdh]\b))[^>]*>"
+_TAG_KINDS = {"ta": "T", "/ta": "t", "tr": "R", "/tr": "r", "td": "C", "th": "H", "/td": "c", "/th": "c"}
 
 
 def title_of(html: Column) -> Column:
@@ -80,12 +84,15 @@ def _record(names: Column, cells: Column) -> Column:
     A suffixed name may equal another header text; the last column wins.
     """
 
-    def value(name: Column) -> Column:
-        at = F.size(names) - F.array_position(F.reverse(names), name) + 1
-        text = F.try_element_at(cells, at.cast("int"))
-        return empty_to_null(limit_text(text, K.MAX_CELL_CHARS))
+    def record(unique: Column) -> Column:
+        def value(name: Column, i: Column) -> Column:
+            last = F.array_max(F.transform(names, lambda n, j: F.when(n == name, j + 1)))
+            at = F.when(F.size(unique) == F.size(names), i + 1).otherwise(last)
+            return empty_to_null(limit_text(F.try_element_at(cells, at), K.MAX_CELL_CHARS))
 
-    return let(F.array_distinct(names), lambda u: F.map_from_arrays(u, F.transform(u, value)))
+        return F.map_from_arrays(unique, F.transform(unique, value))
+
+    return let(F.array_distinct(names), record)
 
 
 def _preview(rows: Column, max_rows: int, max_columns: int) -> Column:
@@ -145,7 +152,7 @@ def page_table_preview(
     """
     def read(document: Column) -> Column:
         tokens = F.struct(
-            F.transform(F.regexp_extract_all(document, F.lit(_TABLE_TAG), F.lit(0)), _tag_kind).alias("kinds"),
+            F.transform(F.regexp_extract_all(document, F.lit(_TABLE_TAG_NAME), F.lit(1)), _tag_kind).alias("kinds"),
             F.split(document, _TABLE_TAG, -1).alias("texts"),
         )
         return let(tokens, lambda t: let(_marked(t), lambda m: _tables(m, max_tables, max_rows, max_columns)))
@@ -155,18 +162,9 @@ def page_table_preview(
     return pages.withColumn("table_previews", F.filter(previews, lambda p: F.size(p) > 0))
 
 
-def _tag_kind(tag: Column) -> Column:
-    """T and t open and close a table, R and r a row; C and H open a cell, c closes one."""
-    name = F.lower(F.substring(tag, 1, 4))
-    return (
-        F.when(name.startswith("<ta"), "T")
-        .when(name.startswith("<tr"), "R")
-        .when(name.startswith("<td"), "C")
-        .when(name.startswith("<th"), "H")
-        .when(name == "</ta", "t")
-        .when(name == "</tr", "r")
-        .otherwise("c")
-    )
+def _tag_kind(name: Column) -> Column:
+    kinds = F.create_map(*[F.lit(x) for pair in _TAG_KINDS.items() for x in pair])
+    return F.element_at(kinds, F.lower(name))
 
 
 def _marked(tokens: Column) -> Column:
@@ -176,14 +174,27 @@ def _marked(tokens: Column) -> Column:
     def places(*which: str) -> Column:
         return F.array_compact(F.transform(kinds, lambda k, i: F.when(k.isin(*which), i + 1)))
 
+    def table_tag(kind: Column, i: Column) -> Column:
+        by = F.when(kind == "T", 1).otherwise(-1)
+        return F.when(kind.isin("T", "t"), F.struct((i + 1).alias("at"), by.alias("by")))
+
+    past = F.size(kinds) + 1
+
+    def rows(ends: Column) -> Column:
+        def row(at: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(ends, i + 1), past)
+            return F.when(F.element_at(kinds, at) == "R", F.struct(at.alias("at"), end.alias("end")))
+
+        return F.array_compact(F.transform(ends, row))
+
     return F.struct(
         kinds.alias("kinds"),
         tokens["texts"].alias("texts"),
+        F.array_compact(F.transform(kinds, table_tag)).alias("tables"),
         places("T").alias("opens"),
-        places("R").alias("rows"),
-        # Of a row without a table in it, the next one of these is the end.
-        places("R", "r", "t").alias("ends"),
-        (F.size(kinds) + 1).alias("past"),
+        # A row without a table in it ends at the next one of these.
+        let(places("R", "r", "t"), rows).alias("rows"),
+        past.alias("past"),
     )
 
 
@@ -192,24 +203,21 @@ def _tables(m: Column, max_tables: int, max_rows: int, max_columns: int) -> Colu
     in it, those of tables within it too, with their own cells."""
 
     def table_end(open_at: Column) -> Column:
-        def step(s: Column, kind: Column) -> Column:
-            depth = s["depth"] + F.when(kind == "T", 1).when(kind == "t", -1).otherwise(0)
-            inside = s["depth"] > 0
-            return F.struct(
-                F.when(inside, depth).otherwise(0).alias("depth"),
-                F.when(inside, s["n"] + 1).otherwise(s["n"]).alias("n"),
+        def step(s: Column, tag: Column) -> Column:
+            # A table that is never closed ends with the document.
+            moved = F.struct(
+                (s["depth"] + tag["by"]).alias("depth"),
+                F.when(s["depth"] + tag["by"] == 0, tag["at"]).otherwise(s["end"]).alias("end"),
             )
+            return F.when(s["depth"] > 0, moved).otherwise(s)
 
-        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
-        after = F.slice(m["kinds"], open_at + 1, m["past"])
-        # A table that is never closed ends with the document.
-        return F.aggregate(
-            after, start, step, lambda s: F.when(s["depth"] > 0, m["past"]).otherwise(open_at + s["n"])
-        )
+        start = F.struct(F.lit(1).alias("depth"), m["past"].alias("end"))
+        after = F.filter(m["tables"], lambda t: t["at"] > open_at)
+        return F.aggregate(after, start, step, lambda s: s["end"])
 
     def table(open_at: Column) -> Column:
         def rows(end: Column) -> Column:
-            own = F.filter(m["rows"], lambda r: (r > open_at) & (r < end))
+            own = F.filter(m["rows"], lambda r: (r["at"] > open_at) & (r["at"] < end))
             return F.transform(F.slice(own, 1, max_rows + 1), lambda r: _row(m, r, end, max_columns))
 
         return let(table_end(open_at), rows)
@@ -218,11 +226,40 @@ def _tables(m: Column, max_tables: int, max_rows: int, max_columns: int) -> Colu
 
 
 def _row(m: Column, row: Column, table_end: Column, max_columns: int) -> Column:
-    """Whether the row at place ``row`` has a header cell, and the texts of its cells."""
-    following = F.try_element_at(m["ends"], (F.array_position(m["ends"], row) + 1).cast("int"))
-    plain_end = F.coalesce(following, m["past"])
-    nested = F.exists(m["opens"], lambda o: (o > row) & (o < plain_end))
-    stop = F.when(nested, table_end).otherwise(F.least(plain_end, table_end))
+    """Whether a row has a header cell, and the texts of its cells."""
+    at, plain_end = row["at"], row["end"]
+
+    def texts(cells: Column) -> Column:
+        # The text after a tag is one place further on than the tag.
+        inside = lambda c: F.array_join(F.slice(m["texts"], c["open"] + 1, c["end"] - c["open"]), " ")
+        return F.struct(
+            F.exists(cells, lambda c: c["th"]).alias("th"),
+            F.transform(cells, lambda c: markup_to_text(inside(c))).alias("cells"),
+        )
+
+    nested = F.exists(m["opens"], lambda o: (o > at) & (o < plain_end))
+    cells = F.when(nested, _cells_around_tables(m, at, table_end, max_columns)).otherwise(
+        _cells_between(m, at, plain_end, max_columns)
+    )
+    return let(cells, texts)
+
+
+def _cells_between(m: Column, row: Column, end: Column, max_columns: int) -> Column:
+    """Cells of a row without a table in it: each ends at the very next tag."""
+
+    def cell(kind: Column, i: Column) -> Column:
+        at = row + i + 1
+        return F.when(
+            kind.isin("C", "H"),
+            F.struct(at.alias("open"), (at + 1).alias("end"), (kind == "H").alias("th")),
+        )
+
+    kinds = F.slice(m["kinds"], row + 1, end - row - 1)
+    return F.slice(F.array_compact(F.transform(kinds, cell)), 1, max_columns)
+
+
+def _cells_around_tables(m: Column, row: Column, table_end: Column, max_columns: int) -> Column:
+    """Cells of a row with tables in it, read tag by tag with the depth."""
 
     def step(s: Column, kind: Column) -> Column:
         here = ~s["done"] & (s["depth"] == 0)
@@ -250,21 +287,13 @@ def _row(m: Column, row: Column, table_end: Column, max_columns: int) -> Column:
         none.alias("cells"),
     )
 
-    def texts(cells: Column) -> Column:
-        # The text after a tag is one place further on than the tag.
-        inside = lambda c: F.array_join(F.slice(m["texts"], c["open"] + 1, c["end"] - c["open"]), " ")
-        return F.struct(
-            F.exists(cells, lambda c: c["th"]).alias("th"),
-            F.transform(cells, lambda c: markup_to_text(inside(c))).alias("cells"),
-        )
-
     def finish(s: Column) -> Column:
         # A cell that is never closed ends with the document.
         open_cell = F.struct(s["open"].alias("open"), m["past"].alias("end"), s["th"].alias("th"))
         whole = (s["open"] == 0) | (F.size(s["cells"]) >= max_columns)
-        return let(F.when(whole, s["cells"]).otherwise(F.concat(s["cells"], F.array(open_cell))), texts)
+        return F.when(whole, s["cells"]).otherwise(F.concat(s["cells"], F.array(open_cell)))
 
-    last = F.least(stop, m["past"] - 1)
+    last = F.least(table_end, m["past"] - 1)
     return F.aggregate(F.slice(m["kinds"], row + 1, F.greatest(last - row, F.lit(0))), start, step, finish)
 
 

@@ -32,3 +32,19 @@ def test_checks_pass_over_written_events_not_over_pages(spark, orders, name, sta
 
     files = QUERIES[name](spark, orders).inputFiles()
     assert files and all(f"/{stage}-" in f for f in files)
+
+
+def test_cells_are_found_without_searching_an_array_per_row(spark):
+    html = (
+        "<table><tr><th>a</th><th>a</th><th>a_2</th><th></tr><tr><td>1<td>2</td><td>3 &amp; &#52;</td></tr>"
+        "<tr><td>x<table><tr><td>in</td></tr></table>y</td><td>z</table><TABLE><tr><td>open"
+    )
+    found = pg.page_table_preview(spark.createDataFrame([(1, html)], "page_id int, html string"))
+    assert "array_position" not in found._jdf.queryExecution().optimizedPlan().toString()
+    first, second, third = found.first().table_previews
+    # Of two columns of one name the last stands; a cell that is left open ends at the next tag.
+    assert first[0] == {"a": "1", "a_2": "3 & 4", "column_4": None}
+    assert first[1] == {"a": "x in y", "a_2": None, "column_4": None}
+    assert first[2] == {"a": "in", "a_2": None, "column_4": None}
+    assert second == [{"column_1": "in"}]
+    assert third == [{"column_1": "open"}]
