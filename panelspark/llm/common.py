@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.sources.storage import drop_path, scratch_path
 
+#: Rows with whole texts, or all their words, that travel to Python at a time.
+BATCH_ROWS = 500
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -25,6 +32,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs run inside send ``rows`` rows to Python at a time, or fewer if the session says so.
+
+    A batch is held several times over, outside the heap and in the worker, by every
+    task.  Settings count when a job runs, so only what is written inside is affected.
+    """
+    before = spark.conf.get(_ROWS_SETTING)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(_ROWS_SETTING, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS_SETTING, before)
+
+
 class Stages:
     """Stage tables of one job, deleted as soon as the last reader has run."""
 

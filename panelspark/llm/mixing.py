@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apply_copies, stage, text_or_empty
+from .common import apply_copies, small_batches, stage, text_or_empty
 
 #: Weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -245,20 +245,21 @@ def mix(
     text_key = F.xxhash64(text_or_empty(text_col))
     key = F.xxhash64(F.lit(seed), F.col(id_col), text_key)
     named = F.transform("sources", lambda s: F.coalesce(F.concat(F.length(s), F.lit(":"), s), F.lit("-")))
-    slim = stage(
-        word_counts(
-            docs,
-            [
-                F.monotonically_increasing_id().alias("row"),
-                F.col(id_col).alias("doc_id"),
-                sources.alias("sources"),
-                text_key.alias("text_key"),
-                key.alias("key"),
-            ],
-            text_col,
-        ).withColumn("pattern", F.array_join(named, ",")),
-        "mix-rows",
-    )
+    with small_batches(spark):
+        slim = stage(
+            word_counts(
+                docs,
+                [
+                    F.monotonically_increasing_id().alias("row"),
+                    F.col(id_col).alias("doc_id"),
+                    sources.alias("sources"),
+                    text_key.alias("text_key"),
+                    key.alias("key"),
+                ],
+                text_col,
+            ).withColumn("pattern", F.array_join(named, ",")),
+            "mix-rows",
+        )
     patterns = slim.groupBy("pattern", "sources").agg(F.sum("size").alias("size"))
     plan = stage(
         spark.createDataFrame(

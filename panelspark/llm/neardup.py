@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages, apply_copies, text_or_empty
+from .common import Stages, apply_copies, small_batches, text_or_empty
 
 #: Words of a k-mer, sketches of a text, k-mers of a sketch.
 WORDS = 5
@@ -330,13 +330,15 @@ class Classes:
         if left.take(1):
             # A struct of the pair after its hope: one of equals, the same in a rerun.
             best = left.groupBy("xa", "xb").agg(F.max(F.struct("hope", "a", "b")).alias("m"))
-            tried = stages.write(_verified(best.select("m.a", "m.b"), words, least), "verified")
+            with small_batches(stages.spark):
+                tried = stages.write(_verified(best.select("m.a", "m.b"), words, least), "verified")
             self.merge(tried.where("link").select("a", "b"))
             done = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
             rest = left.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
             rest = stages.write(self.lift(rest.select("a", "b")).select("a", "b"), "pairs-rest")
             if rest.take(1):
-                more = stages.write(_verified(rest, words, least), "verified")
+                with small_batches(stages.spark):
+                    more = stages.write(_verified(rest, words, least), "verified")
                 self.merge(more.where("link").select("a", "b"))
                 stages.drop(more)
             stages.drop(tried, rest)
@@ -375,7 +377,8 @@ def linked(nodes: DataFrame, words: DataFrame, stages: Stages, least: float = SI
     # The leader that shares most sketches comes first; most others then are
     # already in one class with their member.
     best = pairs.groupBy(F.col("b").alias("bb")).agg(F.max(F.struct("shared", "a")).alias("m"))
-    tried = stages.write(_verified(best.select("m.a", F.col("bb").alias("b")), used, least), "verified")
+    with small_batches(stages.spark):
+        tried = stages.write(_verified(best.select("m.a", F.col("bb").alias("b")), used, least), "verified")
     classes = Classes(stages)
     # Each member has one leader, smaller than itself.
     classes.start(tried.where("link").select(F.col("b").alias("node"), F.col("a").alias("parent")))
@@ -495,7 +498,8 @@ def _across(apart: DataFrame, words: DataFrame, stages: Stages, least: float) ->
     size, and each two parts whose lengths are near enough are compared.
     """
     some = apart.select(F.col("node").alias("x")).distinct()
-    counts = stages.write(_counted(words.join(some, F.col("node") == F.col("x"), "left_semi")), "word-counts")
+    with small_batches(stages.spark):
+        counts = stages.write(_counted(words.join(some, F.col("node") == F.col("x"), "left_semi")), "word-counts")
     # At most as many open buckets as a text has sketches.
     open_of = apart.groupBy(F.col("node").alias("kn")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
     counts = counts.join(open_of, F.col("cn") == F.col("kn")).drop("kn")
@@ -591,12 +595,13 @@ def near_classes(
     )
     tokens = stages.write(tokens, "tokens")
     plain = stages.write(tokens.drop("words"), "rows")
-    nodes = stages.write(
-        _sketched(tokens).groupBy("digest").agg(
-            F.min("row").alias("node"), F.first("sketches").alias("sketches"), F.max("n").alias("n")
-        ),
-        "nodes",
-    )
+    with small_batches(docs.sparkSession):
+        nodes = stages.write(
+            _sketched(tokens).groupBy("digest").agg(
+                F.min("row").alias("node"), F.first("sketches").alias("sketches"), F.max("n").alias("n")
+            ),
+            "nodes",
+        )
     # One text of each digest; the words of the other rows are not needed any more.
     first = nodes.select(F.col("node").alias("x"))
     texts = stages.write(

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 
 CAPACITY = 2048
 #: Pieces of one length that are numbered together; more are dealt into parts.
@@ -195,7 +195,8 @@ def pack(
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = stage(tokenize(docs, tokenizer_path, id_col, text_col, capacity), "pieces")
+    with small_batches(spark):
+        pieces = stage(tokenize(docs, tokenizer_path, id_col, text_col, capacity), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # Pieces that fill a sequence alone need no rank, however many there are.
     full = pieces.where(F.col("length") == capacity).select(

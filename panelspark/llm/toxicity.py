@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import small_batches, stage, text_or_empty
 
 #: Bounds of the training sample: confirmed toxic and unlabelled texts.
 MAX_POSITIVE = 5_000
@@ -162,7 +162,8 @@ def train(
         .groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
         .where((F.col("pos") >= MIN_TEXTS) | (F.col("word") == ""))
     )
-    rows = [tuple(r) for r in counts.collect()]
+    with small_batches(docs.sparkSession):
+        rows = [tuple(r) for r in counts.collect()]
     n_pos, n_unl = next(((p, u) for w, p, u in rows if w == ""), (0, 0))
     if not n_pos or not n_unl:
         return Model()
@@ -175,7 +176,8 @@ def train(
             ids = [sorted(index[w] for w in index.keys() & words_in(t)) for t in batch["text"]]
             yield pd.DataFrame({"positive": batch["positive"], "ids": ids})
 
-    coded = sample.mapInPandas(encode, "positive boolean, ids array<int>").collect()
+    with small_batches(docs.sparkSession):
+        coded = sample.mapInPandas(encode, "positive boolean, ids array<int>").collect()
     coded.sort(key=lambda r: (r["positive"], r["ids"]))  # the same sums in every run
     weights, intercept = nnpu(
         [np.array(r["ids"], dtype=np.int64) for r in coded],
@@ -187,14 +189,12 @@ def train(
 
 
 def scorer(model: Model):
-    """A column function from text to score (null counts as empty)."""
+    """A column function from text to score (null counts as empty).
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([model.score(t or "") for t in batch], dtype="float64")
-
-    return score
+    Texts are scored one by one, so they travel pickled, a hundred at a time: an Arrow
+    batch has ten thousand unless the caller's session says otherwise when it runs.
+    """
+    return F.udf(lambda text: model.score(text or ""), "double", useArrow=False)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
